@@ -12,9 +12,12 @@ queue, so a pass takes linear time. Each partition of the input packs its own do
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from struct import pack
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -29,38 +32,83 @@ END = 2
 CUT_DOCUMENT, CUT_SENTENCE = 24.0, 400.0
 #: Tokens that one pass of the dynamic programming takes in; the last window is carried over.
 BLOCK_TOKENS = 1 << 20
-CACHE = 400_000
-STOPS = frozenset(b".!?\n")
+#: Entries that a memory of encoded pieces or units turns over at.
+CACHE = 150_000
+#: Units that end a sentence.
+STOPS = frozenset([".", "!", "?", "...", "!!", "!!!", "?!", '."', '!"', '?"', ".)"])
+#: Fixed values of the tokenizer: the units that it cuts a text into (letters, a digit, an English
+#: ending, marks), and the characters for which this pattern is sure to agree with it.
+UNIT = re.compile(r"[^\W\d_]+|\d|'(?:[stmd]|re|ve|ll)|(?:[^\s\w]|_)+")
+UNSURE = re.compile(r"[^\u0000-\u001B\u0020-\u00B1\u00B4-\u00B8\u00BA\u00BB\u00BF-\u012F\u0131-\u024F\u0400-\u0481\u048A-\u052F\u2000-\u206F\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3]")
+
+
+class Memory(dict):
+    """Values of a function by key. When full, what it holds becomes the older half, which is
+    forgotten at the next turn but for the keys asked for meanwhile."""
+
+    def __init__(self, function: Callable, size: int = CACHE):
+        super().__init__()
+        self.function, self.size, self.older = function, size, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.function(key)
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class Encoder:
-    """Token ids of a text, by pieces between white space, which no token of this kind spans.
+    """Token ids of a text, by units, which recur and so are remembered, within bounds.
 
-    A tokenizer that drops white space gives a text the ids of its pieces in turn, so a piece
-    that was seen before needs no second encoding. The cache is emptied when full.
+    The tokenizer lower-cases, drops white space, cuts the text into runs of letters, single digits
+    and runs of marks, and applies its byte-level BPE model to each of these units. A text with a
+    special token's marks, or with characters whose class or case isn't settled, is taken by pieces
+    between white space, which no token spans; such pieces go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [c for c in range(256) if c not in visible]
+        self.shown = {c: chr(c) for c in visible} | {c: chr(256 + k) for k, c in enumerate(hidden)}
+        self.units, self.pieces = Memory(self.unit), Memory(self.piece)
+
+    def whole(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def unit(self, unit: str) -> bytes:
+        shown = unit if unit.isascii() and unit.isalnum() else "".join(map(self.shown.__getitem__, unit.encode()))
+        ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
+        return pack(f"<{len(ids)}I", *ids)
+
+    def split(self, text: str) -> list[str] | None:
+        """The units of a text, or None if it takes the whole tokenizer to tell them."""
+        if "<|" in text or UNSURE.search(text):
+            return None
+        return UNIT.findall(normalize("NFC", text).lower())
 
     def encode(self, data: bytes) -> tuple[bytes, np.ndarray]:
         """Little-endian 32-bit ids, and how many ids there are up to each sentence's end."""
-        pieces = data.split()
-        known = self.known
-        missing = list({p for p in pieces if p not in known})
-        if missing:
-            if len(known) + len(missing) > CACHE:
-                known.clear()
-                missing = list(set(pieces))
-            for piece, code in zip(missing, self.tokenizer.encode_batch([p.decode() for p in missing], add_special_tokens=False)):
-                known[piece] = np.array(code.ids, "<u4").tobytes()
-        codes = [known[p] for p in pieces]
+        text = data.decode("utf-8", "replace")
+        units = self.split(text)
+        if units is not None:
+            codes, ends = list(map(self.units.__getitem__, units)), map(STOPS.__contains__, units)
+        else:
+            pieces = data.split()
+            codes, ends = list(map(self.pieces.__getitem__, pieces)), (p[-1:] in b".!?" for p in pieces)
         sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
-        stops = np.fromiter((p[-1] in STOPS for p in pieces), bool, len(pieces))
-        return b"".join(codes), np.cumsum(sizes)[stops]
+        return b"".join(codes), np.cumsum(sizes)[np.fromiter(ends, bool, len(codes))]
+
+    def piece(self, data: bytes) -> bytes:
+        text = data.decode("utf-8", "replace")
+        units = self.split(text)
+        return self.whole(text) if units is None else b"".join([self.units[u] for u in units])
 
 
 def cuts(ends: np.ndarray, kinds: np.ndarray, size: int = SIZE, penalties: tuple[float, float] = (CUT_DOCUMENT, CUT_SENTENCE)) -> list[int]:
@@ -172,11 +220,13 @@ def packed(docs: DataFrame, tokenizer_path: str, size: int = SIZE) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            kind, rows = batch.column(0).type, []
-            for doc_id, data in zip(batch.column(0).to_pylist(), texts(batch)):
-                ids, stops = encoder.encode(data)
-                rows += packer.add(doc_id, ids + end, stops)
-            yield table(rows)
+            kind = batch.column(0).type
+            for at in range(0, batch.num_rows, 256):
+                part, rows = batch.slice(at, 256), []
+                for doc_id, data in zip(part.column(0).to_pylist(), texts(part)):
+                    ids, stops = encoder.encode(data)
+                    rows += packer.add(doc_id, ids + end, stops)
+                yield table(rows)
         if kind is not None:
             yield table(list(packer.pack(last=True)))
 
