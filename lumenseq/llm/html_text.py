@@ -188,7 +188,7 @@ def chosen(root: Node) -> list[Node]:
         node = node.parent
         path.append(node)
     threshold = min(x.density for x in path)
-    beside = {id(x) for up, inner in zip(path[1:], path) for k, x in enumerate(up.parts) if isinstance(x, Node) and belongs(x, best, threshold, k < up.parts.index(inner))}
+    beside = {id(x) for up, inner in zip(path[1:], path) for k, x in enumerate(up.parts) if isinstance(x, Node) and x is not inner and belongs(x, best, threshold, k < up.parts.index(inner))}
     picked = beside | {id(best)}
     return [x for x in in_order(root) if id(x) in picked]
 

@@ -124,7 +124,7 @@ def rules() -> list[Rule]:
             keywords = (either(needs),) if "{tag}" in context else (either(needs), either(words))
             out.append(Rule(label, re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])"), keywords, priority + specific, score))
         if label in PLAIN:
-            out.append(Rule(label, re.compile(rf"(?<![^ ])(?:{name})(?![^ ])"), (either(words),), 20 + specific, 0.75))
+            out.append(Rule(label, re.compile(rf"(?<![^ ])(?:{name})(?![^ ])"), (either(words),), 41 + specific, 0.75))
     for label, pattern, needs, priority, score in SENTENCES:
         out.append(Rule(label, re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])"), (either(needs),), priority, score))
     return sorted(out, key=lambda r: (-r.priority, r.label))

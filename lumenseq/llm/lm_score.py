@@ -213,12 +213,12 @@ def mixture_weights(statistics: np.ndarray, vocabulary: int, rounds: int = 60) -
         total = a * p2 + (1 - a) * low
         from_bigram = table * a * p2 / total
         from_uniform = table * (1 - a) * uniform * p0 / total
-        bigram = np.where(seen > 0, from_bigram.sum((1, 2)) / np.maximum(seen, 1), bigram)
+        bigram = np.minimum(0.999, np.where(seen > 0, from_bigram.sum((1, 2)) / np.maximum(seen, 1), bigram))
         uniform = min(0.999, max(1e-6, from_uniform.sum() / max(1e-9, (table - from_bigram).sum())))
     for k in range(1, LEVELS):
         if not seen[k]:
             bigram[k] = bigram[k - 1]
-    return np.minimum(bigram, 0.999), uniform
+    return bigram, uniform
 
 
 class Learned(NamedTuple):
