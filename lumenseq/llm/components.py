@@ -29,6 +29,21 @@ def forest(pairs: Iterator[tuple[int, int]]) -> dict[int, int]:
     return {x: root(x) for x in parent}
 
 
+def spanning(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
+    """The pairs of nodes 0..n-1 that join two trees when taken in order."""
+    parent, taken = list(range(n)), []
+    for x, y in pairs:
+        a, b = x, y
+        while parent[a] != a:
+            parent[a] = a = parent[parent[a]]
+        while parent[b] != b:
+            parent[b] = b = parent[parent[b]]
+        if a != b:
+            parent[b] = a
+            taken.append((x, y))
+    return taken
+
+
 def contracted(edges: DataFrame) -> DataFrame:
     """Each partition's edges as a star forest: the same links, at most one edge a node."""
 

@@ -51,6 +51,30 @@ def test_quality(spark, odd, empty):
     assert quality_rules.repeat_words(words) == len({p for i in range(293) if grams[tuple(words[i : i + 8])] > 1 for p in range(i, i + 8)})
 
 
+def test_similar_texts(spark, odd, empty):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    changed = lambda n: " ".join(f"x{i}" if i % (400 // n) == 7 and i // (400 // n) < n else w for i, w in enumerate(base))
+    texts = {1: " ".join(base), 2: changed(2), 3: changed(4), 4: changed(20), 5: " ".join(base).upper(), 6: "other words " + changed(50)}
+    shingles = {k: set(simhash.shingles(v.encode(), 5).tolist()) for k, v in texts.items()}
+    near = {(a, b) for a in texts for b in texts if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])}
+    assert (1, 3) in near and (1, 4) not in near
+    found = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")).collect()}
+    assert {(a, b) for a in found for b in found if found[a] == found[b]} == near
+    assert simhash.similar(odd).count() == len(ODD) and simhash.similar(empty).count() == simhash.keep_one(empty).count() == 0
+
+
+def test_thinning_keeps_links_at_every_distance():
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, 2**10, 60).astype(np.int64)
+    a, b = (x.ravel() for x in np.meshgrid(values, values))
+    a, b = a[a < b], b[a < b]
+    kept = simhash.nearest_first(a, b)
+    for far in range(11):
+        within = lambda x, y: [p for p in zip(x.tolist(), y.tolist()) if (p[0] ^ p[1]).bit_count() <= far]
+        assert forest(within(a, b)) == forest(within(kept[:, 0], kept[:, 1]))
+
+
 @pytest.mark.parametrize("limits", [{}, {"hot": 2, "block": 8}, {"hot": 2, "block": 2, "midpoints_from": 1}])
 def test_simhash_links_all(spark, limits):
     rng = np.random.default_rng(3)
