@@ -4,8 +4,9 @@ Two fingerprints within tau bits agree to within t_i bits on one of m bit groups
 whenever the thresholds t_i add up to tau - m + 1 (a group with t_i = -1 is not searched).
 Correlated bits share a group, so that the other groups stay selective, and the thresholds
 come from dynamic programming over the candidates that each choice is estimated to bring.
-Fingerprints are indexed by their value on each group, probed with all values within t_i bits,
-and verified on all 64 bits.
+Fingerprints are indexed by all values within t_i // 2 bits of theirs on each group, probed with
+all values within the rest of t_i, so that values t_i bits apart meet halfway, and verified on
+all 64 bits.
 
 A bucket with many fingerprints is split. Up to `MIDPOINTS_FROM` blocks, every pair of blocks
 is a task of bounded size that returns a spanning forest of the links it verified. Beyond, each
@@ -17,6 +18,7 @@ the work is linear in the bucket.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -44,6 +46,8 @@ BALL = 5000
 MINIMA = 256
 ALIKE = 0.77
 NEAR_BITS = 10
+#: Keys of hot buckets that may be broadcast, 12 bytes each. More are joined by a shuffle.
+CROWDED_ROWS = 200_000
 MULTIPLIERS = np.random.default_rng(SEED).integers(0, 2**64, MINIMA, np.uint64) | np.uint64(1)
 MIXER = np.uint64(0x9E3779B97F4A7C15)
 #: From a text's shingle hashes to its 64 bits.
@@ -191,7 +195,10 @@ def plan(prints: DataFrame, tau: int = TAU, most: int = 2) -> list[tuple[list[in
         for i, group in enumerate(groups):
             shares = near_shares(p, group, most)
             met = same.get(m * 100 + i, 0.0) / max(shares[0], 1e-300)
-            costs.append([0.0] + [2.0 * n * sum(comb(len(group), r) for r in range(t + 1)) + 0.1 * met * shares[t] for t in range(most + 1)])
+            ball = [sum(comb(len(group), r) for r in range(t + 1)) for t in range(most + 1)]
+            # pairs within t bits meet at a common key once at least, and equal ones at each key that both name
+            meet = [shares[0] * ball[t // 2] + 2 * (shares[t] - shares[0]) for t in range(most + 1)]
+            costs.append([0.0] + [n * (ball[t - t // 2] + ball[t // 2]) + 0.1 * met * meet[t] for t in range(most + 1)])
         cost, units = allocate(costs, tau + 1)
         choices.append((cost, [(g, u - 1) for g, u in zip(groups, units) if u]))
     return min(choices, key=lambda x: x[0])[1]
@@ -222,20 +229,17 @@ def links(prints: DataFrame, tau: int = TAU, hot: int = HOT, block: int = BLOCK,
     edges are a spanning forest of the bucket's links.
     """
     found = plan(prints, tau)
-    everything = []
+    everything: list[list[DataFrame]] = []
     for i, (group, t) in enumerate(found):
         value = F.col("fp").bitwiseAND(F.lit(mask_of(group)))
-        everything.append(prints.select(F.lit(i).alias("part"), "fp", F.explode(flips(value, group, t)).alias("x")))
-    probes = everything[0]
-    for more in everything[1:]:
-        probes = probes.union(more)
+        everything.append([prints.select(F.lit(i).alias("part"), "fp", F.explode(flips(value, group, reach)).alias("x")) for reach in (t - t // 2, t // 2)])
+    probes, owned = (reduce(DataFrame.union, side) for side in zip(*everything))
     probes = probes.select("part", F.col("x.key").alias("key"), "fp", F.col("x.far").alias("far"))
-    owned = None
-    for i, (group, _) in enumerate(found):
-        own = prints.select(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(mask_of(group))).alias("key"), F.col("fp").alias("own"))
-        owned = own if owned is None else owned.union(own)
+    owned = owned.select("part", F.col("x.key").alias("key"), F.col("fp").alias("own"))
     crowded = checkpointed(owned.groupBy("part", "key").count().where(F.col("count") > hot).select("part", "key"))
-    any_hot = crowded.limit(1).count() > 0
+    n_crowded = crowded.count()
+    any_hot = n_crowded > 0
+    crowded = F.broadcast(crowded) if n_crowded <= CROWDED_ROWS else crowded
     cold = owned.join(crowded, ["part", "key"], "left_anti") if any_hot else owned
     close = (F.col("fp") < F.col("own")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("own"))) <= tau)
     p, o = probes.alias("p"), cold.alias("o")
