@@ -13,6 +13,10 @@ is a task of bounded size that returns a spanning forest of the links it verifie
 member names all midpoints within reach: two fingerprints are at most four bits apart exactly
 if some value lies within two bits of both, so members that share a midpoint are linked and
 the work is linear in the bucket.
+
+A large group of near copies is linked pair by pair in many buckets of moderate size. Its members
+are told by slices of the fingerprint that are too long to be shared by chance; the pairs between
+them never leave a bucket's task, which returns a spanning forest.
 """
 
 from __future__ import annotations
@@ -23,7 +27,6 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -44,6 +47,8 @@ BALL = 5000
 #: Multipliers of a text's sketch, and the share of its bytes that similar texts have in common. At
 #: a similarity of 0.8 the share is 0.8 with a standard deviation of 0.025.
 MINIMA = 256
+#: A fingerprint that shares a slice with as many others lies in a crowd.
+CROWD = 24
 ALIKE = 0.77
 NEAR_BITS = 10
 #: Keys of hot buckets that may be broadcast, 12 bytes each. More are joined by a shuffle.
@@ -222,32 +227,53 @@ def flips(value: Column, bits: list[int], most: int) -> Column:
     return F.transform(masks, lambda x: F.struct(value.bitwiseXOR(x).alias("key"), F.bit_count(x).cast("int").alias("far")))
 
 
-def links(prints: DataFrame, tau: int = TAU, hot: int = HOT, block: int = BLOCK, midpoints_from: int = MIDPOINTS_FROM) -> DataFrame:
+def small(keys: DataFrame) -> tuple[DataFrame, bool]:
+    """Keys to join by, broadcast if their checked number allows it, and whether there are any."""
+    keys = checkpointed(keys)
+    n = keys.count()
+    return F.broadcast(keys) if n <= CROWDED_ROWS else keys, n > 0
+
+
+def crowds(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(fp, dense): whether over `crowd` fingerprints share one of three slices of fp with it.
+
+    A slice is three bits longer than it takes to number all fingerprints.
+    """
+    width = max(16, prints.count().bit_length() + 3)
+    slices = [F.struct(F.lit(k).alias("slice"), F.col("fp").bitwiseAND(F.lit(mask_of([(21 * k + r) % BITS for r in range(width)]))).alias("key")) for k in range(3)]
+    keys = prints.select("fp", F.explode(F.array(*slices)).alias("x")).select("fp", "x.slice", "x.key")
+    shared, any_shared = small(keys.groupBy("slice", "key").count().where(F.col("count") > crowd).select("slice", "key"))
+    if not any_shared:
+        return prints.select("fp", F.lit(False).alias("dense"))
+    inside = keys.join(shared, ["slice", "key"], "left_semi").select("fp").distinct().withColumn("dense", F.lit(True))
+    return checkpointed(prints.select("fp").join(inside, "fp", "left").select("fp", F.coalesce("dense", F.lit(False)).alias("dense")))
+
+
+def links(prints: DataFrame, tau: int = TAU, hot: int = HOT, block: int = BLOCK, midpoints_from: int = MIDPOINTS_FROM, crowd: int = CROWD) -> DataFrame:
     """Edges (a, b) between distinct fingerprints whose closure is that of all pairs within tau.
 
-    prints has distinct values fp long. In cold buckets every link is an edge; in hot ones the
-    edges are a spanning forest of the bucket's links.
+    prints has distinct values fp long. In cold buckets every link is an edge; in hot ones, and
+    between the members of crowds, the edges are a spanning forest of the bucket's links.
     """
     found = plan(prints, tau)
+    prints = crowds(prints, crowd)
     everything: list[list[DataFrame]] = []
     for i, (group, t) in enumerate(found):
         value = F.col("fp").bitwiseAND(F.lit(mask_of(group)))
-        everything.append([prints.select(F.lit(i).alias("part"), "fp", F.explode(flips(value, group, reach)).alias("x")) for reach in (t - t // 2, t // 2)])
+        everything.append([prints.select(F.lit(i).alias("part"), "fp", "dense", F.explode(flips(value, group, reach)).alias("x")) for reach in (t - t // 2, t // 2)])
     probes, owned = (reduce(DataFrame.union, side) for side in zip(*everything))
-    probes = probes.select("part", F.col("x.key").alias("key"), "fp", F.col("x.far").alias("far"))
-    owned = owned.select("part", F.col("x.key").alias("key"), F.col("fp").alias("own"))
-    crowded = checkpointed(owned.groupBy("part", "key").count().where(F.col("count") > hot).select("part", "key"))
-    n_crowded = crowded.count()
-    any_hot = n_crowded > 0
-    crowded = F.broadcast(crowded) if n_crowded <= CROWDED_ROWS else crowded
+    probes = probes.select("part", F.col("x.key").alias("key"), "fp", "dense", F.col("x.far").alias("far"))
+    owned = owned.select("part", F.col("x.key").alias("key"), F.col("fp").alias("own"), "dense")
+    crowded, any_hot = small(owned.groupBy("part", "key").count().where(F.col("count") > hot).select("part", "key"))
     cold = owned.join(crowded, ["part", "key"], "left_anti") if any_hot else owned
-    close = (F.col("fp") < F.col("own")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("own"))) <= tau)
+    close = (F.col("fp") < F.col("own")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("own"))) <= tau) & ~(F.col("p.dense") & F.col("o.dense"))
     p, o = probes.alias("p"), cold.alias("o")
     edges = p.join(o, (F.col("p.part") == F.col("o.part")) & (F.col("p.key") == F.col("o.key")) & close).select(F.col("fp").alias("a"), F.col("own").alias("b"))
-    if not any_hot:
-        return edges
-    members = checkpointed(probes.join(crowded, ["part", "key"]))
-    sizes = members.groupBy("part", "key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    members = probes.where("dense")
+    if any_hot:
+        members = members.join(crowded, ["part", "key"], "left_anti").unionByName(probes.join(crowded, ["part", "key"]))
+    members = checkpointed(members.drop("dense"))
+    sizes = members.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1").select("part", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     sized = members.join(sizes, ["part", "key"])
     if comb(BITS, tau // 2) > BALL:
         return edges.union(block_links(sized, tau))
@@ -265,6 +291,21 @@ def nearest_first(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return nodes[np.array(spanning(ends.reshape(2, -1).T.tolist(), len(nodes)), np.int64).reshape(-1, 2)]
 
 
+def shortest(values: np.ndarray, tau: int) -> np.ndarray:
+    """A minimum spanning forest of all pairs of values within tau bits, k x 2 positions (Prim)."""
+    near, via, out = np.full(len(values), tau + 1, np.uint8), np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    taken = []
+    for _ in range(len(values)):
+        at = int(np.where(out, 255, near).argmin())
+        if near[at] <= tau:
+            taken.append((via[at], at))
+        out[at] = True
+        far = np.bitwise_count(values ^ values[at])
+        closer = (far < near) & ~out
+        near[closer], via[closer] = far[closer], at
+    return np.array(taken, np.int64).reshape(-1, 2)
+
+
 def thinned(edges: DataFrame) -> DataFrame:
     """Each partition's minimum spanning forest."""
 
@@ -284,17 +325,12 @@ def block_links(members: DataFrame, tau: int) -> DataFrame:
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, mine).alias("i"), F.greatest(x, mine).alias("j")))
     spread = members.select("part", "key", "fp", F.explode(others).alias("x")).select("part", "key", "x.i", "x.j", "fp")
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        values = np.unique(frame.fp.to_numpy()).view(np.uint64)
-        pairs: list[np.ndarray] = []
-        for at in range(0, len(values), 256):
-            far = np.bitwise_count(values[at : at + 256, None] ^ values[None, :])
-            a, b = np.nonzero(far <= tau)
-            pairs.append(np.stack([a + at, b], 1)[a + at < b])
-        joined, signed = np.concatenate(pairs), values.view(np.int64)
-        return pd.DataFrame(nearest_first(signed[joined[:, 0]], signed[joined[:, 1]]), columns=["a", "b"])
-
-    return spread.groupBy("part", "key", "i", "j").applyInPandas(run, "a long, b long")
+    def run(bucket: pa.Table) -> pa.Table:
+        values = np.unique(bucket.column("fp").to_numpy())
+        joined = values[shortest(values.view(np.uint64), tau)]
+        return pa.table({"a": joined[:, 0], "b": joined[:, 1]})
+
+    return spread.groupBy("part", "key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def midpoint_links(members: DataFrame, rest: list[int], tau: int) -> DataFrame:

@@ -75,7 +75,18 @@ def test_thinning_keeps_links_at_every_distance():
         assert forest(within(a, b)) == forest(within(kept[:, 0], kept[:, 1]))
 
 
-@pytest.mark.parametrize("limits", [{}, {"hot": 2, "block": 8}, {"hot": 2, "block": 2, "midpoints_from": 1}])
+def test_shortest_forest_joins_at_every_distance():
+    values = np.unique(np.random.default_rng(2).integers(0, 2**12, 80).astype(np.uint64))
+    kept = simhash.shortest(values, 5)
+    a, b = np.triu_indices(len(values), 1)
+    far = np.bitwise_count(values[a] ^ values[b])
+    joined = np.bitwise_count(values[kept[:, 0]] ^ values[kept[:, 1]])
+    for d in range(6):
+        pick = joined <= d
+        assert forest(zip(a[far <= d].tolist(), b[far <= d].tolist())) == forest(zip(kept[pick, 0].tolist(), kept[pick, 1].tolist()))
+
+
+@pytest.mark.parametrize("limits", [{}, {"crowd": 10**6}, {"crowd": 2}, {"crowd": 2, "block": 4, "midpoints_from": 2}, {"hot": 2, "block": 8}, {"hot": 2, "block": 2, "midpoints_from": 1}])
 def test_simhash_links_all(spark, limits):
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 2**63, 30, dtype=np.uint64)
