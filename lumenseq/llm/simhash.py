@@ -267,6 +267,10 @@ def links(prints: DataFrame, tau: int = TAU, hot: int = HOT, block: int = BLOCK,
     crowded, any_hot = small(owned.groupBy("part", "key").count().where(F.col("count") > hot).select("part", "key"))
     cold = owned.join(crowded, ["part", "key"], "left_anti") if any_hot else owned
     close = (F.col("fp") < F.col("own")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("own"))) <= tau) & ~(F.col("p.dense") & F.col("o.dense"))
+    differ = F.col("fp").bitwiseXOR(F.col("own"))
+    for i, (group, t) in enumerate(found):  # a pair counts in the first part that brings it together, equal values at their own key
+        part, here = F.col("p.part"), differ.bitwiseAND(F.lit(mask_of(group)))
+        close &= F.when(part == i, (F.col("far") == 0) | (here != 0)).when(part > i, F.bit_count(here) > t).otherwise(True)
     p, o = probes.alias("p"), cold.alias("o")
     edges = p.join(o, (F.col("p.part") == F.col("o.part")) & (F.col("p.key") == F.col("o.key")) & close).select(F.col("fp").alias("a"), F.col("own").alias("b"))
     members = probes.where("dense")
