@@ -50,7 +50,11 @@ MINIMA = 256
 #: A fingerprint that shares a slice with as many others lies in a crowd.
 CROWD = 24
 ALIKE = 0.77
-NEAR_BITS = 10
+#: Bytes of a sketch that candidates have in common, in one of its 36 bands. At a similarity of 0.8, 1 pair
+#: in 4,800 shares no band.
+BAND = 7
+#: Members of a band that are paired by a join; more are compared inside tasks.
+FEW = 16
 #: Keys of hot buckets that may be broadcast, 12 bytes each. More are joined by a shuffle.
 CROWDED_ROWS = 200_000
 MULTIPLIERS = np.random.default_rng(SEED).integers(0, 2**64, MINIMA, np.uint64) | np.uint64(1)
@@ -94,19 +98,6 @@ def minima(hashes: np.ndarray, n: int) -> np.ndarray:
     return (least * MIXER >> np.uint64(56)).astype(np.uint8)
 
 
-def minwise(hashes: np.ndarray) -> int:
-    """Bit j is the top bit of minimum j.
-
-    Two texts with a Jaccard similarity of s differ in 64 * (1 - s) / 2 bits on average: 6 at 0.8,
-    16 at 0.5. A majority bit depends on the angle instead, which tells 0.8 from 0.5 far less well.
-    """
-    return top_bits(minima(hashes, BITS))
-
-
-def top_bits(sketch: np.ndarray) -> int:
-    return int(np.packbits(sketch[:BITS] >> 7, bitorder="little").view(np.uint64)[0])
-
-
 def fingerprint(data: bytes, width: int = SHINGLE, bits: Bits = majority) -> int:
     """64 bits of a text's shingles; zero if it has no word."""
     return bits(shingles(data, width))
@@ -310,19 +301,6 @@ def shortest(values: np.ndarray, tau: int) -> np.ndarray:
     return np.array(taken, np.int64).reshape(-1, 2)
 
 
-def thinned(edges: DataFrame) -> DataFrame:
-    """Each partition's minimum spanning forest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = np.empty((0, 2), np.int64)
-        for batch in batches:
-            more = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
-            kept = nearest_first(*np.concatenate([kept, more]).T.copy())
-        yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0]), pa.array(kept[:, 1])], ["a", "b"])
-
-    return edges.select("a", "b").mapInArrow(run, "a long, b long")
-
-
 def block_links(members: DataFrame, tau: int) -> DataFrame:
     """Each pair of a bucket's blocks is compared in one task; it returns a forest of the links."""
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
@@ -375,39 +353,95 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, tau: int = TAU, bits:
     return with_least(own, distinct, classes(distinct.select("fp"), tau))
 
 
-def similar(docs: DataFrame, width: int = 5, tau: int = NEAR_BITS, alike: float = ALIKE) -> DataFrame:
-    """(doc_id, component_id) of every row, by links between texts with a Jaccard similarity of 0.8 or more.
+def meetings(distinct: DataFrame) -> DataFrame:
+    """(key, fp, low): fingerprints that share a band of their sketches with another, and each band's least one."""
+    keys = [F.xxhash64(F.lit(k), F.substring("sketch", BAND * k + 1, BAND)) for k in range(MINIMA // BAND)]
+    named = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
+    shared = named.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("most")).where("low < most").drop("most")
+    return checkpointed(named.join(shared, "key").select("key", "fp", "low"))
 
-    Candidates are within tau bits of their min-wise fingerprints; a pair is a link if the share
-    `alike` of their whole sketches is equal. Where a bucket or a partition has many candidates, their
-    minimum spanning forest is verified. Nulls and repeated rows are taken as in near_duplicates.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [minima(shingles(x, width), MINIMA) for x in texts(batch)]
-            fps = np.array([top_bits(x) for x in made], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array([x.tobytes() for x in made], pa.binary())], ["doc_id", "fp", "sketch"])
+def sketched(pairs: DataFrame, distinct: DataFrame, alike: float) -> DataFrame:
+    """The pairs (a, b) whose sketches have the share `alike` of their bytes in common."""
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, MINIMA) for c in ("x", "y"))
             yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= alike))
 
+    known = pairs.join(distinct.select(F.col("fp").alias("a"), F.col("sketch").alias("x")), "a").join(distinct.select(F.col("fp").alias("b"), F.col("sketch").alias("y")), "b")
+    return known.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def untested(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, fp, low, root, n) of the bands whose members are in several classes, roots (fp, root) of the linked ones."""
+    known = met.join(roots, "fp", "left").select("key", "fp", "low", F.coalesce("root", "fp").alias("root"))
+    mixed = known.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("n > 2 and least < most")
+    return checkpointed(known.join(mixed.select("key", "n"), "key"))
+
+
+def crowded_links(members: DataFrame, alike: float, block: int) -> DataFrame:
+    """Links (a, b) between the classes that meet in a band: a forest, but no pair between two trees is left untested.
+
+    members: key, fp, root, n, sketch. Each pair of a band's blocks is compared in one task.
+    """
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    mine = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(x, mine).alias("i"), F.greatest(x, mine).alias("j")))
+    spread = members.select("key", "fp", "root", "sketch", F.explode(others).alias("x")).select("key", "x.i", "x.j", "fp", "root", "sketch")
+
+    def run(bucket: pa.Table) -> pa.Table:
+        fps, labels = bucket.column("fp").to_pylist(), np.unique(bucket.column("root").to_numpy(), return_inverse=True)[1]
+        sketches = np.frombuffer(b"".join(bucket.column("sketch").to_pylist()), np.uint8).reshape(-1, MINIMA)
+        taken = []
+        for i in range(len(fps)):
+            for j in (i + 1 + np.flatnonzero((sketches[i + 1 :] == sketches[i]).mean(1) >= alike)).tolist():
+                if labels[i] != labels[j]:
+                    taken.append((fps[i], fps[j]))
+                    labels[labels == labels[j]] = labels[i]
+        return pa.table({"a": pa.array([a for a, _ in taken], pa.int64()), "b": pa.array([b for _, b in taken], pa.int64())})
+
+    return spread.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def similar(docs: DataFrame, width: int = 5, alike: float = ALIKE, few: int = FEW, block: int = BLOCK) -> DataFrame:
+    """(doc_id, component_id) of every row, by links between texts with a Jaccard similarity of 0.8 or more.
+
+    A text stands for all with the same set of shingles. Candidates share a band of their sketches,
+    BAND bytes; a pair is a link if the share `alike` of their whole sketches is equal. First
+    each member of a band is tested against the band's least one. What is linked then is one class, and
+    in every band whose members are still in several classes all pairs between those are tested: pair by pair if
+    there are at most `few` members, else in tasks by blocks. So each candidate pair is tested or its
+    ends are in one class by tested links, however the rows are dealt out. Nulls and
+    repeated rows are taken as in near_duplicates.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingles(x, width)) for x in texts(batch)]
+            fps = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array([minima(x, MINIMA).tobytes() for x in sets], pa.binary())], ["doc_id", "fp", "sketch"])
+
     narrow = docs.select("doc_id", "text")
     own = checkpointed(narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, fp long, sketch binary"))
     distinct = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min("sketch").alias("sketch")))
-    pairs = checkpointed(thinned(links(distinct.select("fp"), tau)))
-    known = pairs.join(distinct.select(F.col("fp").alias("a"), F.col("sketch").alias("x")), "a").join(distinct.select(F.col("fp").alias("b"), F.col("sketch").alias("y")), "b")
-    roots = components(known.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")).select(F.col("node").alias("fp"), "root")
+    met = meetings(distinct.select("fp", "sketch"))
+    first = checkpointed(sketched(met.where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct(), distinct, alike))
+    rest = untested(met, components(first).select(F.col("node").alias("fp"), "root"))
+    one, other = (rest.where((F.col("n") <= few) & (F.col("fp") != F.col("low"))).alias(x) for x in ("one", "other"))
+    apart = one.join(other, (F.col("one.key") == F.col("other.key")) & (F.col("one.fp") < F.col("other.fp")) & (F.col("one.root") != F.col("other.root")))
+    pairs = apart.select(F.col("one.fp").alias("a"), F.col("other.fp").alias("b")).distinct()
+    crowded = rest.where(F.col("n") > few).join(distinct.select("fp", "sketch"), "fp")
+    links = first.union(sketched(pairs, distinct, alike)).union(crowded_links(crowded, alike, block))
+    roots = components(links).select(F.col("node").alias("fp"), "root")
     return with_least(own.select("doc_id", "fp"), distinct.select("fp", "low"), roots).select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, tau: int = NEAR_BITS, alike: float = ALIKE) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, alike: float = ALIKE) -> DataFrame:
     """The rows of docs that stay: of each class of similar texts the row with the least doc_id, once.
 
     Rows without a doc_id are all kept: they can't be named as anybody's copy.
     """
-    stay = similar(docs, width, tau, alike).where("doc_id = component_id").select("doc_id").distinct()
+    stay = similar(docs, width, alike).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))

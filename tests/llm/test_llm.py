@@ -64,6 +64,24 @@ def test_similar_texts(spark, odd, empty):
     assert simhash.similar(odd).count() == len(ODD) and simhash.similar(empty).count() == simhash.keep_one(empty).count() == 0
 
 
+def test_similar_tests_every_candidate_between_classes(spark):
+    """Two groups of near copies that only two texts between them join; the other pairs across are about 0.65 to 0.76 alike."""
+    rng, texts = random.Random(2), {}
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(400)]
+        turned = {at: f"g{g}t{at}" for at in range(5, 400, 28)}
+        for side in range(2):
+            for _ in range(40):
+                words = [turned.get(i, w) if side else w for i, w in enumerate(base)]
+                words[rng.randrange(400)] = f"u{rng.random()}"
+                texts[len(texts) + 1] = " ".join(words)
+        for n in (5, 10):
+            some = list(turned)[:n]
+            texts[len(texts) + 1] = " ".join(turned[i] if i in some else w for i, w in enumerate(base))
+    found = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")).collect()}
+    assert found == {i: (i - 1) // 82 * 82 + 1 for i in texts}
+
+
 def test_thinning_keeps_links_at_every_distance():
     rng = np.random.default_rng(1)
     values = rng.integers(0, 2**10, 60).astype(np.int64)
