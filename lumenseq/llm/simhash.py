@@ -44,12 +44,14 @@ BLOCK = 1024
 MIDPOINTS_FROM = 24
 #: Midpoints that one member may name; with a tau that asks for more, all hot buckets are compared by blocks.
 BALL = 5000
-#: Multipliers of a text's sketch, and the share of its bytes that similar texts have in common. At
-#: a similarity of 0.8 the share is 0.8 with a standard deviation of 0.025.
+#: Multipliers of a text's sketch. The share of bytes that two texts have in common is about their
+#: similarity; at 0.8 the standard deviation is 0.025.
 MINIMA = 256
 #: A fingerprint that shares a slice with as many others lies in a crowd.
 CROWD = 24
-ALIKE = 0.77
+#: Jaccard similarity of near duplicates, and the share of sketch bytes from which on it is computed.
+ALIKE = 0.8
+LOOSE = 0.7
 #: Bytes of a sketch that candidates have in common, in one of its 36 bands. At a similarity of 0.8, 1 pair
 #: in 4,800 shares no band.
 BAND = 7
@@ -361,16 +363,52 @@ def meetings(distinct: DataFrame) -> DataFrame:
     return checkpointed(named.join(shared, "key").select("key", "fp", "low"))
 
 
-def sketched(pairs: DataFrame, distinct: DataFrame, alike: float) -> DataFrame:
-    """The pairs (a, b) whose sketches have the share `alike` of their bytes in common."""
+def matching(x: np.ndarray, y: np.ndarray, alike: float) -> bool:
+    """Whether two sets of shingle hashes, sorted and distinct, have a Jaccard similarity of alike or more."""
+    least = alike * max(len(x), len(y)) - 1e-9
+    if min(len(x), len(y)) < least:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= alike * (len(x) + len(y) - both) - 1e-9
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(fp, hashes binary) of the wanted (fp, text_key): the sorted distinct shingle hashes, from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingles(x, width)).tobytes() for x in texts(batch)]
+            fps = np.array([xxhash.xxh64_intdigest(x) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(fps), pa.array(sets, pa.binary())], ["fp", "hashes"])
+
+    keys, _ = small(wanted.select("text_key").distinct())
+    chosen = docs.select("text", F.xxhash64("text").alias("text_key")).join(keys, "text_key", "left_semi").dropDuplicates(["text_key"])
+    return checkpointed(chosen.select("text").mapInArrow(run, "fp long, hashes binary"))
+
+
+def verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, width: int, alike: float) -> DataFrame:
+    """The pairs (a, b) of fingerprints whose texts' shingle sets are alike; the sketches rule out most others first."""
+
+    def loosely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, MINIMA) for c in ("x", "y"))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= alike))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= min(LOOSE, alike - 0.1)))
 
-    known = pairs.join(distinct.select(F.col("fp").alias("a"), F.col("sketch").alias("x")), "a").join(distinct.select(F.col("fp").alias("b"), F.col("sketch").alias("y")), "b")
-    return known.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    def exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = ([np.frombuffer(h, np.uint64) for h in batch.column(c).to_pylist()] for c in ("x", "y"))
+            yield batch.select(["a", "b"]).filter(pa.array([matching(x, y, alike) for x, y in zip(*sets)], pa.bool_()))
+
+    ends = lambda table, column: [table.select(F.col("fp").alias(k), F.col(column).alias(v)) for k, v in (("a", "x"), ("b", "y"))]
+    known = pairs
+    for k, end in zip("ab", ends(distinct, "sketch")):
+        known = known.join(end, k)
+    likely = checkpointed(known.select("a", "b", "x", "y").mapInArrow(loosely, "a long, b long"))
+    named = likely.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    known = likely
+    for k, end in zip("ab", ends(shingle_sets(docs, named.join(distinct, "fp"), width), "hashes")):
+        known = known.join(end, k)
+    return checkpointed(known.select("a", "b", "x", "y").mapInArrow(exactly, "a long, b long"))
 
 
 def untested(met: DataFrame, roots: DataFrame) -> DataFrame:
@@ -383,20 +421,20 @@ def untested(met: DataFrame, roots: DataFrame) -> DataFrame:
 def crowded_links(members: DataFrame, alike: float, block: int) -> DataFrame:
     """Links (a, b) between the classes that meet in a band: a forest, but no pair between two trees is left untested.
 
-    members: key, fp, root, n, sketch. Each pair of a band's blocks is compared in one task.
+    members: key, fp, root, n, sketch, hashes. Each pair of a band's blocks is compared in one task.
     """
     blocks = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(x, mine).alias("i"), F.greatest(x, mine).alias("j")))
-    spread = members.select("key", "fp", "root", "sketch", F.explode(others).alias("x")).select("key", "x.i", "x.j", "fp", "root", "sketch")
+    spread = members.select("key", "fp", "root", "sketch", "hashes", F.explode(others).alias("x")).select("key", "x.i", "x.j", "fp", "root", "sketch", "hashes")
 
     def run(bucket: pa.Table) -> pa.Table:
         fps, labels = bucket.column("fp").to_pylist(), np.unique(bucket.column("root").to_numpy(), return_inverse=True)[1]
         sketches = np.frombuffer(b"".join(bucket.column("sketch").to_pylist()), np.uint8).reshape(-1, MINIMA)
-        taken = []
+        sets, taken = [np.frombuffer(h, np.uint64) for h in bucket.column("hashes").to_pylist()], []
         for i in range(len(fps)):
-            for j in (i + 1 + np.flatnonzero((sketches[i + 1 :] == sketches[i]).mean(1) >= alike)).tolist():
-                if labels[i] != labels[j]:
+            for j in (i + 1 + np.flatnonzero((sketches[i + 1 :] == sketches[i]).mean(1) >= min(LOOSE, alike - 0.1))).tolist():
+                if labels[i] != labels[j] and matching(sets[i], sets[j], alike):
                     taken.append((fps[i], fps[j]))
                     labels[labels == labels[j]] = labels[i]
         return pa.table({"a": pa.array([a for a, _ in taken], pa.int64()), "b": pa.array([b for _, b in taken], pa.int64())})
@@ -405,11 +443,11 @@ def crowded_links(members: DataFrame, alike: float, block: int) -> DataFrame:
 
 
 def similar(docs: DataFrame, width: int = 5, alike: float = ALIKE, few: int = FEW, block: int = BLOCK) -> DataFrame:
-    """(doc_id, component_id) of every row, by links between texts with a Jaccard similarity of 0.8 or more.
+    """(doc_id, component_id) of every row, by links between texts with a Jaccard similarity of `alike` or more.
 
     A text stands for all with the same set of shingles. Candidates share a band of their sketches,
-    BAND bytes; a pair is a link if the share `alike` of their whole sketches is equal. First
-    each member of a band is tested against the band's least one. What is linked then is one class, and
+    BAND bytes, and 0.7 of the whole sketches; a pair is a link if their sets of shingle hashes have
+    a Jaccard similarity of `alike`. First each member of a band is tested against the band's least one. What is linked then is one class, and
     in every band whose members are still in several classes all pairs between those are tested: pair by pair if
     there are at most `few` members, else in tasks by blocks. So each candidate pair is tested or its
     ends are in one class by tested links, however the rows are dealt out. Nulls and
@@ -420,19 +458,20 @@ def similar(docs: DataFrame, width: int = 5, alike: float = ALIKE, few: int = FE
         for batch in batches:
             sets = [np.unique(shingles(x, width)) for x in texts(batch)]
             fps = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array([minima(x, MINIMA).tobytes() for x in sets], pa.binary())], ["doc_id", "fp", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2), pa.array([minima(x, MINIMA).tobytes() for x in sets], pa.binary())], ["doc_id", "fp", "text_key", "sketch"])
 
-    narrow = docs.select("doc_id", "text")
-    own = checkpointed(narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, fp long, sketch binary"))
-    distinct = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min("sketch").alias("sketch")))
+    narrow = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    own = checkpointed(narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, fp long, text_key long, sketch binary"))
+    distinct = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min("text_key").alias("text_key"), F.min("sketch").alias("sketch")))
     met = meetings(distinct.select("fp", "sketch"))
-    first = checkpointed(sketched(met.where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct(), distinct, alike))
+    first = verified(met.where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct(), distinct, docs, width, alike)
     rest = untested(met, components(first).select(F.col("node").alias("fp"), "root"))
     one, other = (rest.where((F.col("n") <= few) & (F.col("fp") != F.col("low"))).alias(x) for x in ("one", "other"))
     apart = one.join(other, (F.col("one.key") == F.col("other.key")) & (F.col("one.fp") < F.col("other.fp")) & (F.col("one.root") != F.col("other.root")))
     pairs = apart.select(F.col("one.fp").alias("a"), F.col("other.fp").alias("b")).distinct()
-    crowded = rest.where(F.col("n") > few).join(distinct.select("fp", "sketch"), "fp")
-    links = first.union(sketched(pairs, distinct, alike)).union(crowded_links(crowded, alike, block))
+    crowded = rest.where(F.col("n") > few).join(distinct, "fp")
+    crowded = crowded.join(shingle_sets(docs, crowded, width), "fp")
+    links = first.union(verified(pairs, distinct, docs, width, alike)).union(crowded_links(crowded, alike, block))
     roots = components(links).select(F.col("node").alias("fp"), "root")
     return with_least(own.select("doc_id", "fp"), distinct.select("fp", "low"), roots).select("doc_id", "component_id")
 

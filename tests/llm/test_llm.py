@@ -82,6 +82,22 @@ def test_similar_tests_every_candidate_between_classes(spark):
     assert found == {i: (i - 1) // 82 * 82 + 1 for i in texts}
 
 
+@pytest.mark.parametrize("few", [16, 1])
+def test_similar_is_exact_beside_the_limit(spark, few):
+    """Pairs 0.75 to 0.85 alike, and groups of variants of one text, as by comparison of all shingle sets."""
+    rng, texts = random.Random(6), {}
+    for g in range(150):
+        base = [f"g{g}w{i}" for i in range(400)]
+        for n in (0, 7 + g % 5) if g < 120 else [rng.randrange(1, 7) for _ in range(12)]:
+            changed = {(start + 400 // n * k) % 400 for start in [rng.randrange(400)] for k in range(n)} if n else ()
+            texts[len(texts) + 1] = " ".join(f"u{rng.random()}" if i in changed else w for i, w in enumerate(base))
+    sets = {k: set(simhash.shingles(v.encode(), 5).tolist()) for k, v in texts.items()}
+    alike = lambda x, y: 5 * len(x & y) >= 4 * len(x | y)
+    want = forest((a, b) for a in sets for b in sets if a <= b and b - a < 12 and alike(sets[a], sets[b]))
+    found = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string"), few=few).collect()}
+    assert found == want and 180 < len(set(want.values())) < len(texts)
+
+
 def test_thinning_keeps_links_at_every_distance():
     rng = np.random.default_rng(1)
     values = rng.integers(0, 2**10, 60).astype(np.int64)
