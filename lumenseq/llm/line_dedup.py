@@ -4,10 +4,15 @@ A passage is a run of consecutive lines with PASSAGE words or more. Every line i
 gram is the shortest run from a line on with GRAM words. Each window (the shortest run from a
 line on with PASSAGE words) selects the gram with the least hash in it, so any passage that two
 places share is certain to show the same selected gram at both. Grams that were selected in one
-place only are settled at once: their windows occur nowhere else. For the others the positions
-are joined: window by window, with the first place that holds the same lines. A match grows
-line by line in both directions for as long as the next window matches too, and the later of
-two equal runs is deleted. The first occurrence, by doc_id and line, stays.
+place only are settled at once: their windows occur nowhere else. The others are joined window
+by window with the first place that holds the same lines; the later of two equal windows is deleted.
+The first occurrence, by doc_id and line, stays.
+
+Windows from a line on leave the last lines of a common run, where fewer than PASSAGE words follow.
+With `whole` the shortest runs that end at a line are windows as well. From a run's first line to
+the end of its last forward window, and from the start of its first backward window to its last
+line, each line is in a window inside the run; so exactly the maximal common runs of PASSAGE words or
+more are deleted, to both ends. A line without a word goes only if it lies inside a window.
 """
 
 from __future__ import annotations
@@ -27,11 +32,12 @@ PASSAGE = 50
 GRAM = 25
 
 
-def windows(data: bytes, passage: int = PASSAGE, gram: int = GRAM) -> list[tuple[int, int, int, int, int]]:
+def windows(data: bytes, passage: int = PASSAGE, gram: int = GRAM, whole: bool = False) -> list[tuple[int, int, int, int, int]]:
     """(first line, last line, window hash, selected gram's line, gram hash) of every window.
 
     Lines count from 0; those without a word are passed over, and runs of white space inside a
-    line don't matter. A text of fewer than `passage` words has no window.
+    line don't matter. A text of fewer than `passage` words has no window. With `whole`, the shortest
+    windows that end at each line follow, unless they are among those that start at each line.
     """
     at, sizes, hashes = [], [], []
     for i, line in enumerate(data.split(b"\n")):
@@ -48,10 +54,12 @@ def windows(data: bytes, passage: int = PASSAGE, gram: int = GRAM) -> list[tuple
     window_end = np.searchsorted(total, before + passage).tolist()
     keys = np.array(hashes, np.uint64)
     grams = [xxhash.xxh64_intdigest(keys[i : e + 1].tobytes()) if e < len(at) else None for i, e in enumerate(gram_end)]
+    spans = [(i, e) for i, e in enumerate(window_end) if e < len(at)]
+    if whole:
+        window_start = np.searchsorted(before, total - passage, side="right") - 1  # -1: no such run
+        spans += [(i, e) for e, i in enumerate(window_start.tolist()) if i >= 0 and window_end[i] < e]
     found = []
-    for i, end in enumerate(window_end):
-        if end == len(at):
-            break
+    for i, end in spans:
         last = i
         while last + 1 < len(at) and gram_end[last + 1] <= end:
             last += 1
@@ -64,7 +72,7 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def later_runs(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
+def later_runs(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM, whole: bool = False) -> DataFrame:
     """(doc_id, first, last, from_doc, from_line): lines of doc_id that repeat an earlier window.
 
     Rows of one document may overlap; together they are its repeated passages. Rows with a null
@@ -75,7 +83,7 @@ def later_runs(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> Dat
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
             for doc_id, data in zip(ids, texts(batch)):
-                rows += [(doc_id, *w) for w in windows(data, passage, gram)]
+                rows += [(doc_id, *w) for w in windows(data, passage, gram, whole)]
             columns = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.column(0).type, pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64()))], ["doc_id", "first", "last", "window", "at", "gram"])
 
@@ -101,14 +109,14 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
+def without_repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM, whole: bool = False) -> DataFrame:
     """The rows of docs, all columns, with later repeated runs cut out of text, and n_removed (lines).
 
-    A text that is wholly repeated becomes empty; its row stays. Rows with null text or null
+    Later runs are windows from a line on, as in the SQL of op6; with `whole` maximal common runs. A text that is wholly repeated becomes empty; its row stays. Rows with null text or null
     doc_id come back as they are. Rows that repeat a doc_id are taken as one document: they lose
     the same lines. If docs has n_chars, it is counted anew where lines were cut.
     """
-    runs = later_runs(docs, passage, gram)
+    runs = later_runs(docs, passage, gram, whole)
     cuts = runs.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("_cuts")).withColumnRenamed("doc_id", "_cut_id")
     marked = docs.join(cuts, docs.doc_id == cuts._cut_id, "left").drop("_cut_id")
     columns, text_at = docs.columns, docs.columns.index("text")

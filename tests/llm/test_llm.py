@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lumenseq.llm import decontaminate, html_text, language_id, license_scan, line_dedup, lm_score, packing, quality_rules, queries, simhash, toxicity
 from lumenseq.llm.components import forest
 from tests.test_queries import rows
@@ -155,6 +156,29 @@ def test_lines(spark, odd, empty):
     assert {r.doc_id: r.text for r in line_dedup.without_repeats(docs).collect()} == {1: "top a\n" + shared + "\nend a", 2: "top b\n\nend b", 3: "just one\nshared line 3 with some more words in it"}
 
 
+def test_whole_passages_go(spark):
+    long, short = ("\n".join(" ".join(f"{k}{i}" for i in range(n)) for k, n in ks) for ks in ([("a", 100), ("b", 20)], [("c", 20), ("d", 40), ("e", 8)]))
+    docs = spark.createDataFrame([(1, f"{long}\n{short}\none"), (2, long), (3, f"two\n{short}\nthree")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, SF).collect()} == {1: f"{long}\n{short}\none", 2: "", 3: "two\nthree"}
+    rng = random.Random(8)
+    pool = [" ".join(f"v{i}_{k}" for k in range(rng.choice([0, 3, 12, 20, 60]))) for i in range(60)]
+    texts = {}
+    for i in range(40):
+        starts = [rng.randrange(50) for _ in range(5)]
+        texts[i] = [x for s in starts for x in [*pool[s : s + rng.randrange(1, 10)], f"own {i} {s}"]]
+    found = {r.doc_id: r.text for r in line_dedup.without_repeats(spark.createDataFrame([(i, "\n".join(x)) for i, x in texts.items()], "doc_id long, text string"), whole=True).collect()}
+    seen, want = set(), {}
+    for i, x in texts.items():  # every run of full lines with 50 words or more, against all that start before
+        full, gone = [k for k, line in enumerate(x) if line], set()
+        for s in range(len(full)):
+            runs = [tuple(x[k] for k in full[s:e]) for e in range(s + 1, len(full) + 1) if sum(len(x[k].split()) for k in full[s:e]) >= 50]
+            for run in runs:
+                gone |= set(range(full[s], full[s + len(run) - 1] + 1)) if run in seen else set()
+            seen.update(runs)
+        want[i] = [line for k, line in enumerate(x) if line and k not in gone]
+    assert {i: [line for line in x.split("\n") if line] for i, x in found.items()} == want
+
+
 @pytest.mark.parametrize("limit", [10, 0])
 def test_contained(spark, odd, empty, limit):
     item = " ".join(f"w{i}" for i in range(30))
