@@ -12,6 +12,7 @@ queue, so a pass takes linear time. Each partition of the input packs its own do
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import deque
@@ -21,23 +22,32 @@ from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import texts
-
 SIZE = 4096
 END = 2
 #: Cost, in padding tokens, of a cut inside a document, and of one inside a sentence.
 CUT_DOCUMENT, CUT_SENTENCE = 24.0, 400.0
 #: Tokens that one pass of the dynamic programming takes in; the last window is carried over.
 BLOCK_TOKENS = 1 << 20
-#: Entries that a memory of encoded pieces or units turns over at.
-CACHE = 150_000
-#: Units that end a sentence.
-STOPS = frozenset([".", "!", "?", "...", "!!", "!!!", "?!", '."', '!"', '?"', ".)"])
-#: Fixed values of the tokenizer: the units that it cuts a text into (letters, a digit, an English
-#: ending, marks), and the characters for which this pattern is sure to agree with it.
+#: Encoded pieces that a memory turns over at, and the bytes of text that are encoded at once.
+CACHE, AT_ONCE = 500_000, 8 << 20
+#: Marks that often follow a word; with others of them they are one unit.
+MARKS = b".,;:!?"
+#: How a piece ends that ends a sentence.
+STOPS = tuple(stop + closer for stop in (b".", b"!", b"?") for closer in (b"", b'"', b"'", b")"))
+#: Fixed values of the tokenizer: its rules, the units that they cut a text into (letters, a digit, an
+#: English ending, marks), and the characters for which this pattern is sure to agree with them.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 UNIT = re.compile(r"[^\W\d_]+|\d|'(?:[stmd]|re|ve|ll)|(?:[^\s\w]|_)+")
 UNSURE = re.compile(r"[^\u0000-\u001B\u0020-\u00B1\u00B4-\u00B8\u00BA\u00BB\u00BF-\u012F\u0131-\u024F\u0400-\u0481\u048A-\u052F\u2000-\u206F\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3]")
 
@@ -46,7 +56,7 @@ class Memory(dict):
     """Values of a function by key. When full, what it holds becomes the older half, which is
     forgotten at the next turn but for the keys asked for meanwhile."""
 
-    def __init__(self, function: Callable, size: int = CACHE):
+    def __init__(self, function: Callable, size: int):
         super().__init__()
         self.function, self.size, self.older = function, size, {}
 
@@ -62,53 +72,77 @@ class Memory(dict):
 
 
 class Encoder:
-    """Token ids of a text, by units, which recur and so are remembered, within bounds.
+    """Token ids of a text, by the pieces between white space, which recur and so are remembered, within bounds.
 
     The tokenizer lower-cases, drops white space, cuts the text into runs of letters, single digits
-    and runs of marks, and applies its byte-level BPE model to each of these units. A text with a
-    special token's marks, or with characters whose class or case isn't settled, is taken by pieces
-    between white space, which no token spans; such pieces go through the whole tokenizer.
+    and runs of marks, and applies its byte-level BPE model to each of these units; no token spans
+    white space. A piece with a special token's marks, or with characters whose class or case isn't
+    settled, goes through the whole tokenizer. So does every text if the file's rules aren't these.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        marked = all(t["special"] and t["content"].startswith("<|") and not any(c.isspace() for c in t["content"]) for t in rules["added_tokens"])
+        self.by_pieces = marked and (rules["normalizer"], rules["pre_tokenizer"], rules["post_processor"], rules["model"]["type"]) == (NORMALIZER, PRE_TOKENIZER, None, "BPE")
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [c for c in range(256) if c not in visible]
         self.shown = {c: chr(c) for c in visible} | {c: chr(256 + k) for k, c in enumerate(hidden)}
-        self.units, self.pieces = Memory(self.unit), Memory(self.piece)
-
-    def whole(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        self.pieces = Memory(self.piece, CACHE)
 
-    def unit(self, unit: str) -> bytes:
-        shown = unit if unit.isascii() and unit.isalnum() else "".join(map(self.shown.__getitem__, unit.encode()))
-        ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
-        return pack(f"<{len(ids)}I", *ids)
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def split(self, text: str) -> list[str] | None:
-        """The units of a text, or None if it takes the whole tokenizer to tell them."""
+    def piece(self, data: bytes) -> bytes:
+        word = data.rstrip(MARKS)
+        if word.isalpha():  # ASCII letters, then marks
+            if word == data and word.islower():
+                return self.unit(word.decode())
+            codes = self.pieces[word.lower()]
+            return codes if word == data else codes + self.pieces[data[len(word) :]]
+        text = data.decode("utf-8", "replace")
         if "<|" in text or UNSURE.search(text):
-            return None
-        return UNIT.findall(normalize("NFC", text).lower())
+            return self.whole(text)
+        units = UNIT.findall((text if text.isascii() else normalize("NFC", text)).lower())
+        if len(units) != 1:
+            return b"".join([self.pieces[u.encode()] for u in units])
+        return self.unit(units[0] if data.isalnum() else "".join(map(self.shown.__getitem__, units[0].encode())))
 
-    def encode(self, data: bytes) -> tuple[bytes, np.ndarray]:
-        """Little-endian 32-bit ids, and how many ids there are up to each sentence's end."""
-        text = data.decode("utf-8", "replace")
-        units = self.split(text)
-        if units is not None:
-            codes, ends = list(map(self.units.__getitem__, units)), map(STOPS.__contains__, units)
-        else:
-            pieces = data.split()
-            codes, ends = list(map(self.pieces.__getitem__, pieces)), (p[-1:] in b".!?" for p in pieces)
-        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
-        return b"".join(codes), np.cumsum(sizes)[np.fromiter(ends, bool, len(codes))]
+    def unit(self, shown: str) -> bytes:
+        ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
+        return pack(f"<{len(ids)}I", *ids)
 
-    def piece(self, data: bytes) -> bytes:
-        text = data.decode("utf-8", "replace")
-        units = self.split(text)
-        return self.whole(text) if units is None else b"".join([self.units[u] for u in units])
+    def encode(self, column: pa.Array) -> Iterator[tuple[bytes, np.ndarray]]:
+        """Of each text: little-endian 32-bit ids, and how many ids there are up to each sentence's end."""
+        if not self.by_pieces:
+            yield from ((self.whole(text), np.zeros(0, np.int64)) for text in column.fill_null("").to_pylist())
+            return
+        split = pc.ascii_split_whitespace(column.fill_null(""))
+        flat = split.flatten().dictionary_encode()
+        known = flat.dictionary.cast(pa.large_binary()).to_pylist()
+        codes = list(map(self.pieces.__getitem__, known))
+        code_size = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        at = flat.indices.to_numpy()
+        size = code_size[at]
+        ends = np.cumsum(size)
+        first = (np.cumsum(code_size) - code_size)[at]
+        ids = np.frombuffer(b"".join(codes), "<u4")[np.repeat(first - (ends - size), size) + np.arange(size.sum())]
+        stops = ends[np.fromiter((p.endswith(STOPS) for p in known), bool, len(known))[at]]
+        bounds = np.append(0, ends)[split.offsets.to_numpy()]
+        stop_at = np.searchsorted(stops, bounds, "right")
+        for a, b, i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), stop_at[:-1].tolist(), stop_at[1:].tolist()):
+            yield ids[a:b].tobytes(), stops[i:j] - a
+
+
+def portions(column: pa.Array, most: int = AT_ONCE) -> Iterator[pa.Array]:
+    """The column in slices of about `most` bytes of text; a longer text is a slice of its own."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)), 0
+    while at < len(column):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield column.slice(at, upto - at)
+        at = upto
 
 
 def cuts(ends: np.ndarray, kinds: np.ndarray, size: int = SIZE, penalties: tuple[float, float] = (CUT_DOCUMENT, CUT_SENTENCE)) -> list[int]:
@@ -142,18 +176,24 @@ def cuts(ends: np.ndarray, kinds: np.ndarray, size: int = SIZE, penalties: tuple
 def boundaries(doc_ends: np.ndarray, sentence_ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Allowed cuts and their kinds: document ends, sentence ends, and for stretches longer than
     a quarter window without either, positions inside."""
-    ends = np.union1d(doc_ends, sentence_ends)
+    ends = merged(doc_ends, sentence_ends)
     gaps = np.diff(ends, prepend=0)
     step = max(1, size // 4)
     inner = [np.arange(e - g + step, e, step) for e, g in zip(ends[gaps > step].tolist(), gaps[gaps > step].tolist())]
     if inner:
-        ends = np.union1d(ends, np.concatenate(inner))
+        ends = merged(ends, np.concatenate(inner))
     kinds = np.full(len(ends), 2)
-    kinds[np.isin(ends, sentence_ends)] = 1
-    kinds[np.isin(ends, doc_ends)] = 0
+    kinds[np.searchsorted(ends, sentence_ends)] = 1
+    kinds[np.searchsorted(ends, doc_ends)] = 0
     return ends, kinds
 
 
+def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distinct numbers of both in order."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    return both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+
+
 class Packer:
     """Takes documents in order and gives pieces as soon as their windows are settled."""
 
@@ -221,11 +261,12 @@ def packed(docs: DataFrame, tokenizer_path: str, size: int = SIZE) -> DataFrame:
 
         for batch in batches:
             kind = batch.column(0).type
-            for at in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(at, 256), []
-                for doc_id, data in zip(part.column(0).to_pylist(), texts(part)):
-                    ids, stops = encoder.encode(data)
+            ids_of, at = batch.column(0).to_pylist(), 0
+            for part in portions(batch.column(1)):
+                rows = []
+                for doc_id, (ids, stops) in zip(ids_of[at : at + len(part)], encoder.encode(part)):
                     rows += packer.add(doc_id, ids + end, stops)
+                at += len(part)
                 yield table(rows)
         if kind is not None:
             yield table(list(packer.pack(last=True)))
