@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space of the word definition `[^\x20\x09-\x0D]+`; it is what bytes.split() splits on.
 SPACES = b" \t\n\x0b\x0c\r"
+#: Rows of a table of keys that may be broadcast.
+FEW_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,5 +34,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
+
+
+def few_or_none(table: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """A checkpointed table, to be broadcast in joins if it has at most `most` rows."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def looked_up(rows: DataFrame, values: DataFrame, on: list[str], hot: int) -> DataFrame:
+    """rows joined to values, which has one row a key and n, the key's number of rows: keys with over `hot` rows are
+    broadcast, if their checked number allows it, so that no task takes in all of a frequent key."""
+    frequent = checkpointed(values.where(F.col("n") > hot))
+    plain = rows.join(values.where(F.col("n") <= hot), on)
+    return plain.unionByName(rows.join(few_or_none(frequent), on)) if frequent.limit(1).count() else plain

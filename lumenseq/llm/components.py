@@ -29,21 +29,6 @@ def forest(pairs: Iterator[tuple[int, int]]) -> dict[int, int]:
     return {x: root(x) for x in parent}
 
 
-def spanning(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
-    """The pairs of nodes 0..n-1 that join two trees when taken in order."""
-    parent, taken = list(range(n)), []
-    for x, y in pairs:
-        a, b = x, y
-        while parent[a] != a:
-            parent[a] = a = parent[parent[a]]
-        while parent[b] != b:
-            parent[b] = b = parent[parent[b]]
-        if a != b:
-            parent[b] = a
-            taken.append((x, y))
-    return taken
-
-
 def contracted(edges: DataFrame) -> DataFrame:
     """Each partition's edges as a star forest: the same links, at most one edge a node."""
 
@@ -59,8 +44,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a long, b long), root the least node reachable.
 
     Edges are contracted inside each partition first. Every round takes the least label of
-    all neighbours (a partial aggregate, so a hub's messages shrink before they move) and then
-    the label's own label, which halves the distance left. No node's neighbours are gathered.
+    all neighbours (a partial aggregate, so the messages to a hub shrink before they move) and then
+    the label's own label, which halves the distance left. No node's neighbours are gathered; a hub's
+    own edges, and the nodes of a large component, are a frequent join key that meets a single row,
+    which adaptive execution splits where it is skewed.
     """
     links = checkpointed(contracted(edges))
     both = links.union(links.select("b", "a")).toDF("a", "b")

@@ -3,15 +3,18 @@
 A page is read into a DOM. Elements that are never an article (menus, forms, adverts, ...) are
 marked by tag, role and class. For every other node the composite text density is its characters
 per tag, scaled down by the share of link characters and link tags. A node's density sum is the
-sum over its children. The node with the largest sum is the article; the least density on the
+sum over its children. The node with the largest sum leads to the article: it is that subtree, or the article or
+main element that the subtree lies in. The least density on the
 path from it to body is the threshold, and nodes beside that path which reach it in density and a
-fair share of the sum belong to the article too. The text of the chosen subtrees, block by block,
-is the result.
+fair share of the sum belong to the article too, as do headings before it. Inside an article, a word of class or id
+that may mean something else there ("related", "discussion") marks a part only if most of its text is links.
+The text of the chosen subtrees, block by block, is the result.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from math import e, log
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 # HTML element names by role, and words of class, id and role that mark parts
 # beside the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe noscript noembed noframes xmp template svg math object select".split())
+RAW = frozenset("script style textarea title iframe noscript noembed noframes xmp template svg object select".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -30,13 +33,17 @@ BLOCKS = frozenset(
 CLOSES_P = BLOCKS - frozenset("body caption html legend li summary tbody td tfoot th thead tr dd dt".split()) | {"li", "dd", "dt", "table"}
 SAME_CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("article aside blockquote body div dl footer form header html main nav ol section table td th ul".split())
-ASIDE_TAGS = frozenset("nav aside footer form button dialog menu head input label".split())
+ASIDE_TAGS = frozenset("nav aside footer form button dialog menu head input".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 ASIDE_WORDS = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs "
-    "sidebar aside rail footer foot masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
-    "comment comments commentlist respond disqus reply replies discussion related recommended share sharing social pagination pager toolbar widget widgets copyright".split()
+    "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs "
+    "sidebar cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login comment comments commentlist respond disqus "
+    "pagination pager toolbar widget widgets".split()
 )
+# Words that mark a part outside an article; inside one only with many links.
+OUTER_WORDS = frozenset("banner aside rail footer foot masthead notice notices alert overlay reply replies discussion related recommended share sharing social copyright".split())
+# Words that may stand beside these in one name; "related-work" is none.
+LAYOUT_WORDS = frozenset("area bar block bottom box button buttons container content float group holder icons inline inner item items left link links list main module outer panel post posts right row section slot stories text thread top unit wrap wrapper".split())
 HEADER_WORDS = frozenset(["header", "topbar"])
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z", re.S)
@@ -46,38 +53,54 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "off", "in_link", "chars", "link_chars", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "off", "in_link", "chars", "link_chars", "tags", "link_tags", "density", "total", "doubtful")
 
     def __init__(self, tag: str, parent: Node | None, off: bool = False, in_link: bool = False):
         self.tag, self.parent, self.off, self.in_link = tag, parent, off, in_link
         self.parts: list[Node | str] = []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
+        self.doubtful = False
 
 
-def is_aside(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is beside the article; inside: it is within article or main."""
+def named(value: str, words: frozenset[str]) -> bool:
+    """Whether a name in a class or id attribute is made of these words, layout words and numbers."""
+    for name in value.split():
+        parts = {w.lower() for w in WORDS.findall(name)}
+        if parts & words and all(w in words or w in LAYOUT_WORDS or w.isdigit() for w in parts):
+            return True
+    return False
+
+
+def aside(tag: str, attributes: str, inside: bool) -> int:
+    """2 if an element is beside the article, 1 if it is when most of its text is links; inside: it is within article or main."""
     if tag in ASIDE_TAGS or (tag == "header" and not inside):
-        return True
+        return 2
     if not attributes or tag in ("html", "body"):
-        return False
+        return 0
+    found = 0
     for name, *values in HINTS.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and HIDDEN.search(value)):
-            return True
+            return 2
         if name == "role" and value.lower() in ASIDE_ROLES:
-            return True
+            return 2
         if name in ("class", "id") and tag not in ("article", "main"):
-            words = {w.lower() for w in WORDS.findall(value)}
-            if words & ASIDE_WORDS or (not inside and words & HEADER_WORDS and not words & {"article", "entry", "post", "content", "title"}):
-                return True
-    return False
+            if named(value, ASIDE_WORDS) or (not inside and named(value, OUTER_WORDS | ASIDE_WORDS | HEADER_WORDS)):
+                return 2
+            found |= named(value, OUTER_WORDS)
+    return found
 
 
 def parse(html: str) -> Node:
     """The page's DOM; tolerant of missing end tags and of a cut-off end."""
     root = Node("html", None)
     stack, at = [root], 0
+    opened: Counter[str] = Counter()  # how many elements of a tag are open
+
+    def close(k: int) -> None:
+        opened.subtract(x.tag for x in stack[k:])
+        del stack[k:]
 
     def text(upto: int) -> None:
         if upto > at:
@@ -91,19 +114,17 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if slash:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
-        if tag in ("html", "body") and any(x.tag == tag for x in stack[1:]):
+        if tag in ("html", "body") and opened[tag]:
             continue
         if tag == "body":
-            del stack[1:]  # head ends here
+            close(1)  # head ends here
         closes = SAME_CLOSES.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
-        for k in range(len(stack) - 1, 0, -1):
+        for k in range(len(stack) - 1, 0, -1) if any(opened[x] for x in closes) else ():
             if stack[k].tag in closes:
-                del stack[k:]
+                close(k)
                 break
             if stack[k].tag in SCOPES:
                 break
@@ -115,11 +136,13 @@ def parse(html: str) -> Node:
         if tag in VOID:
             top.parts.append(Node(tag, top))
             continue
-        inside = any(x.tag in ("article", "main") for x in stack)
-        node = Node(tag, top, top.off or is_aside(tag, attributes, inside), top.in_link or tag == "a")
+        mark = aside(tag, attributes, opened["article"] + opened["main"] > 0)
+        node = Node(tag, top, top.off or mark == 2, top.in_link or tag == "a")
+        node.doubtful = mark == 1
         top.parts.append(node)
         if not attributes.rstrip().endswith("/") or tag in BLOCKS:
             stack.append(node)
+            opened[tag] += 1
     text(len(html))
     return root
 
@@ -142,30 +165,25 @@ def score(root: Node) -> list[Node]:
         own = sum(len("".join(x.split())) for x in node.parts if isinstance(x, str))
         node.chars += own
         node.link_chars += own * node.in_link
-        if node.parent:
+        if node.doubtful and 2 * node.link_chars > node.chars:
+            node.off = True
+        if node.parent and not node.off:
             up = node.parent
             up.chars, up.link_chars = up.chars + node.chars, up.link_chars + node.link_chars
             up.tags, up.link_tags = up.tags + node.tags + 1, up.link_tags + node.link_tags + (node.tag == "a")
-    body = root
-    share = body.link_chars / max(1, body.chars)
+    nodes = walk(root)
+    share = root.link_chars / max(1, root.chars)
     for node in reversed(nodes):
         c, lc, t, lt = node.chars, node.link_chars, max(1, node.tags), max(1, node.link_tags)
         if c:
             base = log(c / max(1, c - lc) * lc + share * c + e)
             adjusted = log(max(1.0, c / max(1, lc) * t / lt)) / log(max(base, 1.0 + 1e-9))
             node.density = c / t * adjusted
-        if node.parent and node.tag in BLOCKS:
-            block(node.parent).total += node.density  # inline elements belong to their block
+        if node.parent:
+            node.parent.total += node.density
     return nodes
 
 
-def block(node: Node) -> Node:
-    """The block that a node is in, or itself."""
-    while node.parent and node.tag not in BLOCKS:
-        node = node.parent
-    return node
-
-
 def lifted(node: Node) -> Node:
     """The outermost article around a node, else the outermost main, else the node."""
     around = [node]
@@ -195,7 +213,7 @@ def chosen(root: Node) -> list[Node]:
 
 def belongs(node: Node, best: Node, threshold: float, before: bool) -> bool:
     """Whether a node beside the path from the article to body is part of the article."""
-    if node.off or not node.chars or 2 * node.link_chars >= node.chars or node.tag not in BLOCKS or best.tag in ("article", "main"):
+    if node.off or not node.chars or 2 * node.link_chars >= node.chars or node.tag not in BLOCKS:
         return False
     return (before and node.tag in ("h1", "h2")) or (node.density >= threshold and 4 * max(node.total, node.density) >= best.total)
 
@@ -237,7 +255,8 @@ def main_text(html: str | None) -> str:
 
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page. Null html counts as empty; repeated rows and
-    null ids or urls come back as they are; a page without an article has an empty text."""
+    null ids or urls come back as they are; a page without an article has an empty text. Pages of any length and
+    depth are read whole, in linear time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

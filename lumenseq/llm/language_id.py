@@ -11,7 +11,6 @@ filter of width 2, 3, 4 or 5 costs one to three lookups a position.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -25,12 +24,10 @@ from .common import texts
 WINDOW = 256
 WIDTHS = (2, 3, 4, 5)
 FILTERS = 8
-#: The training sample's bounds: rows for each language, and windows from each row.
-ROWS_PER_LANGUAGE = 400
-WINDOWS_PER_ROW = 6
+#: The training sample's bound in rows for each language.
+ROWS_PER_LANGUAGE = 250
 EPOCHS = 6
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
 
 
 class Model(NamedTuple):
@@ -132,12 +129,11 @@ class Network:
         means = np.add.reduceat(logs, np.cumsum(counts) - counts, axis=0) / counts[:, None]
         shares = softmax(means)
         best = shares.argmax(1)
-        return [(self.model.languages[b], float(s[b])) if LETTER.search(x.decode("utf-8", "replace")) else (UNDETERMINED, 0.0) for x, b, s in zip(data, best, shares)]
+        return [(self.model.languages[b], float(s[b])) if any(map(str.isalpha, x.decode("utf-8", "replace"))) else (UNDETERMINED, 0.0) for x, b, s in zip(data, best, shares)]
 
 
-def sampled_windows(rows: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, windows_per_row: int = WINDOWS_PER_ROW) -> list[tuple[str, bytes]]:
-    """(lang, window) of a bounded sample: of each language about rows_per_language rows, chosen by
-    hashed id, and of each row at most windows_per_row windows, spread evenly over its whole text."""
+def sampled_windows(rows: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> list[tuple[str, bytes]]:
+    """(lang, window) of a bounded sample: all windows of about rows_per_language rows of each language, chosen by hashed id."""
     labelled = rows.where("lang is not null and text is not null")
     counts = labelled.groupBy("lang").count().collect()
     # A row is taken by its hashed id alone, at a rate that yields the bound on average.
@@ -146,10 +142,14 @@ def sampled_windows(rows: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE,
         return []
     rank = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
     rate = F.element_at(F.create_map(*[F.lit(x) for pair in rates.items() for x in pair]), F.col("lang"))
-    start = lambda k: (F.floor((F.length("text") * k) / windows_per_row) + 1).cast("int")
-    spots = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(windows_per_row - 1)), lambda k: F.substring(F.col("text"), start(k), F.lit(WINDOW))))
-    chosen = labelled.where(rank < rate).select("lang", F.explode(spots).alias("spot"))
-    return [(r.lang, r.spot.encode()[:WINDOW]) for r in chosen.collect() if r.spot.strip()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [(lang, w.tobytes()) for lang, data in zip(batch.column(0).to_pylist(), texts(batch)) if data.strip() for w in to_windows(data)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in cut], pa.string()), pa.array([x[1] for x in cut], pa.binary())], ["lang", "spot"])
+
+    chosen = labelled.where(rank < rate).select("lang", "text").mapInArrow(run, "lang string, spot binary")
+    return [(r.lang, bytes(r.spot)) for r in chosen.collect()]
 
 
 def learn(rows: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Network | None:
@@ -167,7 +167,7 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
     """(doc_id, lang_pred, score) of every row, from its text alone.
 
     A text that is null or has no letter gets `und` and score 0, as does every text if there was
-    nothing to learn from. Repeated rows get equal results.
+    nothing to learn from. Repeated rows get equal results. Very long texts are scored whole, window by window.
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(network and network.model)

@@ -1,16 +1,17 @@
 """License detection by ordered signature rules.
 
-A text becomes lower-case words joined by single spaces. Some three hundred regular expressions
-recognise licenses in it: hand-written names of licenses, each in hand-written contexts (a grant,
-a title, an identifier tag, an address, ...). A rule only runs if its keywords are all among the
-text's words. Where detections overlap, a detection inside the interval of one with a higher
-priority, or of an equal one that is longer, is suppressed, so that "gnu lesser general public
-license version 3" is not also a general public license.
+A text becomes lower-case words joined by single spaces. Hand-written signatures (notices, headers, clauses,
+expressions, version-bound wordings) and some three hundred patterns of license names in hand-written contexts (a grant,
+a title, an identifier tag, an address, ...) recognise licenses in it. A rule only runs if its keywords are all among the
+text's words. A detection inside the interval of one with a higher priority, or of an equal one
+that is longer, is suppressed, so that "gnu lesser general public license version 3" is not also a
+general public license. Detections that overlap in part only name different things and stay.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -93,17 +94,143 @@ CONTEXTS = (
 )
 #: Names that say "license" themselves or need no such word to be plain.
 PLAIN = frozenset(["apache-1.1", "apache-2", "gpl-2", "gpl-3", "lgpl-2.1", "lgpl-3", "agpl-3", "mpl-1.1", "mpl-2", "epl-1", "epl-2", "cc0", "cc-by-nc-nd", "cc-by-nc-sa", "cc-by-nc", "cc-by-nd", "cc-by-sa"])
-#: Whole sentences that identify a license without its name.
-SENTENCES = (
-    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", "hereby", 20, 0.7),
-    ("isc", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "hereby", 25, 0.8),
-    ("bsd", r"redistribution and use in source and binary forms with or without modification are permitted", "redistribution", 20, 0.7),
-    ("zlib", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable", "warranty", 20, 0.7),
-    ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered", 65, 1.0),
-    ("public-domain", r"(?:released|placed|dedicated|put) (?:in|into|to) the public domain", "domain", 50, 0.9),
-    ("proprietary", r"all rights reserved", "reserved", 10, 0.4),
-    ("proprietary", r"(?:proprietary and confidential|confidential and proprietary)", "confidential", 20, 0.6),
-)
+#: Signatures of notices, headers, clauses and expressions as words: label, keyword, priority, score, pattern.
+SIGNATURES = r"""
+mit | hereby | 20 | 0.7 | permission is hereby granted free of charge to any person obtaining a copy
+mit | notice | 18 | 0.6 | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+mit | merchantability | 12 | 0.5 | the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
+mit | mit | 35 | 0.85 | (?:this|the) (?:project|software|code|library|package|work|file|program) is (?:mit|mit licensed)
+mit | mit | 33 | 0.8 | mit licensed
+mit | mit | 58 | 1.0 | license mit
+mit | mit | 34 | 0.8 | (?:see|read) (?:the )?license (?:file )?for (?:the )?mit (?:terms|text|details)
+mit-0 | attribution | 48 | 0.9 | mit no attribution(?: license)?
+mit-0 | mit | 60 | 1.0 | spdx license identifier mit 0
+isc | fee | 25 | 0.8 | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+isc | disclaims | 18 | 0.6 | the author disclaims all warranties with regard to this software including all implied warranties
+isc | isc | 58 | 1.0 | license isc
+bsd | redistribution | 20 | 0.7 | redistribution and use in source and binary forms with or without modification are permitted
+bsd | redistributions | 19 | 0.6 | redistributions of source code must retain the above copyright notice this list of conditions
+bsd | redistributions | 19 | 0.6 | redistributions in binary form must reproduce the above copyright notice this list of conditions
+bsd | holders | 15 | 0.5 | this software is provided by the copyright holders and contributors as is
+bsd | bsd | 34 | 0.8 | bsd (?:style )?licensed
+bsd | bsd | 35 | 0.8 | (?:use of this source code|this source code) is governed by a bsd style license
+bsd-3-clause | endorse | 28 | 0.85 | neither the name of (?:the )?(?:\w+ ){1,8}nor the names of (?:its|the) contributors may be used to endorse or promote products
+bsd-4-clause | advertising | 29 | 0.9 | all advertising materials mentioning features or use of this software must display the following acknowledg(?:e)?ment
+bsd-2-clause | bsd | 59 | 1.0 | license bsd 2 clause
+bsd-3-clause | bsd | 59 | 1.0 | license bsd 3 clause
+bsd-4-clause | bsd | 59 | 1.0 | license bsd 4 clause
+0bsd | 0bsd | 59 | 1.0 | license 0bsd
+apache-2 | apache | 52 | 1.0 | licensed under the apache license version 2(?: 0)?
+apache-2 | compliance | 30 | 0.8 | you may not use this file except in compliance with the license
+apache-2 | apache | 51 | 1.0 | you may obtain a copy of the license at (?:https? )?www apache org licenses license 2 0
+apache-2 | agreed | 24 | 0.7 | unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+apache-2 | grant | 22 | 0.7 | each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license
+apache-2 | apache | 36 | 0.85 | apache 2(?: 0)? licensed
+apache-2 | apache | 33 | 0.8 | (?:asl|al) 2 0 apache
+apache-2 | apache | 59 | 1.0 | license apache 2 0
+apache-1.1 | apache | 42 | 0.9 | this product includes software developed by the apache software foundation
+gpl-2 | gnu | 54 | 1.0 | gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version
+gpl-2 | gnu | 53 | 1.0 | gnu general public license version 2 (?:only )?as published by the free software foundation
+gpl-3 | gnu | 54 | 1.0 | gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version
+gpl-3 | gnu | 53 | 1.0 | gnu general public license version 3 (?:only )?as published by the free software foundation
+gpl | redistribute | 26 | 0.7 | this program is free software you can redistribute it and or modify it under the terms of the gnu general public license
+gpl | merchantability | 22 | 0.6 | this program is distributed in the hope that it will be useful but without any warranty
+gpl | gnu | 24 | 0.7 | you should have received a copy of the gnu general public license along with this program
+gpl | copyleft | 16 | 0.5 | everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed
+gpl-2 | gplv2 | 44 | 0.95 | (?:gnu )?gplv2(?: only| or later)?
+gpl-3 | gplv3 | 44 | 0.95 | (?:gnu )?gplv3(?: only| or later)?
+gpl-2 | gpl | 61 | 1.0 | spdx license identifier gpl 2 0(?: only| or later)?
+gpl-3 | gpl | 61 | 1.0 | spdx license identifier gpl 3 0(?: only| or later)?
+gpl-2 | gpl | 59 | 1.0 | license gpl 2(?: 0)?
+gpl-3 | gpl | 59 | 1.0 | license gpl 3(?: 0)?
+gpl-2-classpath | classpath | 64 | 1.0 | (?:gpl|gnu general public license) (?:version )?2(?: 0)?(?: only)? with (?:the )?classpath exception(?: 2 0)?
+gpl-2-classpath | linking | 47 | 0.9 | linking this library statically or dynamically with other modules is making a combined work based on this library
+lgpl-2.1 | lesser | 56 | 1.0 | gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version
+lgpl-3 | lesser | 56 | 1.0 | gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version
+lgpl-2 | library | 56 | 1.0 | gnu library general public license as published by the free software foundation either version 2 of the license
+lgpl | lesser | 28 | 0.7 | this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license
+lgpl | library | 23 | 0.6 | this library is distributed in the hope that it will be useful but without any warranty
+lgpl-2.1 | lgplv2 | 46 | 0.95 | lgplv2 1(?: only| or later)?
+lgpl-3 | lgplv3 | 46 | 0.95 | lgplv3(?: only| or later)?
+agpl-3 | affero | 57 | 1.0 | gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version
+agpl-3 | affero | 30 | 0.75 | under the terms of the gnu affero general public license
+agpl-3 | agplv3 | 46 | 0.95 | agplv3(?: only| or later)?
+agpl-3 | remotely | 27 | 0.8 | all users interacting with it remotely through a computer network
+mpl-2 | mozilla | 57 | 1.0 | this source code form is subject to the terms of the mozilla public license v 2 0
+mpl-2 | mpl | 50 | 1.0 | if a copy of the mpl was not distributed with this file you can obtain one at
+mpl-1.1 | mozilla | 55 | 1.0 | the contents of this file are subject to the mozilla public license version 1 1
+mpl-2 | mpl | 59 | 1.0 | license mpl 2 0
+epl-1 | eclipse | 54 | 1.0 | (?:made available|distributed) under the terms of the eclipse public license v ?1 0
+epl-2 | eclipse | 54 | 1.0 | (?:made available|distributed) under the terms of the eclipse public license (?:v ?)?2 0
+cddl | cddl | 50 | 0.95 | the contents of this file are subject to the terms of the common development and distribution license
+cddl | cddl | 48 | 0.9 | cddl 1 [01]
+cpl | common | 46 | 0.9 | common public license version 1 0
+ipl | ibm | 46 | 0.9 | ibm public license version 1 0
+eupl | eupl | 54 | 1.0 | licensed under the eupl(?: version)?(?: 1 [012])?
+artistic | artistic | 47 | 0.9 | the artistic license(?: 2 0| version 2 0)?
+artistic | perl | 46 | 0.9 | (?:free software you can redistribute it and or modify it )?under the same terms as perl(?: itself)?
+zlib | altered | 24 | 0.8 | altered source versions must be plainly marked as such and must not be misrepresented as being the original software
+zlib | misrepresented | 24 | 0.8 | the origin of this software must not be misrepresented you must not claim that you wrote the original software
+zlib | warranty | 20 | 0.7 | this software is provided as is without any express or implied warranty in no event will the authors be held liable
+bsl-1 | boost | 56 | 1.0 | distributed under the boost software license version 1 0
+unlicense | unencumbered | 65 | 1.0 | this is free and unencumbered software released into the public domain
+unlicense | dedicate | 40 | 0.9 | anyone is free to copy modify publish use compile sell or distribute this software
+wtfpl | wtfpl | 46 | 0.95 | do what the fuck you want to(?: public license)?
+cc0 | waived | 50 | 0.95 | (?:has|have) waived all copyright and related or neighboring rights to
+cc0 | cc0 | 47 | 0.9 | (?:released|dedicated|published|placed) (?:under|into|to|using) (?:the )?(?:creative commons )?cc0
+cc-by | commons | 56 | 0.95 | this work is licensed under a creative commons attribution(?: [1-4] 0)?(?: international| unported| generic)? license
+cc-by-sa | commons | 63 | 1.0 | this work is licensed under a creative commons attribution share ?alike(?: [1-4] 0)?(?: international| unported| generic)? license
+cc-by-nd | commons | 63 | 1.0 | this work is licensed under a creative commons attribution no ?deriv(?:ative)?s(?: [1-4] 0)?(?: international| unported)? license
+cc-by-nc | commons | 62 | 1.0 | this work is licensed under a creative commons attribution non ?commercial(?: [1-4] 0)?(?: international| unported)? license
+cc-by-nc-sa | commons | 66 | 1.0 | this work is licensed under a creative commons attribution non ?commercial share ?alike(?: [1-4] 0)?(?: international| unported)? license
+cc-by-nc-nd | commons | 66 | 1.0 | this work is licensed under a creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: [1-4] 0)?(?: international| unported)? license
+cc-by-sa | wikipedia | 38 | 0.8 | text is available under the creative commons attribution share ?alike license
+cc-by | creativecommons | 58 | 1.0 | creativecommons org licenses by [1-4] [05]
+cc-by-sa | creativecommons | 62 | 1.0 | creativecommons org licenses by sa [1-4] [05]
+cc-by-nc | creativecommons | 62 | 1.0 | creativecommons org licenses by nc [1-4] [05]
+cc-by-nd | creativecommons | 62 | 1.0 | creativecommons org licenses by nd [1-4] [05]
+cc-by-nc-sa | creativecommons | 66 | 1.0 | creativecommons org licenses by nc sa [1-4] [05]
+cc-by-nc-nd | creativecommons | 66 | 1.0 | creativecommons org licenses by nc nd [1-4] [05]
+cc0 | creativecommons | 62 | 1.0 | creativecommons org publicdomain zero 1 0
+public-domain | creativecommons | 56 | 0.95 | creativecommons org publicdomain mark 1 0
+public-domain | domain | 50 | 0.9 | (?:released|placed|dedicated|put) (?:in|into|to) the public domain
+public-domain | domain | 42 | 0.8 | (?:this|the) (?:work|file|code|software|text) is (?:in )?(?:the )?public domain
+gfdl | documentation | 56 | 1.0 | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license
+gfdl | gfdl | 45 | 0.9 | (?:gnu )?fdl version 1 [123]
+ofl | font | 56 | 1.0 | this font software is licensed under the sil open font license version 1 1
+ofl | reserved | 36 | 0.8 | with reserved font name
+odbl | database | 54 | 1.0 | made available under the open database license
+odc-by | commons | 54 | 1.0 | made available under the open data commons attribution license
+pddl | commons | 52 | 0.95 | open data commons public domain dedication and license
+ogl | government | 52 | 0.95 | open government licence(?: v ?[123](?: 0)?)?
+python-2 | psf | 50 | 0.95 | python software foundation license version 2
+php-3 | php | 54 | 1.0 | this source file is subject to version 3 01? of the php license
+openssl | openssl | 50 | 0.95 | this product includes software developed by the openssl project
+ssleay | eric | 50 | 0.95 | this product includes cryptographic software written by eric young
+sspl | server | 54 | 1.0 | server side public license(?: version 1| v ?1)?
+busl | business | 52 | 0.95 | business source license 1 1
+elastic-2 | elastic | 52 | 0.95 | elastic license (?:2 0|v2)
+commons-clause | clause | 50 | 0.9 | commons clause license condition(?: v ?1 0)?
+json | evil | 40 | 0.9 | the software shall be used for good not evil
+beerware | beer | 48 | 0.95 | the beer ?ware license
+afl | academic | 48 | 0.95 | academic free license (?:version )?[123](?: [012])?
+osl | open | 46 | 0.9 | open software license (?:version |v )?[123](?: [01])?
+upl | universal | 48 | 0.95 | universal permissive license
+ncsa | illinois | 50 | 0.95 | university of illinois ncsa open source license
+w3c | w3c | 48 | 0.95 | w3c software (?:and document )?(?:notice and )?license
+unicode | unicode | 48 | 0.95 | unicode license (?:agreement|v3)
+llama | llama | 48 | 0.95 | llama [23](?: [123])? community license(?: agreement)?
+openrail | responsible | 50 | 0.95 | (?:creativeml )?open rail(?: m| plus plus m)? license
+proprietary | reserved | 10 | 0.4 | all rights reserved
+proprietary | confidential | 20 | 0.6 | (?:proprietary and confidential|confidential and proprietary)
+proprietary | unauthorized | 20 | 0.6 | unauthorized (?:copying|use|reproduction|distribution)(?: or \w+)? of this (?:file|software|document|material|work)(?: via any medium)? is strictly prohibited
+proprietary | reproduced | 18 | 0.5 | no part of this (?:publication|book|work|document) may be reproduced
+proprietary | written | 16 | 0.5 | without (?:the )?(?:prior|express) written (?:permission|consent) of the (?:author|publisher|copyright (?:holder|owner)|company)
+proprietary | internal | 14 | 0.4 | for internal use only
+non-commercial | commercial | 30 | 0.6 | for (?:personal and |research and |educational and )?non ?commercial (?:use|purposes) only
+non-commercial | commercial | 26 | 0.5 | commercial use (?:of this \w+ )?is (?:not permitted|prohibited|forbidden)
+research-only | research | 30 | 0.6 | for (?:academic )?research (?:use|purposes) only
+"""
 
 
 class Rule(NamedTuple):
@@ -115,7 +242,7 @@ class Rule(NamedTuple):
 
 
 def rules() -> list[Rule]:
-    """Every name in every context, and the sentences, by falling priority."""
+    """The signatures, and every name in every context, by falling priority."""
     either = lambda words: frozenset(words.split("|"))
     out = []
     for label, name, tag, words, specific in NAMES:
@@ -125,14 +252,22 @@ def rules() -> list[Rule]:
             out.append(Rule(label, re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])"), keywords, priority + specific, score))
         if label in PLAIN:
             out.append(Rule(label, re.compile(rf"(?<![^ ])(?:{name})(?![^ ])"), (either(words),), 41 + specific, 0.75))
-    for label, pattern, needs, priority, score in SENTENCES:
-        out.append(Rule(label, re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])"), (either(needs),), priority, score))
+    for line in SIGNATURES.strip().split("\n"):
+        label, needs, priority, score, pattern = line.split(" | ")
+        out.append(Rule(label, re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])"), (either(needs),), int(priority), float(score)))
     return sorted(out, key=lambda r: (-r.priority, r.label))
 
 
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 
 
+def below(at: int) -> Iterator[int]:
+    """The places of a binary indexed tree that together cover 1..at."""
+    while at:
+        yield at
+        at &= at - 1
+
+
 class Scanner:
     def __init__(self):
         self.rules = rules()
@@ -147,9 +282,15 @@ class Scanner:
                 found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(text)]
         found.sort(key=lambda x: (-x[2].priority, x[0] - x[1], x[0]))
         kept: list[tuple[int, int, str, float]] = []
+        starts = sorted({x[0] for x in found})
+        reach = [0] * (len(starts) + 1)  # a binary indexed tree of the furthest end kept so far, by start
         for start, end, rule in found:
-            if not any(a <= start and end <= b for a, b, _, _ in kept):
+            at = bisect_right(starts, start)
+            if not any(reach[k] >= end for k in below(at)):
                 kept.append((start, end, rule.label, rule.score))
+                while at <= len(starts):
+                    reach[at] = max(reach[at], end)
+                    at += at & -at
         return kept
 
     def scan(self, data: bytes) -> tuple:
@@ -161,9 +302,10 @@ class Scanner:
         joined = b" ".join(words)
         padded, places, base = b" " + joined + b" ", [], set()
         for phrase, label in self.base.items():
-            at = padded.find(phrase)
+            at, word, counted = padded.find(phrase), 0, 0
             while at >= 0:
-                places.append(padded.count(b" ", 0, at))
+                word, counted = word + padded.count(b" ", counted, at), at
+                places.append(word)
                 base.add(label)
                 at = padded.find(phrase, at + 1)
         found = self.detections(joined.decode("utf-8", "replace"), {x.decode() for x in present})

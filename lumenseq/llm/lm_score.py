@@ -3,15 +3,17 @@
     p(w | v) = a_b * c(v w) / c(v) + (1 - a_b) * ((1 - u) * c(w) / N + u / (V + 1))
 
 b is the bucket of the context's frequency c(v), in powers of two. The weights are learned by
-expectation-maximisation on held-out counts: in each block of documents the training texts of one
-half are scored by the counts of the other, bucketed by how often the context was seen there, and
-the sufficient statistics of all blocks are added up. How far an estimate from n sightings of a
-context can be trusted depends on n alone, so the weights carry over to the whole corpus.
-
-Words are known by 64-bit hashes. Documents are dealt into blocks by their ids. A block counts its
-n-grams with numpy and asks, in sorted arrays, one bucket of the hash range each for the corpus
-counts; a bucket adds up what all blocks counted and answers each block. A frequent n-gram weighs
-one array cell a block, so there is no hot key. Blocks and buckets grow in number with the input.
+expectation-maximisation on held-out counts: the training documents are halved by a hash of doc_id, and
+each half's tokens are judged by the other half's counts over the whole corpus, bucketed by how
+often the context was seen there. How far an estimate from n sightings of a context can be
+trusted depends on n alone, so the weights carry over to the counts of both halves together.
+
+Words are known by 64-bit hashes. The input is cut into blocks, each written once as the hashes of its
+words and its texts as numbers of these. A block counts its n-grams with numpy and asks, in sorted arrays,
+the buckets of the hash range for the corpus counts; a bucket adds up what all blocks
+counted and answers each block. A frequent n-gram weighs one array cell a block, so there is no hot
+key. There is a row for each block and bucket that have an n-gram in common, so no more rows than n-grams that
+the blocks tell. Scores don't depend on how the rows are dealt into partitions and blocks.
 """
 
 from __future__ import annotations
@@ -23,55 +25,83 @@ from math import ceil, log10
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fold, texts
+from .common import checkpointed, fold, texts
 
-#: Text bytes in a block, about; a block is one task's work.
+#: Text bytes in a block, about.
 BLOCK_BYTES = 8 << 20
-LEVELS = 24
-GRID = 64
+LEVELS = 64
+#: Estimates of held-out tokens are kept to a quarter of a power of two, down to 2 ** -48.
+STEPS, GRID = 4, 4 * 48 + 1
 START, STOP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Added to the low bit of a hash, so that words and pairs never share a key.
-UNIGRAM, BIGRAM = np.uint64(0), np.uint64(1)
+#: Bytes of a key inside its bucket's range. The range shrinks as buckets grow in number, so that the chance that
+#: a key meets another one by its hash alone is about one in 10^8 at every size.
+KEY_BYTES = 6
+
+
+class Block:
+    """Texts as ids of their own vocabulary; id 0 starts a text, id 1 ends it. flags: 1 in training, 2 in the second half."""
+
+    def __init__(self, hashes: np.ndarray, word: np.ndarray, sizes: np.ndarray, flags: np.ndarray):
+        self.hashes, self.word, self.sizes, self.flags = hashes, word, sizes, flags
+        self.row = np.repeat(np.arange(len(sizes)), sizes)
+        self.before = np.zeros_like(word)
+        self.before[1:] = word[:-1]
+        self.before[np.cumsum(sizes)[:-1]] = 0
+        self.training, self.half = (flags[self.row] & 1).astype(bool), flags[self.row] >> 1
+        pairs, self.pair_of = np.unique(self.before.astype(np.int64) * len(hashes) + word, return_inverse=True)
+        left, right = np.divmod(pairs, len(hashes))
+        self.pair_hashes = mixed(hashes[left], hashes[right])
+
+    @classmethod
+    def of(cls, rows: list[tuple[bytes, int]]) -> Block:
+        ids: defaultdict[bytes, int] = defaultdict()
+        ids.default_factory = ids.__len__
+        ids[b" start"], ids[b" stop"]
+        word, sizes = [], []
+        for data, _ in rows:
+            words = data.lower().split()
+            word += map(ids.__getitem__, words)
+            word.append(1)
+            sizes.append(len(words) + 1)
+        digest = xxhash.xxh64_intdigest
+        hashes = np.fromiter(map(digest, ids), np.uint64, len(ids))
+        hashes[:2] = START, STOP
+        return cls(hashes, np.array(word, np.int32), np.array(sizes, np.int64), np.array([f for _, f in rows], np.uint8))
 
+    def packed(self) -> bytes:
+        parts = [self.hashes.tobytes(), planes(self.word), planes(self.sizes), zlib.compress(self.flags.tobytes(), 1)]
+        return b"".join([np.array([len(p) for p in parts], "<u4").tobytes(), *parts])
 
-class Tokens:
-    """The texts of a block as ids of its own vocabulary; id 0 starts a text, id 1 ends it."""
+    @classmethod
+    def unpacked(cls, data: bytes) -> Block:
+        ends = 16 + np.cumsum(np.frombuffer(data, "<u4", 4), dtype=np.int64)
+        hashes, word, sizes, flags = (data[a:b] for a, b in zip([16, *ends[:-1].tolist()], ends.tolist()))
+        return cls(np.frombuffer(hashes, np.uint64), from_planes(word, np.int32), from_planes(sizes, np.int64), np.frombuffer(zlib.decompress(flags), np.uint8))
 
-    def __init__(self):
-        self.ids: defaultdict[bytes, int] = defaultdict()
-        self.ids.default_factory = self.ids.__len__
-        self.ids[b" start"], self.ids[b" stop"]
-        self.rows: list[np.ndarray] = []
-        self.training: list[bool] = []
+    def own_counts(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(hashes, counts in the two halves' training texts) of the words, then of the pairs; the start's count is that of texts."""
+        found = []
+        for place, hashes in ((self.word, self.hashes), (self.pair_of, self.pair_hashes)):
+            found.append((hashes, np.stack([np.bincount(place[self.training & (self.half == h)], minlength=len(hashes)) for h in (0, 1)])))
+        found[0][1][:, 0] = [((self.flags & 1) & (self.flags >> 1 == h)).sum() for h in (0, 1)]
+        return found
 
-    def add(self, data: bytes, training: bool) -> None:
-        words = data.lower().split()
-        row = np.ones(len(words) + 1, np.int32)
-        row[:-1] = np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words))
-        self.rows.append(row)
-        self.training.append(training)
 
-    def hashes(self) -> np.ndarray:
-        digest = xxhash.xxh64_intdigest
-        out = np.array([digest(w) for w in self.ids], np.uint64)
-        out[:2] = START, STOP
-        return out
+def planes(x: np.ndarray) -> bytes:
+    """An array of numbers, compressed byte by byte of equal rank."""
+    return zlib.compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
+
 
-    def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of all texts' tokens: the word, the word before, whether in training, and the row."""
-        sizes = np.array([len(r) for r in self.rows])
-        word = np.concatenate(self.rows) if self.rows else np.zeros(0, np.int32)
-        before = np.zeros_like(word)
-        before[1:] = word[:-1]
-        before[np.cumsum(sizes)[:-1]] = 0
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        return word, before, np.array(self.training, bool)[row], row
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -82,84 +112,120 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class Counts:
-    """A block's distinct n-grams: their hashes in order, and each token's place among them."""
+def encoded(docs: DataFrame, training: Column, block_bytes: int) -> DataFrame:
+    """(block, doc_ids, data): the input cut into blocks, none over a partition's end."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))
+    flags = F.coalesce(training, F.lit(False)).cast("int") + 2 * F.pmod(F.xxhash64(F.lit("half"), key), F.lit(2)).cast("int")
+    kind = docs.schema["doc_id"].dataType
 
-    def __init__(self, tokens: Tokens):
-        word, before, training, self.row = tokens.flat()
-        self.word, self.before, self.training = word, before, training
-        hashes = tokens.hashes()
-        pairs, self.pair_of = np.unique(before.astype(np.int64) * len(hashes) + word, return_inverse=True)
-        left, right = np.divmod(pairs, max(1, len(hashes)))
-        uni = hashes & ~np.uint64(1) | UNIGRAM
-        bi = mixed(hashes[left], hashes[right]) & ~np.uint64(1) | BIGRAM
-        starts = int(sum(tokens.training))
-        own = np.bincount(word[training], minlength=len(hashes))
-        own[0] = starts  # the start's count is that of training texts
-        keys = np.concatenate([uni, bi])
-        counts = np.concatenate([own, np.bincount(self.pair_of[training], minlength=len(pairs))])
-        self.order = np.argsort(keys)
-        self.keys, self.counts, self.n_words = keys[self.order], counts[self.order], len(hashes)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, rows, held, made = [], [], 0, TaskContext.get().partitionId() << 32
 
-    def spread(self, answer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Corpus counts, given in key order, as (by word id, by pair)."""
-        back = np.empty(len(answer), np.int64)
-        back[self.order] = answer
-        return back[: self.n_words], back[self.n_words :]
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([made], pa.int64()), pa.array([ids], pa.list_(id_kind)), pa.array([Block.of(rows).packed()])], ["block", "doc_ids", "data"])
 
+        for batch in batches:
+            id_kind = batch.column(0).type
+            for doc_id, data, flag in zip(batch.column(0).to_pylist(), texts(batch), batch.column(2).to_pylist()):
+                ids.append(doc_id)
+                rows.append((data, flag))
+                held += len(data)
+                if held >= block_bytes:
+                    yield block()
+                    ids, rows, held, made = [], [], 0, made + 1
+        if rows:
+            yield block()
 
-def edges(buckets: int) -> np.ndarray:
-    """The least key of each bucket, the hash range dealt evenly."""
-    return np.array([(i << 64) // buckets for i in range(buckets)], np.uint64)
+    schema = T.StructType().add("block", "long").add("doc_ids", T.ArrayType(kind)).add("data", "binary")
+    return docs.select("doc_id", "text", flags.alias("flags")).mapInArrow(run, schema)
 
 
-def blocks(docs: DataFrame, training: Column, n: int) -> DataFrame:
-    """docs dealt into n blocks by doc_id; rows with a null id by their texts."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))
-    return docs.select("doc_id", "text", F.coalesce(training, F.lit(False)).alias("training"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block"))
+def edges(buckets: int) -> list[int]:
+    """The least key of each bucket, the hash range dealt evenly, and the range's end."""
+    return [(i << 64) // buckets for i in range(buckets + 1)]
 
 
-def pack_counts(x: np.ndarray) -> bytes:
-    return zlib.compress(x.astype("<u4").tobytes(), 1)
+def kept_bits(buckets: int) -> np.uint64:
+    """How many low bits a key's place in its bucket's range loses."""
+    return np.uint64(max(0, 65 - buckets.bit_length() - 8 * KEY_BYTES))
 
 
-def unpack_counts(x: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64)
+def pack_keys(keys: np.ndarray, low: int, buckets: int) -> bytes:
+    return ((keys - np.uint64(low)) >> kept_bits(buckets)).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
 
 
-def requests(dealt: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, block, keys, counts) of every block's n-grams."""
+def unpack_keys(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view(np.uint64).ravel()
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        found = Counts(tokens_of(frame))
-        at = np.append(np.searchsorted(found.keys, edges(buckets)), len(found.keys))
-        block = int(frame.block.iloc[0])
-        rows = [(k, block, found.keys[a:b].tobytes(), pack_counts(found.counts[a:b])) for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())) if b > a]
-        return pd.DataFrame(rows, columns=["bucket", "block", "keys", "counts"])
 
-    return dealt.groupBy("block").applyInPandas(run, "bucket int, block int, keys binary, counts binary")
+def pack_counts(x: np.ndarray) -> bytes:
+    """Counts in two halves (2 x n), in as few bytes each as the largest one needs."""
+    wide = 8 if x.max(initial=0) >= 1 << 32 else 4
+    return bytes([wide]) + planes(x.astype(f"<u{wide}").ravel())
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    return from_planes(data[1:], np.dtype(f"<u{data[0]}")).astype(np.int64).reshape(2, -1)
 
 
-def tokens_of(frame: pd.DataFrame) -> Tokens:
-    tokens = Tokens()
-    for text, training in zip(frame.text, frame.training):
-        tokens.add(text.encode() if isinstance(text, str) else b"", bool(training))
-    return tokens
+def requests(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, block, keys, counts) of every block's words, in buckets from `buckets` on, and pairs, in those before."""
+    bounds = edges(buckets)
+    lows = np.array(bounds[:-1], np.uint64)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows: list[tuple] = []
+                for first, (hashes, counts) in zip((buckets, 0), Block.unpacked(data).own_counts()):
+                    order = np.argsort(hashes)
+                    keys, counts = hashes[order], counts[:, order]
+                    at = [*np.searchsorted(keys, lows).tolist(), len(keys)]
+                    rows += [(first + k, block, pack_keys(keys[a:b], bounds[k], buckets), pack_counts(counts[:, a:b])) for k, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
+                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "block", "keys", "counts"])
 
-def answers(asked: DataFrame) -> DataFrame:
-    """(block, bucket, counts): the corpus counts of what each block asked for, in its order."""
+    return blocks.select("block", "data").mapInArrow(run, "bucket int, block long, keys binary, counts binary")
+
+
+def answers(asked: DataFrame, buckets: int) -> DataFrame:
+    """(block, bucket, counts): the corpus counts of what each block asked for, in its order.
+
+    A row of block -1 a bucket has its tokens in each half and its distinct words, starts left out.
+    """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(x, np.uint64) for x in frame["keys"]]
+    def run(bucket: pa.Table) -> pa.Table:
+        of = bucket.column("bucket")[0].as_py()
+        keys = [unpack_keys(x) for x in bucket.column("keys").to_pylist()]
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.concatenate([unpack_counts(x) for x in frame["counts"]])
-        total = np.bincount(place, counts, len(distinct)).astype(np.int64)
-        ends = np.cumsum([len(k) for k in keys])
-        out = [pack_counts(np.minimum(total[p], 2**32 - 1)) for p in np.split(place, ends[:-1])]
-        return pd.DataFrame({"block": frame.block, "bucket": frame.bucket, "counts": out})
+        counts = np.concatenate([unpack_counts(x) for x in bucket.column("counts").to_pylist()], 1)
+        total = np.stack([np.bincount(place, half, len(distinct)).astype(np.int64) for half in counts])
+        out = [pack_counts(total[:, p]) for p in np.split(place, np.cumsum([len(k) for k in keys])[:-1])]
+        words = total[:, distinct != start_key(of, buckets)] if of >= buckets else np.zeros((2, 0), np.int64)
+        more = {"counts": [*out, b""], "block": [*bucket.column("block").to_pylist(), -1]}
+        last = (*words.sum(1).tolist(), int((words.sum(0) > 0).sum()))
+        return pa.table({"block": pa.array(more["block"], pa.int64()), "bucket": pa.array([of] * (len(out) + 1), pa.int32()), "counts": pa.array(more["counts"], pa.binary())} | {k: pa.array([0] * len(out) + [v], pa.int64()) for k, v in zip(("first", "second", "words"), last)})
 
-    return asked.groupBy("bucket").applyInPandas(run, "block int, bucket int, counts binary")
+    return asked.groupBy("bucket").applyInArrow(run, "block long, bucket int, counts binary, first long, second long, words long")
+
+
+def start_key(bucket: int, buckets: int) -> np.uint64 | None:
+    """The start's key in a bucket of words, if it is in its range."""
+    bounds = edges(buckets)[bucket - buckets : bucket - buckets + 2]
+    return unpack_keys(pack_keys(np.array([START]), bounds[0], buckets))[0] if bounds[0] <= int(START) < bounds[1] else None
+
+
+def told(block: Block, replies: list[bytes], buckets: list[int], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Corpus counts (2 x n) by word id and by pair, from a block's replies."""
+    found = []
+    for hashes, pick in ((block.hashes, lambda k: k >= n), (block.pair_hashes, lambda k: k < n)):
+        counts = [unpack_counts(x) for k, x in sorted(zip(buckets, replies), key=lambda x: x[0]) if pick(k)]
+        back = np.empty((2, len(hashes)), np.int64)
+        back[:, np.argsort(hashes)] = np.concatenate(counts, 1)
+        found.append(back)
+    return found[0], found[1]
 
 
 def level(contexts: np.ndarray) -> np.ndarray:
@@ -167,54 +233,45 @@ def level(contexts: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(contexts.astype(np.float64))[1], LEVELS - 1)
 
 
-def held_out(tokens: Tokens) -> np.ndarray:
-    """Held-out statistics of a block, LEVELS x GRID x GRID: how many tokens had which bigram and
-    unigram estimate (on a logarithmic grid), each half of the training texts under the other's counts."""
-    word, before, training, row = tokens.flat()
-    size = len(tokens.ids)
-    out = np.zeros(LEVELS * GRID * GRID, np.int64)
-    half = np.arange(len(tokens.rows))[row] % 2
-    pair = np.unique(before.astype(np.int64) * size + word, return_inverse=True)[1]
-    for side in (0, 1):
-        seen, judged = training & (half != side), training & (half == side)
-        uni = np.bincount(word[seen], minlength=size)
-        context = np.bincount(before[seen], minlength=size)
-        both = np.bincount(pair[seen], minlength=pair.max(initial=-1) + 1)
-        c = context[before[judged]]
-        p2 = both[pair[judged]] / np.maximum(c, 1)
-        p1 = uni[word[judged]] / max(1, seen.sum())
-        out += np.bincount((level(c) * GRID + cell(p2)) * GRID + cell(p1), minlength=len(out))
-    return out
-
-
 def cell(p: np.ndarray) -> np.ndarray:
-    """Place on the grid: 0 for no chance, then a third of a power of two each, up to 1."""
+    """Place on the grid: 0 for no chance, GRID - 1 for certainty."""
     with np.errstate(divide="ignore"):
-        return np.where(p > 0, np.clip(np.rint(GRID - 1 + 3 * np.log2(p)), 1, GRID - 1), 0).astype(np.int64)
+        return np.where(p > 0, np.clip(np.rint(GRID - 1 + STEPS * np.log2(p)), 1, GRID - 1), 0).astype(np.int64)
+
 
+def centre(cells: np.ndarray) -> np.ndarray:
+    return np.where(cells > 0, 2.0 ** ((cells - (GRID - 1)) / STEPS), 0.0)
 
-def centre() -> np.ndarray:
-    return np.where(np.arange(GRID) > 0, 2.0 ** ((np.arange(GRID) - (GRID - 1)) / 3), 0.0)
 
+def held_out(block: Block, words: np.ndarray, pairs: np.ndarray, tokens: tuple[int, int]) -> np.ndarray:
+    """A cell (level, bigram estimate, unigram estimate) for each training token, by the other half's counts."""
+    pick = block.training
+    other, word, before, pair = 1 - block.half[pick], block.word[pick], block.before[pick], block.pair_of[pick]
+    seen = words[other, before]
+    p2 = pairs[other, pair] / np.maximum(seen, 1)
+    p1 = words[other, word] / np.maximum(np.array(tokens)[other], 1)
+    return (level(seen) * GRID + cell(p2)) * GRID + cell(p1)
 
-def mixture_weights(statistics: np.ndarray, vocabulary: int, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """(bigram weight by level, share of the uniform model in the rest) by EM.
+
+def mixture_weights(statistics: dict[int, int], vocabulary: int, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """(bigram weight by level, share of the uniform model in the rest) by EM over tokens by held-out cell.
 
     A level that no held-out token reached takes the weight of the next lower one that was.
     """
-    table = statistics.reshape(LEVELS, GRID, GRID).astype(float)
-    p2, p1, p0 = centre()[None, :, None], centre()[None, None, :], 1.0 / (vocabulary + 1)
+    cells = np.array(sorted(statistics), np.int64)
+    n = np.array([statistics[c] for c in cells.tolist()], float)
+    at, rest = np.divmod(cells, GRID * GRID)
+    p2, p1, p0 = centre(rest // GRID), centre(rest % GRID), 1.0 / (vocabulary + 1)
     bigram, uniform = np.full(LEVELS, 0.5), 0.05
     bigram[0] = 0.0
-    seen = table.sum((1, 2))
-    for _ in range(rounds if seen.sum() else 0):
-        a = bigram[:, None, None]
-        low = (1 - uniform) * p1 + uniform * p0
-        total = a * p2 + (1 - a) * low
-        from_bigram = table * a * p2 / total
-        from_uniform = table * (1 - a) * uniform * p0 / total
-        bigram = np.minimum(0.999, np.where(seen > 0, from_bigram.sum((1, 2)) / np.maximum(seen, 1), bigram))
-        uniform = min(0.999, max(1e-6, from_uniform.sum() / max(1e-9, (table - from_bigram).sum())))
+    seen = np.bincount(at, n, LEVELS)
+    for _ in range(rounds if len(cells) else 0):
+        a = bigram[at]
+        total = a * p2 + (1 - a) * ((1 - uniform) * p1 + uniform * p0)
+        from_bigram = n * a * p2 / total
+        from_uniform = n * (1 - a) * uniform * p0 / total
+        bigram = np.minimum(0.999, np.where(seen > 0, np.bincount(at, from_bigram, LEVELS) / np.maximum(seen, 1), bigram))
+        uniform = min(0.999, max(1e-12, from_uniform.sum() / max(1e-9, (n - from_bigram).sum())))
     for k in range(1, LEVELS):
         if not seen[k]:
             bigram[k] = bigram[k - 1]
@@ -222,93 +279,72 @@ def mixture_weights(statistics: np.ndarray, vocabulary: int, rounds: int = 60) -
 
 
 class Learned(NamedTuple):
-    """What a scorer needs besides counts."""
+    """What a scorer needs besides counts: training tokens in each half, distinct words, mixture weights."""
 
-    tokens: int
+    tokens: tuple[int, int]
     vocabulary: int
     bigram: np.ndarray
     uniform: float
-    blocks: int
-
 
-def learn(docs: DataFrame, training: Column, block_bytes: int = BLOCK_BYTES) -> Learned:
-    """Corpus size, exact vocabulary size and mixture weights, from all training rows.
 
-    The held-out statistics come from the input's own partitions as blocks; so do the sorted
-    arrays of word hashes whose union, taken by hash range, is the vocabulary.
-    """
-    rows = docs.select("text", F.coalesce(training, F.lit(False)).alias("training"))
-    volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(volume / block_bytes))
+def learn(met: DataFrame, replies: DataFrame, buckets: int) -> Learned:
+    """Corpus size and mixture weights. met: block, doc_ids, data, counts, buckets of every block."""
+    first, second, words = (x or 0 for x in replies.where("block = -1").agg(F.sum("first"), F.sum("second"), F.sum("words")).first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, held = Tokens(), 0
-
-        def told() -> pa.RecordBatch:
-            word, _, training, _ = tokens.flat()
-            keys = np.unique(tokens.hashes()[np.unique(word[training])])
-            at = np.append(np.searchsorted(keys, edges(n)), len(keys)).tolist()
-            out = [(k, keys[a:b].tobytes(), 0) for k, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
-            found = held_out(tokens)
-            out += [(-1 - int(i), None, int(found[i])) for i in np.nonzero(found)[0]]
-            out.append((-1 - LEVELS * GRID * GRID, None, int(training.sum())))
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.int64()))], ["slot", "keys", "n"])
-
+        found: defaultdict[int, int] = defaultdict(int)
         for batch in batches:
-            use = batch.column(1).to_pylist()
-            for data, training in zip(texts(batch), use):
-                tokens.add(data, training)
-                held += len(data)
-                if held >= block_bytes:
-                    yield told()
-                    tokens, held = Tokens(), 0
-        if tokens.rows:
-            yield told()
-
-    def distinct(frame: pd.DataFrame) -> pd.DataFrame:
-        keys = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in frame["keys"]]))
-        return pd.DataFrame({"slot": [0], "n": [len(keys)]})
-
-    gathered = rows.mapInArrow(run, "slot int, keys binary, n long").persist()
-    sums = gathered.where("slot < 0").groupBy("slot").agg(F.sum("n").alias("n"))
-    words = gathered.where("slot >= 0").select("slot", "keys").groupBy("slot").applyInPandas(distinct, "slot int, n long").agg(F.lit(0).alias("slot"), F.sum("n").alias("n"))
-    found = {r["slot"]: r["n"] or 0 for r in sums.union(words).collect()}
-    gathered.unpersist()
-    statistics = np.array([found.get(-1 - i, 0) for i in range(LEVELS * GRID * GRID)])
-    vocabulary = found.get(0, 0)
-    return Learned(found.get(-1 - len(statistics), 0), vocabulary, *mixture_weights(statistics, vocabulary), n)
-
-
-def scored(docs: DataFrame, training: Column, learned: Learned | None = None) -> DataFrame:
+            for data, counts, of in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                block = Block.unpacked(data)
+                cells, n = np.unique(held_out(block, *told(block, counts, of, buckets), (first, second)), return_counts=True)
+                for c, k in zip(cells.tolist(), n.tolist()):
+                    found[c] += k
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["cell", "n"])
+
+    # at most LEVELS x GRID x GRID cells, however large the input
+    statistics = dict(met.select("data", "counts", "buckets").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect())
+    return Learned((first, second), words, *mixture_weights(statistics, words))
+
+
+def scored(docs: DataFrame, training: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     A token is a word (A-Z in lower case) or the text's end; null text is an end alone. base_score
     adds log10((c + 1) / (N + V + 1)); score is the interpolated model's log10 probability. If no
-    row is for training, c and N are 0 and both models are uniform. Repeated rows count again.
+    row is for training, c and N are 0 and both models are uniform. Repeated rows count again. A null doc_id
+    is in training if `training` says so, and comes back as null. A text of any length is in one block.
     """
-    m = learned or learn(docs, training)
-    dealt = blocks(docs, training, m.blocks)
-    replies = answers(requests(dealt, m.blocks))
+    volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, ceil(volume / block_bytes))
+    blocks = checkpointed(encoded(docs, training, block_bytes).repartition(n, "block"))
+    replies = answers(requests(blocks, n).repartition(2 * n, "bucket"), n)
+    # a block has a reply for each bucket that it asked, together about as long as its own data
+    gathered = replies.repartition(n, "block").groupBy("block").agg(F.collect_list("counts").alias("counts"), F.collect_list("bucket").alias("buckets"), *(F.sum(c).alias(c) for c in ("first", "second", "words")))
+    replies = checkpointed(gathered)
+    met = blocks.join(replies.select("block", "counts", "buckets"), "block")
+    m = learn(met, replies, n)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        tokens = tokens_of(frame)
-        found = Counts(tokens)
-        told = told.sort_values("bucket")
-        uni, bi = found.spread(np.concatenate([unpack_counts(x) for x in told["counts"]]) if len(told) else np.zeros(0, np.int64))
-        context = uni.copy()
-        words = uni.copy()
-        words[0] = 0  # the start is no token
-        c, n = words[found.word], len(tokens.rows)
-        base = np.log10(c + 1.0) - log10(m.tokens + m.vocabulary + 1)
-        seen = context[found.before]
-        a = m.bigram[level(seen)]
-        low = (1 - m.uniform) * c / max(1, m.tokens) + m.uniform / (m.vocabulary + 1) if m.tokens else np.full(len(c), 1 / (m.vocabulary + 1))
-        p = a * bi[found.pair_of] / np.maximum(seen, 1) + (1 - a) * low
-        add = lambda x: np.bincount(found.row, x, n)
-        return pd.DataFrame({"doc_id": frame.doc_id, "n_tokens": np.bincount(found.row, minlength=n), "n_known": add(c > 0).astype(np.int64), "train_tokens": m.tokens, "base_score": add(base), "score": add(np.log10(p))})
-
-    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, (data, counts, of) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(1, 4)))):
+                block = Block.unpacked(data)
+                words, pairs = (x.sum(0) for x in told(block, counts, of, n))
+                tokens, rows = sum(m.tokens), len(block.sizes)
+                seen = words[block.before]
+                words[0] = 0  # the start is no token
+                c = words[block.word]
+                base = np.log10(c + 1.0) - log10(tokens + m.vocabulary + 1)
+                a = m.bigram[level(seen)]
+                low = (1 - m.uniform) * c / tokens + m.uniform / (m.vocabulary + 1) if tokens else np.full(len(c), 1 / (m.vocabulary + 1))
+                p = a * pairs[block.pair_of] / np.maximum(seen, 1) + (1 - a) * low
+                add = lambda x: pa.array(np.bincount(block.row, x, rows))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[at].values, pa.array(block.sizes), pa.array(np.bincount(block.row, c > 0, rows).astype(np.int64)), pa.array(np.full(rows, tokens, np.int64)), add(base), add(np.log10(p))],
+                    ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
+
+    return met.select("doc_ids", "data", "counts", "buckets").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def contract_training(folds: int = 7, held: int = 2) -> Column:

@@ -108,7 +108,7 @@ full_lines as (
   from (select *, len(string_split(norm, ' ')) n from lines where norm <> '') window w as (partition by doc_id order by pos)),
 windows as (
   select a.doc_id, a.pos first_pos, b.pos last_pos, a.k k1, b.k k2
-  from full_lines a join full_lines b on a.doc_id = b.doc_id and b.total >= a.total - a.n + 50 and b.total - b.n < a.total - a.n + 50),
+  from full_lines a join full_lines b on a.doc_id = b.doc_id and b.total >= a.total - a.n + 50 and (b.total - b.n < a.total - a.n + 50 or a.total > b.total - 50)),
 keyed as (
   select w.doc_id, first_pos, last_pos, string_agg(c.norm, chr(10) order by c.k) content
   from windows w join full_lines c on c.doc_id = w.doc_id and c.k between k1 and k2 group by 1, 2, 3),
@@ -122,8 +122,9 @@ from lines l left join gone g on g.doc_id = l.doc_id and g.pos = l.pos group by
 OP7_SQL = r"""
 with dw as (select doc_id, [x for x in regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> ''] ws from documents),
 iw as (select item_id, [x for x in regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> ''] ws from benchmark),
-ds as (select distinct doc_id, array_to_string(ws[i:i + 4], ' ') g from (select doc_id, ws, unnest(range(1, len(ws) - 3)) i from dw)),
-its as (select distinct item_id, array_to_string(ws[i:i + 4], ' ') g from (select item_id, ws, unnest(range(1, len(ws) - 3)) i from iw)),
+kinds as (select distinct least(len(ws), 5) k from iw where len(ws) > 0),
+ds as (select distinct doc_id, array_to_string(ws[i:i + k - 1], ' ') g from (select doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) i from dw, kinds)),
+its as (select distinct item_id, array_to_string(ws[i:i + k - 1], ' ') g from (select item_id, ws, k, unnest(range(1, len(ws) - k + 2)) i from (select *, least(len(ws), 5) k from iw where len(ws) > 0))),
 n as (select item_id, count(*) n_shingles from its group by 1),
 hits as (select doc_id, item_id, count(*) n_found from ds join its using (g) group by 1, 2)
 select doc_id, item_id, n_shingles, n_found, n_found / n_shingles::double containment

@@ -8,15 +8,14 @@ Fingerprints are indexed by all values within t_i // 2 bits of theirs on each gr
 all values within the rest of t_i, so that values t_i bits apart meet halfway, and verified on
 all 64 bits.
 
-A bucket with many fingerprints is split. Up to `MIDPOINTS_FROM` blocks, every pair of blocks
-is a task of bounded size that returns a spanning forest of the links it verified. Beyond, each
-member names all midpoints within reach: two fingerprints are at most four bits apart exactly
-if some value lies within two bits of both, so members that share a midpoint are linked and
-the work is linear in the bucket.
-
-A large group of near copies is linked pair by pair in many buckets of moderate size. Its members
-are told by slices of the fingerprint that are too long to be shared by chance; the pairs between
-them never leave a bucket's task, which returns a spanning forest.
+Large groups of near copies fill many buckets. So first each fingerprint is held against the least
+and the greatest one with the same value on each group, which joins most of a large group, and what
+is joined is one class. The buckets then only compare members of different classes. A bucket with many
+members is compared inside tasks of bounded size: its most frequent class in blocks against the
+members of other classes, and those among each other, but the class not with itself. If the other
+classes have over `MIDPOINTS_FROM` blocks, each member names all midpoints within reach: two
+fingerprints are at most four bits apart exactly if some value lies within two bits of both, so members
+that share a midpoint are linked and the work is linear in the bucket.
 """
 
 from __future__ import annotations
@@ -32,8 +31,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, texts
-from .components import components, spanning
+from .common import checkpointed, few_or_none, looked_up, texts
+from .components import components
 
 BITS = 64
 SEED = 42
@@ -47,8 +46,6 @@ BALL = 5000
 #: Multipliers of a text's sketch. The share of bytes that two texts have in common is about their
 #: similarity; at 0.8 the standard deviation is 0.025.
 MINIMA = 256
-#: A fingerprint that shares a slice with as many others lies in a crowd.
-CROWD = 24
 #: Jaccard similarity of near duplicates, and the share of sketch bytes from which on it is computed.
 ALIKE = 0.8
 LOOSE = 0.7
@@ -57,8 +54,6 @@ LOOSE = 0.7
 BAND = 7
 #: Members of a band that are paired by a join; more are compared inside tasks.
 FEW = 16
-#: Keys of hot buckets that may be broadcast, 12 bytes each. More are joined by a shuffle.
-CROWDED_ROWS = 200_000
 MULTIPLIERS = np.random.default_rng(SEED).integers(0, 2**64, MINIMA, np.uint64) | np.uint64(1)
 MIXER = np.uint64(0x9E3779B97F4A7C15)
 #: From a text's shingle hashes to its 64 bits.
@@ -181,6 +176,8 @@ def plan(prints: DataFrame, tau: int = TAU, most: int = 2) -> list[tuple[list[in
     All statistics are of all fingerprints: bit frequencies, and exact collision counts that
     correct the estimates for what the bits have in common.
     """
+    if tau >= 6 * (most + 1):
+        raise ValueError(f"no six groups with thresholds up to {most} cover {tau} bits")
     n, both = together(prints)
     p = np.diag(both) / max(n, 1)
     splits = {m: bit_groups(n, both, m) for m in range(2, 7)}
@@ -223,98 +220,90 @@ def flips(value: Column, bits: list[int], most: int) -> Column:
 def small(keys: DataFrame) -> tuple[DataFrame, bool]:
     """Keys to join by, broadcast if their checked number allows it, and whether there are any."""
     keys = checkpointed(keys)
-    n = keys.count()
-    return F.broadcast(keys) if n <= CROWDED_ROWS else keys, n > 0
+    return few_or_none(keys), keys.limit(1).count() > 0
 
 
-def crowds(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(fp, dense): whether over `crowd` fingerprints share one of three slices of fp with it.
+def by_mask(prints: DataFrame, groups: list[list[int]], *more: str) -> DataFrame:
+    """(part, key, fp, more): each fingerprint's value on each of the groups."""
+    keys = [F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(mask_of(g))).alias("key")) for i, g in enumerate(groups)]
+    return prints.select("fp", *more, F.explode(F.array(*keys)).alias("x")).select("x.part", "x.key", "fp", *more)
 
-    A slice is three bits longer than it takes to number all fingerprints.
-    """
-    width = max(16, prints.count().bit_length() + 3)
-    slices = [F.struct(F.lit(k).alias("slice"), F.col("fp").bitwiseAND(F.lit(mask_of([(21 * k + r) % BITS for r in range(width)]))).alias("key")) for k in range(3)]
-    keys = prints.select("fp", F.explode(F.array(*slices)).alias("x")).select("fp", "x.slice", "x.key")
-    shared, any_shared = small(keys.groupBy("slice", "key").count().where(F.col("count") > crowd).select("slice", "key"))
-    if not any_shared:
-        return prints.select("fp", F.lit(False).alias("dense"))
-    inside = keys.join(shared, ["slice", "key"], "left_semi").select("fp").distinct().withColumn("dense", F.lit(True))
-    return checkpointed(prints.select("fp").join(inside, "fp", "left").select("fp", F.coalesce("dense", F.lit(False)).alias("dense")))
+
+def star(prints: DataFrame, groups: list[list[int]], tau: int, hot: int) -> DataFrame:
+    """Links (a, b) of each fingerprint with the least and the greatest one of the same value on a group."""
+    keys = by_mask(prints, groups)
+    ends = keys.groupBy("part", "key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("n")).where("n > 1")
+    pairs = looked_up(keys, ends, ["part", "key"], hot).select(F.col("fp").alias("a"), F.explode(F.array("low", "high")).alias("b"))
+    return checkpointed(pairs.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= tau)).distinct())
 
 
-def links(prints: DataFrame, tau: int = TAU, hot: int = HOT, block: int = BLOCK, midpoints_from: int = MIDPOINTS_FROM, crowd: int = CROWD) -> DataFrame:
+def links(prints: DataFrame, tau: int = TAU, hot: int = HOT, block: int = BLOCK, midpoints_from: int = MIDPOINTS_FROM) -> DataFrame:
     """Edges (a, b) between distinct fingerprints whose closure is that of all pairs within tau.
 
-    prints has distinct values fp long. In cold buckets every link is an edge; in hot ones, and
-    between the members of crowds, the edges are a spanning forest of the bucket's links.
+    prints has distinct values fp long. tau is at most 17.
     """
     found = plan(prints, tau)
-    prints = crowds(prints, crowd)
+    first = star(prints, [group for group, _ in found], tau, hot)
+    prints = checkpointed(prints.join(components(first).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
     everything: list[list[DataFrame]] = []
     for i, (group, t) in enumerate(found):
         value = F.col("fp").bitwiseAND(F.lit(mask_of(group)))
-        everything.append([prints.select(F.lit(i).alias("part"), "fp", "dense", F.explode(flips(value, group, reach)).alias("x")) for reach in (t - t // 2, t // 2)])
-    probes, owned = (reduce(DataFrame.union, side) for side in zip(*everything))
-    probes = probes.select("part", F.col("x.key").alias("key"), "fp", "dense", F.col("x.far").alias("far"))
-    owned = owned.select("part", F.col("x.key").alias("key"), F.col("fp").alias("own"), "dense")
-    crowded, any_hot = small(owned.groupBy("part", "key").count().where(F.col("count") > hot).select("part", "key"))
+        everything.append([prints.select(F.lit(i).alias("part"), "fp", "root", F.explode(flips(value, group, reach)).alias("x")) for reach in (t - t // 2, t // 2)])
+    probes, owned = (reduce(DataFrame.union, side).select("part", "x.key", "fp", "root", "x.far") for side in zip(*everything))
+    crowded, any_hot = small(owned.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("part", "key"))
     cold = owned.join(crowded, ["part", "key"], "left_anti") if any_hot else owned
-    close = (F.col("fp") < F.col("own")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("own"))) <= tau) & ~(F.col("p.dense") & F.col("o.dense"))
-    differ = F.col("fp").bitwiseXOR(F.col("own"))
+    differ = F.col("p.fp").bitwiseXOR(F.col("o.fp"))
+    close = (F.col("p.root") != F.col("o.root")) & (F.bit_count(differ) <= tau)
     for i, (group, t) in enumerate(found):  # a pair counts in the first part that brings it together, equal values at their own key
         part, here = F.col("p.part"), differ.bitwiseAND(F.lit(mask_of(group)))
-        close &= F.when(part == i, (F.col("far") == 0) | (here != 0)).when(part > i, F.bit_count(here) > t).otherwise(True)
-    p, o = probes.alias("p"), cold.alias("o")
-    edges = p.join(o, (F.col("p.part") == F.col("o.part")) & (F.col("p.key") == F.col("o.key")) & close).select(F.col("fp").alias("a"), F.col("own").alias("b"))
-    members = probes.where("dense")
-    if any_hot:
-        members = members.join(crowded, ["part", "key"], "left_anti").unionByName(probes.join(crowded, ["part", "key"]))
-    members = checkpointed(members.drop("dense"))
-    sizes = members.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1").select("part", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    sized = members.join(sizes, ["part", "key"])
-    if comb(BITS, tau // 2) > BALL:
-        return edges.union(block_links(sized, tau))
-    edges = edges.union(block_links(sized.where(F.col("blocks") <= midpoints_from), tau))
-    for i, (group, _) in enumerate(found):
-        large = sized.where((F.col("blocks") > midpoints_from) & (F.col("part") == i))
-        edges = edges.union(midpoint_links(large, [b for b in range(BITS) if b not in group], tau))
+        close &= F.when(part == i, (F.col("p.far") == 0) | (here != 0)).when(part > i, F.bit_count(here) > t).otherwise(True)
+    joined = probes.alias("p").join(cold.alias("o"), (F.col("p.part") == F.col("o.part")) & (F.col("p.key") == F.col("o.key")) & close)
+    edges = first.union(joined.select(F.col("p.fp").alias("a"), F.col("o.fp").alias("b")))
+    if not any_hot:
+        return edges
+    members = split_up(probes.join(crowded, ["part", "key"]), ["part", "key"], block)
+    far = F.lit(False) if comb(BITS, tau // 2) > BALL or tau % 2 else F.col("others") > midpoints_from
+    edges = edges.union(block_links(members.where(~far), tau))
+    for i in [r.part for r in members.where(far).select("part").distinct().collect()]:  # of at most six groups
+        edges = edges.union(midpoint_links(members.where(far & (F.col("part") == i)), [b for b in range(BITS) if b not in found[i][0]], tau))
     return edges
 
 
-def nearest_first(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A minimum spanning forest of the pairs, k x 2: it joins what the pairs join at every distance."""
-    order = np.argsort(np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)), kind="stable")
-    nodes, ends = np.unique(np.stack([a[order], b[order]]), return_inverse=True)
-    return nodes[np.array(spanning(ends.reshape(2, -1).T.tolist(), len(nodes)), np.int64).reshape(-1, 2)]
+def split_up(members: DataFrame, bucket: list[str], block: int) -> DataFrame:
+    """members (bucket, fp, root, ...) of the buckets that hold several classes, each with its place.
 
+    main: whether in the bucket's most frequent class; mains, others: the blocks that it and the rest are dealt into; mine: the
+    member's block, others first.
+    """
+    kinds = members.groupBy(*bucket, "root").agg(F.count("*").alias("size"))
+    sizes = kinds.groupBy(*bucket).agg(F.max(F.struct("size", "root")).alias("top"), F.sum("size").alias("n")).where("top.size < n")
+    sizes = sizes.select(*bucket, "n", F.col("top.root").alias("top"), *(F.ceil(x / block).cast("int").alias(k) for k, x in (("mains", F.col("top.size")), ("others", F.col("n") - F.col("top.size")))))
+    known = looked_up(members, sizes, bucket, block).withColumn("main", F.col("root") == F.col("top"))
+    at = F.xxhash64("fp")
+    return checkpointed(known.withColumn("mine", F.when(known.main, F.col("others") + F.pmod(at, F.col("mains"))).otherwise(F.pmod(at, F.col("others"))).cast("int")).drop("top"))
 
-def shortest(values: np.ndarray, tau: int) -> np.ndarray:
-    """A minimum spanning forest of all pairs of values within tau bits, k x 2 positions (Prim)."""
-    near, via, out = np.full(len(values), tau + 1, np.uint8), np.zeros(len(values), np.int64), np.zeros(len(values), bool)
-    taken = []
-    for _ in range(len(values)):
-        at = int(np.where(out, 255, near).argmin())
-        if near[at] <= tau:
-            taken.append((via[at], at))
-        out[at] = True
-        far = np.bitwise_count(values ^ values[at])
-        closer = (far < near) & ~out
-        near[closer], via[closer] = far[closer], at
-    return np.array(taken, np.int64).reshape(-1, 2)
+
+def dealt(members: DataFrame) -> DataFrame:
+    """members of split_up, once for each pair of blocks (i, j) that they are compared in; the main class isn't with itself."""
+    met = F.when(F.col("main"), F.col("others")).otherwise(F.col("others") + F.col("mains"))
+    pairs = F.transform(F.sequence(F.lit(0), met - 1), lambda x: F.struct(F.least(x, "mine").alias("i"), F.greatest(x, "mine").alias("j")))
+    return members.withColumn("x", F.explode(pairs)).withColumns({"i": F.col("x.i"), "j": F.col("x.j")}).drop("x")
 
 
 def block_links(members: DataFrame, tau: int) -> DataFrame:
-    """Each pair of a bucket's blocks is compared in one task; it returns a forest of the links."""
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, mine).alias("i"), F.greatest(x, mine).alias("j")))
-    spread = members.select("part", "key", "fp", F.explode(others).alias("x")).select("part", "key", "x.i", "x.j", "fp")
+    """Each pair of a bucket's blocks is compared in one task; it returns links that join what all its links join."""
 
     def run(bucket: pa.Table) -> pa.Table:
-        values = np.unique(bucket.column("fp").to_numpy())
-        joined = values[shortest(values.view(np.uint64), tau)]
-        return pa.table({"a": joined[:, 0], "b": joined[:, 1]})
+        values, labels, taken = bucket.column("fp").to_numpy().view(np.uint64), np.unique(bucket.column("root").to_numpy(), return_inverse=True)[1], []
+        for i in range(len(values)):
+            for j in (i + 1 + np.flatnonzero((labels[i + 1 :] != labels[i]) & (np.bitwise_count(values[i + 1 :] ^ values[i]) <= tau))).tolist():
+                if labels[i] != labels[j]:
+                    taken.append((i, j))
+                    labels[labels == labels[j]] = labels[i]
+        ends = values.view(np.int64)[np.array(taken, np.int64).reshape(-1, 2)]
+        return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
 
-    return spread.groupBy("part", "key", "i", "j").applyInArrow(run, "a long, b long")
+    return dealt(members).select("part", "key", "i", "j", "fp", "root").groupBy("part", "key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def midpoint_links(members: DataFrame, rest: list[int], tau: int) -> DataFrame:
@@ -365,10 +354,11 @@ def meetings(distinct: DataFrame) -> DataFrame:
 
 def matching(x: np.ndarray, y: np.ndarray, alike: float) -> bool:
     """Whether two sets of shingle hashes, sorted and distinct, have a Jaccard similarity of alike or more."""
-    least = alike * max(len(x), len(y)) - 1e-9
-    if min(len(x), len(y)) < least:
+    if len(x) < len(y):
+        x, y = y, x
+    if len(y) < alike * len(x) - 1e-9:
         return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
+    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
     return both >= alike * (len(x) + len(y) - both) - 1e-9
 
 
@@ -411,35 +401,46 @@ def verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, width: int,
     return checkpointed(known.select("a", "b", "x", "y").mapInArrow(exactly, "a long, b long"))
 
 
-def untested(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, fp, low, root, n) of the bands whose members are in several classes, roots (fp, root) of the linked ones."""
-    known = met.join(roots, "fp", "left").select("key", "fp", "low", F.coalesce("root", "fp").alias("root"))
-    mixed = known.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("n > 2 and least < most")
-    return checkpointed(known.join(mixed.select("key", "n"), "key"))
+def untested(met: DataFrame, roots: DataFrame, few: int) -> DataFrame:
+    """(key, fp, low, root, n, top) of the bands whose members are in several classes, roots (fp, root) of the linked ones.
+
+    n: members, top: their most frequent class.
+    """
+    known = checkpointed(met.join(roots, "fp", "left").select("key", "fp", "low", F.coalesce("root", "fp").alias("root")))
+    kinds = known.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "root")).alias("top"), F.sum("size").alias("n"))
+    mixed = kinds.where("n > 2 and top.size < n").select("key", "n", F.col("top.root").alias("top"))
+    return checkpointed(looked_up(known, mixed, ["key"], few * few))
 
 
 def crowded_links(members: DataFrame, alike: float, block: int) -> DataFrame:
-    """Links (a, b) between the classes that meet in a band: a forest, but no pair between two trees is left untested.
+    """Links (a, b) between the classes that meet in a bucket: a forest, but no pair between two trees is left untested, but for
+    those inside the bucket's most frequent class.
 
-    members: key, fp, root, n, sketch, hashes. Each pair of a band's blocks is compared in one task.
+    members: key, fp, root, sketch, hashes. Each pair of a bucket's blocks is compared in one task.
     """
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(x, mine).alias("i"), F.greatest(x, mine).alias("j")))
-    spread = members.select("key", "fp", "root", "sketch", "hashes", F.explode(others).alias("x")).select("key", "x.i", "x.j", "fp", "root", "sketch", "hashes")
+    least = min(LOOSE, alike - 0.1)
 
     def run(bucket: pa.Table) -> pa.Table:
+        bucket = bucket.sort_by("fp")
         fps, labels = bucket.column("fp").to_pylist(), np.unique(bucket.column("root").to_numpy(), return_inverse=True)[1]
         sketches = np.frombuffer(b"".join(bucket.column("sketch").to_pylist()), np.uint8).reshape(-1, MINIMA)
         sets, taken = [np.frombuffer(h, np.uint64) for h in bucket.column("hashes").to_pylist()], []
-        for i in range(len(fps)):
-            for j in (i + 1 + np.flatnonzero((sketches[i + 1 :] == sketches[i]).mean(1) >= min(LOOSE, alike - 0.1))).tolist():
+        mains = np.array(bucket.column("main").to_pylist())
+        for i in np.argsort(mains, kind="stable").tolist():  # those of the frequent class come last, when they have been met
+            if mains[i]:
+                break
+            others = np.flatnonzero((labels != labels[i]) & (mains | (np.arange(len(fps)) > i)))
+            share = (sketches[others] == sketches[i]).mean(1)
+            for at in np.argsort(-share, kind="stable").tolist():
+                j = int(others[at])
+                if share[at] < least:
+                    break
                 if labels[i] != labels[j] and matching(sets[i], sets[j], alike):
                     taken.append((fps[i], fps[j]))
                     labels[labels == labels[j]] = labels[i]
         return pa.table({"a": pa.array([a for a, _ in taken], pa.int64()), "b": pa.array([b for _, b in taken], pa.int64())})
 
-    return spread.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    return dealt(split_up(members, ["key"], block)).select("key", "i", "j", "fp", "root", "main", "sketch", "hashes").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def similar(docs: DataFrame, width: int = 5, alike: float = ALIKE, few: int = FEW, block: int = BLOCK) -> DataFrame:
@@ -447,12 +448,21 @@ def similar(docs: DataFrame, width: int = 5, alike: float = ALIKE, few: int = FE
 
     A text stands for all with the same set of shingles. Candidates share a band of their sketches,
     BAND bytes, and 0.7 of the whole sketches; a pair is a link if their sets of shingle hashes have
-    a Jaccard similarity of `alike`. First each member of a band is tested against the band's least one. What is linked then is one class, and
-    in every band whose members are still in several classes all pairs between those are tested: pair by pair if
-    there are at most `few` members, else in tasks by blocks. So each candidate pair is tested or its
+    a Jaccard similarity of `alike`. What is linked is one class. Each member of a band is tested against the
+    band's least one, then the members outside a band's most frequent class against that class's least text.
+    In every band whose members are still in several classes all pairs between those are tested. With at most
+    `few` members the pairs are joined. With more, the members of its most frequent class, in all its bands
+    at once, and those outside that share a band with it are compared inside tasks; so a text's set travels
+    once for its class, and not in every band. So each candidate pair is tested or its
     ends are in one class by tested links, however the rows are dealt out. Nulls and
     repeated rows are taken as in near_duplicates.
     """
+    own, roots = alike_classes(docs, width, alike, few, block)
+    return with_least(own.select("doc_id", "fp"), own.groupBy("fp").agg(F.min("doc_id").alias("low")), roots).select("doc_id", "component_id")
+
+
+def alike_classes(docs: DataFrame, width: int, alike: float, few: int = FEW, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, text_key, sketch) of every row, and (fp, root) of the linked ones; see similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -462,25 +472,34 @@ def similar(docs: DataFrame, width: int = 5, alike: float = ALIKE, few: int = FE
 
     narrow = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     own = checkpointed(narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, fp long, text_key long, sketch binary"))
-    distinct = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min("text_key").alias("text_key"), F.min("sketch").alias("sketch")))
+    distinct = checkpointed(own.groupBy("fp").agg(F.min("text_key").alias("text_key"), F.min("sketch").alias("sketch")))
     met = meetings(distinct.select("fp", "sketch"))
-    first = verified(met.where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct(), distinct, docs, width, alike)
-    rest = untested(met, components(first).select(F.col("node").alias("fp"), "root"))
-    one, other = (rest.where((F.col("n") <= few) & (F.col("fp") != F.col("low"))).alias(x) for x in ("one", "other"))
+    found = verified(met.where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct(), distinct, docs, width, alike)
+    classes = lambda links: components(links).select(F.col("node").alias("fp"), "root")
+    rest = untested(met, classes(found), few).where(F.col("root") != F.col("top"))
+    found = found.union(verified(rest.select(F.col("fp").alias("a"), F.col("top").alias("b")).distinct(), distinct, docs, width, alike))
+    rest = untested(met, classes(found), few)
+    one, other = (rest.where(F.col("n") <= few).alias(x) for x in ("one", "other"))
     apart = one.join(other, (F.col("one.key") == F.col("other.key")) & (F.col("one.fp") < F.col("other.fp")) & (F.col("one.root") != F.col("other.root")))
     pairs = apart.select(F.col("one.fp").alias("a"), F.col("other.fp").alias("b")).distinct()
-    crowded = rest.where(F.col("n") > few).join(distinct, "fp")
-    crowded = crowded.join(shingle_sets(docs, crowded, width), "fp")
-    links = first.union(verified(pairs, distinct, docs, width, alike)).union(crowded_links(crowded, alike, block))
-    roots = components(links).select(F.col("node").alias("fp"), "root")
-    return with_least(own.select("doc_id", "fp"), distinct.select("fp", "low"), roots).select("doc_id", "component_id")
+    crowded = checkpointed(rest.where(F.col("n") > few).select(F.col("top").alias("key"), "fp", "root").distinct())  # a class and those outside that meet it
+    sets = shingle_sets(docs, crowded.select("fp").distinct().join(distinct, "fp"), width)
+    filled = crowded.join(distinct.select("fp", "sketch"), "fp").join(sets, "fp")
+    links = found.union(verified(pairs, distinct, docs, width, alike)).union(crowded_links(filled, alike, block))
+    return own, classes(links)
 
 
 def keep_one(docs: DataFrame, width: int = 5, alike: float = ALIKE) -> DataFrame:
     """The rows of docs that stay: of each class of similar texts the row with the least doc_id, once.
 
-    Rows without a doc_id are all kept: they can't be named as anybody's copy.
+    Rows with one doc_id but different texts are different documents. Rows without a doc_id are all kept: they
+    can't be named as anybody's copy. Null and empty texts are one class.
     """
-    stay = similar(docs, width, alike).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    own, roots = alike_classes(docs, width, alike)
+    least = own.where("doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "text_key")).alias("least"))
+    chosen = least.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
+    stay = chosen.select(F.col("least.doc_id").alias("_id"), F.col("least.text_key").alias("_key"))
+    columns = [F.col(f"d.`{c}`") for c in docs.columns]
+    named = docs.where("doc_id is not null").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"))
+    kept = named.join(stay, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
+    return kept.select(*columns).unionByName(docs.where("doc_id is null"))

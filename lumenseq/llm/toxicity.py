@@ -24,17 +24,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import checkpointed, texts
 
 # Small word lists in English, French, German and Spanish.
 INSULTS = frozenset(
     "idiot idiots moron morons stupid scum trash loser losers pathetic worthless disgusting clown clowns imbecile dumb dumbass jerk bastard bitch whore slut asshole "
-    "retard retarded vermin filth filthy parasite subhuman garbage creep freak lowlife coward pig pigs rat rats "
-    "connard connasse salaud salope ordure crétin abruti débile imbécile minable "
-    "idioten arschloch trottel abschaum dummkopf miststück schlampe wichser versager "
-    "idiota idiotas estúpido estúpida imbécil basura escoria gilipollas cabrón puta asqueroso".split()
+    "retard retarded vermin filth filthy parasite parasites subhuman garbage creep creeps freak freaks lowlife coward cowards pig pigs rat rats "
+    "fool fools dimwit halfwit nitwit simpleton dunce buffoon cretin dolt dunderhead blockhead airhead bonehead numbskull nincompoop ignoramus degenerate scumbag sleazebag dirtbag "
+    "douchebag shithead dickhead fuckface asshat jackass arsehole bastards bitches wanker tosser twat prick swine weasel worm maggot leech cockroach pest savage savages brute thug "
+    "hypocrite liar crook traitor wretch wretched despicable contemptible repulsive vile revolting hideous disgrace nobody laughingstock braindead brainless spineless gutless useless "
+    "connard connasse salaud salope ordure crétin abruti débile imbécile minable enfoiré bâtard pourriture raclure vaurien lâche traître menteur porc truie cafard "
+    "idioten arschloch trottel abschaum dummkopf miststück schlampe wichser versager schwachkopf vollidiot blödmann drecksau schwein ratte feigling lügner verräter ungeziefer missgeburt penner nichtsnutz "
+    "idiota idiotas estúpido estúpida imbécil basura escoria gilipollas cabrón puta asqueroso cabrones tonto tonta cretino cretina inútil cobarde mentiroso traidor cerdo rata alimaña parásito miserable desgraciado".split()
+)
+THREATS = frozenset(
+    "kill murder stab shoot strangle hang burn destroy crush slaughter behead hurt beat smash choke torture mutilate gut lynch exterminate annihilate punch maim bury "
+    "tuer tuerai crève crever égorger étrangler brûler frapper massacrer écraser détruire töten umbringen erschießen erwürgen verprügeln zerstören abstechen schlachten "
+    "matar mataré degollar apuñalar disparar ahorcar quemar destruir golpear aplastar torturar".split()
 )
-THREATS = frozenset("kill murder stab shoot strangle hang burn destroy crush slaughter behead hurt tuer tuerai crève töten umbringen matar mataré".split())
 TARGETS = frozenset("you your yours yourself u ur he she they them their him her his people everyone tu toi vous ton ta tes ils elles du dich dir ihr euch sie ustedes vosotros tus ellos ellas".split())
 NEGATIONS = frozenset("not no never none nobody without isn aren wasn don doesn didn won cannot neither nor ne pas jamais nicht kein keine nie niemals nunca jamás sin".split())
 REPORTS = frozenset("said says say told tells wrote writes called calls claimed claims reported reports quoted quotes alleged according accused dit disait écrit selon sagte sagt schrieb laut dijo dice escribió según".split())
@@ -47,8 +54,8 @@ REACH = 3
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END, NEGATED, REPORTED = range(9)
 PATTERNS = ("threat_targeted", "threat", "insult_targeted", "insult", "reported", "negated")
-#: The training sample's bound in rows, and the bound of the learned lexicon.
-SAMPLE_ROWS, LEXICON_ROWS = 12000, 2000
+#: The training sample's bound in rows. The learned lexicon holds words of the sample only.
+SAMPLE_ROWS = 12000
 #: A learned entry needs this much evidence, in nats: the logarithm of the entries tested.
 EVIDENCE = 12.0
 
@@ -210,7 +217,7 @@ def labelled(docs: DataFrame, labels: DataFrame, training: Column, most: int = S
     return docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic")
 
 
-def learned_lexicon(sample: DataFrame, most: int = LEXICON_ROWS, evidence: float = EVIDENCE) -> Lexicon:
+def learned_lexicon(sample: DataFrame, evidence: float = EVIDENCE) -> Lexicon:
     """SEED and the words and stems that the sample's toxic texts show beyond chance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +232,7 @@ def learned_lexicon(sample: DataFrame, most: int = LEXICON_ROWS, evidence: float
         yield pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array(list(every.values()), pa.int64()), pa.array([toxic[k] for k in every], pa.int64())], ["key", "n", "bad"])
 
     sums = sample.mapInArrow(run, "key string, n long, bad long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    likely = sums.where("key = ' ' or (bad >= 4 and bad >= 0.7 * n)").orderBy(F.col("key") != " ", F.desc("bad"), "key").limit(most + 1).collect()
+    likely = sums.where("key = ' ' or (bad >= 4 and bad >= 0.7 * n)").orderBy("key").collect()
     total = next(((r.n, r.bad) for r in likely if r.key == " "), (0, 0))
     words, stems, bad = dict(SEED.words), {}, {}
     base = (total[1] + 0.5) / (total[0] + 1)
@@ -241,7 +248,7 @@ def learned_lexicon(sample: DataFrame, most: int = LEXICON_ROWS, evidence: float
 
 def learn(docs: DataFrame, labels: DataFrame, training: Column) -> Model:
     """A model fitted on a bounded sample of labelled training rows; with none, the prior alone."""
-    sample = labelled(docs, labels, training).persist()
+    sample = checkpointed(labelled(docs, labels, training))
     lexicon = learned_lexicon(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +257,6 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([None if r is None else r.tolist() for r in rows], pa.list_(pa.float64())), batch.column(1).cast(pa.int32())], ["x", "toxic"])
 
     found = sample.mapInArrow(run, "x array<double>, toxic int").collect()
-    sample.unpersist()
     return Model(lexicon, *fit([r.x and np.array(r.x) for r in found], np.array([r.toxic for r in found], float)))
 
 

@@ -2,11 +2,14 @@
 
 import math
 import random
+import re
+import time
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,29 +102,7 @@ def test_similar_is_exact_beside_the_limit(spark, few):
     assert found == want and 180 < len(set(want.values())) < len(texts)
 
 
-def test_thinning_keeps_links_at_every_distance():
-    rng = np.random.default_rng(1)
-    values = rng.integers(0, 2**10, 60).astype(np.int64)
-    a, b = (x.ravel() for x in np.meshgrid(values, values))
-    a, b = a[a < b], b[a < b]
-    kept = simhash.nearest_first(a, b)
-    for far in range(11):
-        within = lambda x, y: [p for p in zip(x.tolist(), y.tolist()) if (p[0] ^ p[1]).bit_count() <= far]
-        assert forest(within(a, b)) == forest(within(kept[:, 0], kept[:, 1]))
-
-
-def test_shortest_forest_joins_at_every_distance():
-    values = np.unique(np.random.default_rng(2).integers(0, 2**12, 80).astype(np.uint64))
-    kept = simhash.shortest(values, 5)
-    a, b = np.triu_indices(len(values), 1)
-    far = np.bitwise_count(values[a] ^ values[b])
-    joined = np.bitwise_count(values[kept[:, 0]] ^ values[kept[:, 1]])
-    for d in range(6):
-        pick = joined <= d
-        assert forest(zip(a[far <= d].tolist(), b[far <= d].tolist())) == forest(zip(kept[pick, 0].tolist(), kept[pick, 1].tolist()))
-
-
-@pytest.mark.parametrize("limits", [{}, {"crowd": 10**6}, {"crowd": 2}, {"crowd": 2, "block": 4, "midpoints_from": 2}, {"hot": 2, "block": 8}, {"hot": 2, "block": 2, "midpoints_from": 1}])
+@pytest.mark.parametrize("limits", [{}, {"hot": 2}, {"hot": 2, "block": 8}, {"hot": 2, "block": 2, "midpoints_from": 1}, {"hot": 9, "block": 4, "midpoints_from": 0}])
 def test_simhash_links_all(spark, limits):
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 2**63, 30, dtype=np.uint64)
@@ -156,6 +137,20 @@ def test_lines(spark, odd, empty):
     assert {r.doc_id: r.text for r in line_dedup.without_repeats(docs).collect()} == {1: "top a\n" + shared + "\nend a", 2: "top b\n\nend b", 3: "just one\nshared line 3 with some more words in it"}
 
 
+def test_clashing_columns(spark):
+    names = ["doc_id", "text", "cut", "row", "id", "_cut_id", "_cuts", "n_removed", "d", "_id", "_key", "fp", "root"]
+    docs = spark.createDataFrame([(i, LONG, *"abcdefghijk") for i in (1, 2)], names)
+    found = line_dedup.without_repeats(docs)
+    assert sorted(found.columns) == sorted(names) and sorted((r.doc_id, r.text, r.n_removed, r.root) for r in found.collect()) == [(1, LONG, 0, "k"), (2, "", 1, "k")]
+    assert [tuple(r) for r in line_dedup.without_repeats(docs, count=None).where("doc_id = 1").collect()] == [(1, LONG, *"abcdefghijk")]
+    assert [tuple(r) for r in simhash.keep_one(docs).collect()] == [(1, LONG, *"abcdefghijk")]
+
+
+def test_texts_with_one_id_are_different_documents(spark):
+    docs = spark.createDataFrame([(1, "one text of some words here"), (1, "quite another text with other words"), (2, "one text of some words here"), (1, "one text of some words here")], "doc_id long, text string")
+    assert sorted(r.text for r in simhash.keep_one(docs).collect()) == ["one text of some words here", "quite another text with other words"]
+
+
 def test_whole_passages_go(spark):
     long, short = ("\n".join(" ".join(f"{k}{i}" for i in range(n)) for k, n in ks) for ks in ([("a", 100), ("b", 20)], [("c", 20), ("d", 40), ("e", 8)]))
     docs = spark.createDataFrame([(1, f"{long}\n{short}\none"), (2, long), (3, f"two\n{short}\nthree")], "doc_id long, text string")
@@ -166,7 +161,7 @@ def test_whole_passages_go(spark):
     for i in range(40):
         starts = [rng.randrange(50) for _ in range(5)]
         texts[i] = [x for s in starts for x in [*pool[s : s + rng.randrange(1, 10)], f"own {i} {s}"]]
-    found = {r.doc_id: r.text for r in line_dedup.without_repeats(spark.createDataFrame([(i, "\n".join(x)) for i, x in texts.items()], "doc_id long, text string"), whole=True).collect()}
+    found = {r.doc_id: r.text for r in line_dedup.without_repeats(spark.createDataFrame([(i, "\n".join(x)) for i, x in texts.items()], "doc_id long, text string")).collect()}
     seen, want = set(), {}
     for i, x in texts.items():  # every run of full lines with 50 words or more, against all that start before
         full, gone = [k for k, line in enumerate(x) if line], set()
@@ -182,11 +177,11 @@ def test_whole_passages_go(spark):
 @pytest.mark.parametrize("limit", [10, 0])
 def test_contained(spark, odd, empty, limit):
     item = " ".join(f"w{i}" for i in range(30))
-    items = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (None, item)], "item_id long, text string")
-    docs = spark.createDataFrame([(1, "before " * 500 + item.upper() + " after"), (2, item.replace("w15", "other")), (3, " ".join(item.split()[:20])), (4, None), (None, item)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, None), (3, "too Short"), (4, ". !"), (None, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "before " * 500 + item.upper() + " after"), (2, item.replace("w15", "other")), (3, " ".join(item.split()[:20])), (4, None), (5, "far too  short, that is"), (6, "too little and short"), (None, item)], "doc_id long, text string")
     found = {(r.doc_id, r.item_id): r.n_found for r in decontaminate.contained(docs, items, broadcast_rows=limit).collect()}
-    assert found == {(1, 1): 26, (2, 1): 21}
-    assert decontaminate.clean(docs, items).count() == 3 and decontaminate.clean(empty, items).count() == 0 and decontaminate.clean(odd, items.limit(0)).count() == len(ODD)
+    assert found == {(1, 1): 26, (2, 1): 21, (5, 3): 1}
+    assert decontaminate.clean(docs, items).count() == 4 and decontaminate.clean(empty, items).count() == 0 and decontaminate.clean(odd, items.limit(0)).count() == len(ODD)
 
 
 def test_packing(spark, odd, empty):
@@ -201,7 +196,28 @@ def test_packing(spark, odd, empty):
     assert packing.packed(empty, path).count() == 0
     encoder = packing.Encoder(path)
     for text in ("It's <|endoftext|> A_b--c 12½ É ΣΑΣ 日本 don't!", "a\x1cb\x85c", "İstanbul é"):
-        assert np.frombuffer(encoder.encode(text.encode())[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(next(encoder.encode(pa.array([text])))[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    encoder.by_pieces = False
+    assert np.frombuffer(next(encoder.encode(pa.array(["Any text"])))[0], "<u4").tolist() == whole.encode("Any text", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("size", [4096, 100])
+def test_packed_pieces_are_the_tokens(spark, size):
+    """start, length, ids_crc32, doc_tokens of every piece against the whole tokenizer; each id once, sequences without gaps."""
+    from tokenizers import Tokenizer
+
+    whole, docs = Tokenizer.from_file(queries.tokenizer_path()), spark.read.parquet(f"{SF}/documents.parquet")
+    ids = {r.doc_id: [*whole.encode(r.text or "", add_special_tokens=False).ids, 2] for r in docs.collect()}
+    found = packing.packed(docs, queries.tokenizer_path(), size).toPandas()
+    for r in found.itertuples():
+        piece = ids[r.doc_id][r.start : r.start + r.length]
+        assert (r.ids_crc32, r.doc_tokens) == (zlib.crc32(np.array(piece, "<u4").tobytes()), len(ids[r.doc_id]))
+    taken = found.sort_values(["doc_id", "start"]).groupby("doc_id")
+    assert all((g.start.to_numpy() == np.cumsum(g.length) - g.length).all() and g.length.sum() == len(ids[i]) for i, g in taken)
+    sequences = found.sort_values(["sequence_id", "offset"]).groupby("sequence_id")
+    assert all((g.offset.to_numpy() == np.cumsum(g.length) - g.length).all() and g.length.sum() <= size for _, g in sequences)
+    if size == 4096:
+        assert found.length.sum() > 0.9 * size * found.sequence_id.nunique()
 
 
 def test_cuts_are_the_cheapest():
@@ -234,13 +250,63 @@ def test_lm(spark, odd, empty):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(texts[r.doc_id]), sum(w in train for w in texts[r.doc_id]), n)
     out = [r for r in found if zlib.crc32(str(r.doc_id).encode()) % 7 == 2]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
+    # the model by its definition: corpus counts of both halves, held-out cells, EM, interpolation
+    key = F.pmod(F.xxhash64(F.lit("half"), F.col("doc_id").cast("string")), F.lit(2))
+    half = {r.doc_id: r.half for r in docs.select("doc_id", key.alias("half")).collect()}
+    pairs = {i: list(zip([b" start", *ws], ws)) for i, ws in texts.items()}
+    trained = [i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2]
+    uni, bi, ctx = ([Counter() for _ in (0, 1)] for _ in range(3))
+    for i in trained:
+        uni[half[i]].update(texts[i])
+        bi[half[i]].update(pairs[i])
+        ctx[half[i]].update(x for x, _ in pairs[i])
+    cells, level = Counter(), lambda c: c.bit_length()
+    for i in trained:
+        o = 1 - half[i]
+        for x, w in pairs[i]:
+            c = ctx[o][x]
+            p2, p1 = (int(lm_score.cell(np.array([p]))[0]) for p in (bi[o][x, w] / max(c, 1), uni[o][w] / sum(uni[o].values())))
+            cells[level(c), p2, p1] += 1
+    weight, uniform = lm_score.mixture_weights({(k * lm_score.GRID + p2) * lm_score.GRID + p1: n for (k, p2, p1), n in cells.items()}, v)
+    assert 0 < uniform < 1 and 0 < weight[1] < 1
+    for r in found[::7]:
+        score = 0.0
+        for x, w in pairs[r.doc_id]:
+            c, both, single = (sum(y[k] for y in z) for z, k in ((ctx, x), (bi, (x, w)), (uni, w)))
+            a = weight[level(c)]
+            score += math.log10(a * both / max(c, 1) + (1 - a) * ((1 - uniform) * single / n + uniform / (v + 1)))
+        assert r.score == pytest.approx(score, rel=1e-9)
+    again = lm_score.scored(docs.repartition(7), lm_score.contract_training(), block_bytes=60_000).collect()
+    assert {r.doc_id: r.score for r in again} == pytest.approx({r.doc_id: r.score for r in found}, rel=1e-12)
     assert lm_score.scored(odd, F.lit(True)).count() == len(ODD) and lm_score.scored(empty, F.lit(True)).count() == 0
     assert all(math.isfinite(r.score) for r in lm_score.scored(odd, F.lit(False)).collect())
 
 
+def test_em_finds_the_likeliest_weights():
+    """Against a search over the weights of one context level and the uniform share."""
+    g = lm_score.GRID
+    cells = {(3 * g + p2) * g + p1: n for p2, p1, n in ((0, g - 40, 50), (g - 1, g - 30, 30), (g - 5, 0, 15), (0, 0, 5))}
+    weight, uniform = lm_score.mixture_weights(cells, 1000, rounds=3000)
+
+    def likelihood(a, u):
+        value = 0.0
+        for c, n in cells.items():
+            p2, p1 = (float(lm_score.centre(np.array([x]))[0]) for x in (c // g % g, c % g))
+            value += n * math.log(a * p2 + (1 - a) * ((1 - u) * p1 + u / 1001))
+        return value
+
+    best = likelihood(weight[3], uniform)
+    assert all(likelihood(a, u) <= best + 1e-6 for a in np.linspace(0.01, 0.99, 60) for u in np.linspace(0.001, 0.99, 60))
+
+
 def test_language(spark, odd, empty):
     found = queries.op1_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
     assert (found[found.held_out].lang == found[found.held_out].lang_pred).mean() > 0.95 and found.score.between(0, 1).all()
+    x, k = language_id.to_windows("été à la plage ".encode() * 40), language_id.Network(language_id.train(np.random.default_rng(1).integers(32, 127, (40, 256)).astype(np.uint8), np.arange(40) % 2, ["a", "b"], epochs=1))
+    pooled = [np.array([[max(float(sum(t[o, w[i + o], f] for o in range(len(t)))) for i in range(256 - len(t) + 1)) for f in range(t.shape[2])] for w in x]) for t in k.model.filters]
+    logits = np.maximum(np.concatenate(pooled, 1) + k.model.bias, 0) @ k.model.dense + k.model.dense_bias
+    assert np.allclose(k.log_probabilities(x), np.log(language_id.softmax(logits)), atol=1e-4)  # the network by its definition
+    assert [p for p, _ in k.predict(["½ ² Ⅷ ① 12 _ !".encode(), b""])] == ["und", "und"] and k.predict(["é".encode()])[0][0] != "und"
     net = language_id.learn(odd)
     assert {r.lang_pred for r in language_id.identify(odd, net).where("doc_id in (1, 2, 5)").collect()} == {"und"}
     assert language_id.learn(empty) is None and {r.lang_pred for r in language_id.identify(odd, None).collect()} == {"und"}
@@ -249,24 +315,100 @@ def test_language(spark, odd, empty):
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><nav><a href=x>Menu</a></nav><div class='ad'>Buy</div><article><h1>Head &amp; tail</h1><p>One  two<br>three.<p>Four</p><div id=comments><p>Nice!</p></div></article><footer>f</footer>"
     assert html_text.main_text(page) == "Head & tail\nOne two three.\nFour"
+    kept = "<section id='discussion'><p>All of this is said here.</p></section><h2 id='related-work'>Related work</h2><p class='share-price'>The price.</p><h3 id='notice-of-terms'>Terms</h3><p>A <math><mi>x</mi></math> and a <label>label</label></p>"
+    gone = "<div class='ad-slot left'>Buy it</div><ul class='related'><li><a href=1>One</a><li><a href=2>Two</a></ul><section class='comment-list'><p>First!</p></section>"
+    assert html_text.main_text(f"<body><article>{kept}{gone}</article></body>") == "All of this is said here.\nRelated work\nThe price.\nTerms\nA x and a label"
+    long = "A sentence of an article that goes on for a while, with words and more words. " * 5
+    both = f"<body><nav><a href=1>Home</a></nav><div><h1>Head</h1><article><p>{long}</p></article><article><p>{long}</p></article><div><p>Short</p></div></div><div><a href=2>more</a> links</div></body>"
+    assert html_text.main_text(both) == "\n".join(["Head", long.strip(), long.strip()])
+    began = time.time()
+    assert html_text.main_text("<div>" * 40000 + "deep") == "deep" and time.time() - began < 5
     frame = spark.createDataFrame([(1, None, None, 1), (None, "u", "", 1), (2, "u", page, 1), (3, "u", "<p" * 2000 + "x", 1), (4, "u", "<div>" * 3000 + "deep", 1)], "page_id long, url string, html string, text int")
     got = {r.page_id: r.text for r in html_text.extracted(frame).collect()}
     assert got[1] == got[None] == "" and got[4] == "deep" and html_text.extracted(frame.limit(0)).count() == 0
 
 
+def test_density_by_its_definition():
+    """Characters, tags, link characters and density of every node of random trees, recursively."""
+    rng = random.Random(3)
+
+    def tree(depth):
+        tag = rng.choice(["div", "section", "b", "a", "span"])
+        inner = "".join(rng.choice([lambda: " ".join(["word"] * rng.randrange(9)), lambda: tree(depth - 1)])() for _ in range(rng.randrange(4))) if depth else "text here"
+        return f"<{tag}>{inner}</{tag}>"
+
+    for _ in range(40):
+        root = html_text.parse("<body>" + tree(5) + tree(5) + "</body>")
+        scored = {id(x): x for x in html_text.score(root)}
+
+        def measure(node, in_link=False):
+            in_link = in_link or node.tag == "a"
+            own = sum(len("".join(x.split())) for x in node.parts if isinstance(x, str))
+            found = [own, own * in_link, 0, 0]
+            for child in node.parts:
+                if not isinstance(child, str):
+                    c, lc, t, lt = measure(child, in_link)
+                    found = [found[0] + c, found[1] + lc, found[2] + t + 1, found[3] + lt + (child.tag == "a")]
+            sizes[id(node)] = found
+            return found
+
+        sizes = {}
+        c0, lc0, _, _ = measure(root)
+        for key, (c, lc, t, lt) in sizes.items():
+            want = c / max(t, 1) * math.log(max(1, c / max(lc, 1) * max(t, 1) / max(lt, 1))) / math.log(max(1 + 1e-9, math.log(c / max(1, c - lc) * lc + lc0 / max(c0, 1) * c + math.e))) if c else 0.0
+            assert scored[key].density == pytest.approx(want, rel=1e-6, abs=1e-6)
+            assert scored[key].total == pytest.approx(sum(scored[id(x)].density for x in scored[key].parts if not isinstance(x, str)))
+
+
 def test_licenses(spark, odd, empty):
     scan = license_scan.Scanner().scan
     assert scan(b"x under the MIT License, under the MIT license")[:5] == (9, 2, 1, 5, "mit")
     assert scan(b"GNU Lesser General Public License, version 3 or later")[5] == "lgpl-3"
     assert scan(b"SPDX-License-Identifier: BSD-3-Clause")[5] == "bsd-3-clause"
     assert "cc-by-nc" in scan(b"CC BY-NC 4.0")[4] and scan(b"mit der Katze")[5] == ""
+    grants = b"licensed under the apache license version 2 or under the mit license " * 4000
+    assert scan(grants)[:4] == (48000, 8000, 3, 47996)
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():  # the base columns word by word
+        words = [w for w in re.split("[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")) if w]
+        places = sorted((i, label) for phrase, label in license_scan.BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split())
+        got = scan((r.text or "").encode())
+        assert got[:5] == (len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted({x for _, x in places})))
+        assert {x for x in got[4].split(",") if x} <= set(got[5].split(",")) and 0 <= got[6] <= 1
     assert license_scan.scanned(odd).count() == len(ODD) and license_scan.scanned(empty).count() == 0 and len(license_scan.rules()) > 200
 
 
+def test_suppression_by_containment():
+    """What stays, against the definition: by falling priority, and inside no kept interval."""
+    scanner, rng = license_scan.Scanner(), random.Random(4)
+    phrases = ["licensed under the gnu lesser general public license version 3 or later", "gnu general public license", "cc by nc sa 4 0", "mit license", "apache license version 2 0", "bsd 3 clause license", "all rights reserved", "some other words"]
+    for _ in range(60):
+        text = " ".join(rng.choice(phrases) for _ in range(rng.randrange(1, 9)))
+        found = [(m.start(), m.end(), r) for r in scanner.rules if all(need & set(text.split()) for need in r.keywords) for m in r.pattern.finditer(text)]
+        kept = []
+        for start, end, rule in sorted(found, key=lambda x: (-x[2].priority, x[0] - x[1], x[0])):
+            if not any(a <= start and end <= b for a, b, _, _ in kept):
+                kept.append((start, end, rule.label, rule.score))
+        assert scanner.detections(text, set(text.split())) == kept
+
+
 def test_toxicity(spark, odd, empty):
     model = toxicity.Model(toxicity.SEED, *toxicity.fit([], np.zeros(0)))
     assert model.score("You are a stupid idiot and a worthless clown.") > 0.7
     assert model.score("") == model.score("A calm and friendly text.") < 0.3 and model.score("He said idiot.") < model.score("You idiot.")
+    rng = random.Random(7)
+    for _ in range(300):  # the compiled grammar, and its transducers one after another
+        symbols, chain, state, out = [rng.randrange(toxicity.END + 1) for _ in range(25)], [toxicity.negation(), toxicity.report(), toxicity.clause()], 0, []
+        want = symbols
+        for machine in chain:
+            at, written = machine.start, []
+            for symbol in want:
+                at, x = machine.step(at, symbol)
+                written.append(x)
+            want = written
+        for symbol in symbols:
+            state, x = toxicity.GRAMMAR[state][symbol]
+            out.append(x)
+        assert out == want
     labels = spark.createDataFrame([(1, 0, 1), (3, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.judged(odd, toxicity.learn(odd, labels, F.lit(True))).count() == len(ODD)
     assert toxicity.judged(empty, toxicity.learn(empty, labels.limit(0), F.lit(True))).count() == 0
