@@ -68,3 +68,13 @@ def abundance(header: Column, prefix: str = "frequency=", suffix: str = "") -> C
     letters = "".join(sorted(set(prefix)))
     bare = F.regexp_replace(token, f"^[{letters}]+", "")
     return (F.regexp_replace(bare, f"[{suffix}]+$", "") if suffix else bare).try_cast("double")
+
+
+def numbered_name(kind: str, place: Column) -> Column:
+    """Names by place: r1, contig0, contig_1, strain_1, hap_1, ..."""
+    return F.concat(F.lit(kind), place.cast("string"))
+
+
+def haplotype_name(place: Column, depth: Column, freq: Column) -> Column:
+    """hap1 12x freq=0.123: depth without and frequency with three decimals, halves rounded to even."""
+    return F.concat(F.lit("hap"), place.cast("string"), F.lit(" "), F.bround(depth, 0).cast("long").cast("string"), F.lit("x freq="), F.bround(freq, 3).cast("decimal(20,3)").cast("string"))

@@ -1,10 +1,26 @@
-"""Scores of assemblies against ground truth."""
+"""Scores of assemblies against ground truth.
+
+Placements are alignments of contigs to truths: method, contig_id, truth_id, ord (their order), start, end
+(0-based, half open, on the truth), ref_len, score and the error counts of `score_alignments`.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .depth import covered_bases
+
+OPERATION = re.compile(r"(\d+)(\D)")
+TURN = bytes.maketrans(b"ACGT", b"TGCA")
+COUNTS = ["mismatches", "ins_count", "ins_len", "del_count", "del_len", "unknown"]
+
 
 def nx(lengths: DataFrame, share: float = 0.5, by: list[str] | None = None) -> DataFrame:
     """The largest length such that contigs as long or longer hold `share` of all bases.
@@ -32,29 +48,132 @@ def error_rate(unknown: Column, mismatch: Column, indel: Column) -> Column:
     return (unknown + mismatch + indel) / 1000
 
 
-def precision_recall(assignments: DataFrame, n_truth: int, most: int = 5) -> DataFrame:
-    """(method, threshold, precision, recall, f) for edit distances up to 0 .. most percent.
+def differing(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """(mismatched, unknown) positions of two stretches as bytes; N in either is unknown."""
+    unknown = (a == 78) | (b == 78)
+    return int(((a != b) & ~unknown).sum()), int(unknown.sum())
 
-    assignments: method, contig_id, truth_id, aln_len, edit_dist. The least rate of each contig and
+
+def measured(contig: bytes, truth: bytes, pos: int, cigar: str) -> tuple:
+    """(score, *COUNTS, start, end) of one alignment; pos is 0-based, contig on the alignment's strand.
+
+    Clipped ends count as aligned as far as the truth reaches. The clip at the back is compared by its
+    own last bases, also where the truth is the shorter one.
+    """
+    ops = [(int(n), o) for n, o in OPERATION.findall(cigar)]
+    own, ref = np.frombuffer(contig, np.uint8), np.frombuffer(truth, np.uint8)
+    start, at, on, length = pos, 0, pos, len(contig)
+    mismatched = unknown = ins_count = ins_len = del_count = del_len = 0
+    for k, (n, op) in enumerate(ops):
+        aligned = n
+        if op in "SH":
+            aligned = min(n, pos if k == 0 else len(truth) - on)
+            length -= n - aligned
+            start -= aligned if k == 0 else 0
+            on += aligned if k else 0
+            at += n
+            m, u = differing(own[at - aligned : at], ref[on - aligned : on])
+        elif op in "M=X":
+            m, u = differing(own[at : at + n], ref[on : on + n])
+            at, on = at + n, on + n
+        elif op == "I":
+            m, u = 0, contig.count(b"N", at, at + n)
+            if 0 < k < len(ops) - 1:
+                ins_count, ins_len = ins_count + 1, ins_len + n
+            at += n
+        elif op == "D":
+            m, u, del_count, del_len = 0, 0, del_count + 1, del_len + n
+            on += n
+        else:
+            raise ValueError(f"no rule for {op} in {cigar}")
+        mismatched, unknown = mismatched + m, unknown + u
+    score = (mismatched + ins_len + del_len) / length if length > 0 else 0.0
+    return score, mismatched, ins_count, ins_len, del_count, del_len, unknown, start, on
+
+
+def score_alignments(alignments: DataFrame, contigs: DataFrame, truths: DataFrame, max_score: float = 1.0) -> DataFrame:
+    """Placements of score max_score or less, from alignments (method, contig_id, truth_id, flag, pos 1-based, cigar, ord).
+
+    contigs: method, contig_id, seq; truths: truth_id, seq. Unmapped rows are left out; a reversed one is
+    compared by its contig's reverse complement. The score is the edited share of the contig's aligned bases.
+    """
+    mapped = alignments.where("cigar <> '*' and (flag & 4) = 0").select("method", "contig_id", "truth_id", "ord", (F.col("flag").bitwiseAND(16) != 0).alias("back"), (F.col("pos") - 1).alias("pos"), "cigar")
+    both = mapped.join(contigs.select("method", "contig_id", F.col("seq").alias("own")), ["method", "contig_id"]).join(truths.select("truth_id", F.col("seq").alias("ref")), "truth_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, ref = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("own", "ref"))
+            rows = [
+                measured(o.translate(TURN)[::-1] if back else o, r, pos, cigar)
+                for o, r, back, pos, cigar in zip(own, ref, *(batch.column(c).to_pylist() for c in ("back", "pos", "cigar")))
+            ]
+            columns = list(zip(*rows)) or [()] * 9
+            arrays = [batch.column(c) for c in ("method", "contig_id", "truth_id", "ord")] + [pa.array(columns[0], pa.float64()), *(pa.array(c, pa.int64()) for c in columns[1:]), pa.array(map(len, ref), pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["method", "contig_id", "truth_id", "ord", "score", *COUNTS, "start", "end", "ref_len"])
+
+    kinds = ", ".join(f"{c} {both.schema[c].dataType.simpleString()}" for c in ("method", "contig_id", "truth_id", "ord"))
+    found = both.select("method", "contig_id", "truth_id", "ord", "back", "pos", "cigar", "own", "ref").mapInArrow(run, f"{kinds}, score double, {', '.join(c + ' long' for c in COUNTS)}, start long, end long, ref_len long")
+    return found.where(F.col("score") <= max_score)
+
+
+def best_rows(rows: list[tuple]) -> list[int]:
+    """Which of a contig's placements (truth_id, start, end, ref_len, score), in order, are its best.
+
+    A placement may be paired with a later one on the same truth, unless they overlap by over a tenth of it;
+    a pair's score is the mean. One that pairs with none stands alone. The least score from 1 on wins;
+    equal ones are all kept, one a truth.
+    """
+    least, best = 1.0, []
+    for i, (truth, start, end, size, score) in enumerate(rows):
+        if any(rows[k] == rows[i] for k in best):
+            continue
+        options = []
+        for j in range(i + 1, len(rows)):
+            if rows[j][0] == truth:
+                apart = rows[j][2] <= start or rows[j][1] >= end
+                if apart or end - rows[j][1] <= 0.1 * size:
+                    options.append(((score + rows[j][4]) / 2, [i, j]))
+        for value, picked in options or [(score, [i])]:
+            if value < least:
+                least, best = value, picked
+            elif value == least and all(rows[k][0] != truth for k in best):
+                best = best + picked
+    return best
+
+
+def assigned(placements: DataFrame) -> DataFrame:
+    """Each contig's best placements, alone or in pairs on one truth; a contig has few of them."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("ord", ignore_index=True)
+        return frame.iloc[best_rows(list(zip(frame.truth_id, frame.start, frame.end, frame.ref_len, frame.score)))]
+
+    return placements.groupBy("method", "contig_id").applyInPandas(run, placements.schema)
+
+
+def precision_recall(assignments: DataFrame, n_truth: int, most: int = 5, by: tuple[str, ...] = ("method",)) -> DataFrame:
+    """(by, threshold, precision, recall, f) for edit distances up to 0 .. most percent.
+
+    assignments: by, contig_id, truth_id, aln_len, edit_dist. The least rate of each contig and
     of each truth is aggregated first; thresholds then only look at these.
     """
     rate = F.try_divide(F.col("edit_dist"), F.col("aln_len"))
     thresholds = assignments.sparkSession.range(most + 1).select(F.col("id").cast("int").alias("threshold"))
 
     def within(key: str) -> DataFrame:
-        best = assignments.groupBy("method", key).agg(F.min(rate).alias("rate"))
-        met = best.crossJoin(F.broadcast(thresholds))
-        return met.groupBy("method", "threshold").agg(F.count_if(F.col("rate") <= F.col("threshold") / 100).alias("hit"), F.count("*").alias("n"))
+        best = assignments.groupBy(*by, key).agg(F.min(rate).alias("rate"))
+        met = best.crossJoin(F.broadcast(thresholds))  # most + 1 rows
+        return met.groupBy(*by, "threshold").agg(F.count_if(F.col("rate") <= F.col("threshold") / 100).alias("hit"), F.count("*").alias("n"))
 
     contigs, truths = within("contig_id"), within("truth_id")
-    both = contigs.select("method", "threshold", (F.col("hit") / F.col("n")).alias("precision")).join(truths.select("method", "threshold", (F.col("hit") / F.lit(n_truth)).alias("recall")), ["method", "threshold"])
+    both = contigs.select(*by, "threshold", (F.col("hit") / F.col("n")).alias("precision")).join(truths.select(*by, "threshold", (F.col("hit") / F.lit(n_truth)).alias("recall")), [*by, "threshold"])
     f = F.when(F.col("precision") + F.col("recall") == 0, 0.0).otherwise(2 * F.try_divide(F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
     return both.withColumn("f", f)
 
 
-def mean_std(scores: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Mean and population standard deviation over samples."""
-    return scores.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+def mean_std(scores: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """Mean and population standard deviation of each value over samples: {value}_mean, {value}_std."""
+    return scores.groupBy(*by).agg(*(x for v in values for x in (F.avg(v).alias(f"{v}_mean"), F.stddev_pop(v).alias(f"{v}_std"))))
 
 
 def relative_error(true: Column, estimated: Column) -> Column:
@@ -68,36 +187,65 @@ def true_contig_frequencies(assignments: DataFrame, truth: DataFrame) -> DataFra
     rows = assignments.select("method", "contig_id", "truth_id").join(truth, "truth_id")
     own = rows.groupBy("method", "contig_id").agg(F.sum("freq").alias("own"))
     assembled = rows.select("method", "truth_id", "freq").distinct().groupBy("method").agg(F.sum("freq").alias("assembled"))
-    return own.join(F.broadcast(assembled), "method").select("method", "contig_id", (F.col("own") / F.col("assembled")).alias("freq"))
+    return own.join(assembled, "method").select("method", "contig_id", (F.col("own") / F.col("assembled")).alias("freq"))
 
 
-def frequency_errors(assignments: DataFrame, truth: DataFrame, estimates: DataFrame, min_share: float = 0.5) -> DataFrame:
-    """(method, truth_id, estimated, true, absolute, relative), percent, of the well assembled truths.
+def frequency_errors(placed: DataFrame, truth: DataFrame, contigs: DataFrame, min_share: float = 0.5) -> DataFrame:
+    """(method, truth_id, estimated, true, absolute, relative), percent, of truths with an estimate.
 
-    A truth counts if its longest contig is longer than min_share of it. A contig is credited to
-    the first of its truths. estimates: method, contig_id, ab.
+    placed: method, contig_id, truth_id, ord; truth: truth_id, ord, len, freq; contigs: method, contig_id, len, ab. A
+    contig is long for a truth if it is longer than min_share of it. The true total is that of truths with a long
+    contig; the estimated one adds each contig once for every placement on a truth that it is long for. A contig
+    is used up by the first of its truths, in their order, and credited there if it is long.
     """
-    rows = assignments.join(truth, "truth_id").where(F.col("aln_len") > min_share * F.col("len"))
-    found = rows.select("method", "truth_id", "freq").distinct()
-    first = rows.groupBy("method", "contig_id").agg(F.min("truth_id").alias("truth_id"))
-    credited = first.join(estimates, ["method", "contig_id"]).groupBy("method", "truth_id").agg(F.sum("ab").alias("ab"))
-    totals = found.groupBy("method").agg(F.sum("freq").alias("all_freq")).join(credited.groupBy("method").agg(F.sum("ab").alias("all_ab")), "method")
-    scored = found.join(credited, ["method", "truth_id"]).join(F.broadcast(totals), "method").where("ab > 0")
+    rows = placed.select("method", "contig_id", "truth_id", F.col("ord").alias("place")).join(contigs.select("method", "contig_id", F.col("len").alias("own"), "ab"), ["method", "contig_id"])
+    rows = rows.join(truth.select("truth_id", F.col("ord").alias("rank"), "len", "freq"), "truth_id").withColumn("long", F.col("own") > min_share * F.col("len"))
+    first = F.row_number().over(Window.partitionBy("method", "contig_id").orderBy("rank", "place")) == 1
+    used = rows.withColumn("credit", F.when(first & F.col("long"), F.col("ab")).otherwise(0.0))
+    per = used.groupBy("method", "truth_id", "freq").agg(F.sum("credit").alias("ab"), F.bool_or("long").alias("long"), F.sum(F.when(F.col("long"), F.col("ab")).otherwise(0.0)).alias("all_ab"))
+    totals = per.groupBy("method").agg(F.sum(F.when(F.col("long"), F.col("freq"))).alias("all_freq"), F.sum("all_ab").alias("all_ab"))
+    scored = per.drop("all_ab").join(totals, "method").where("ab > 0 and all_freq > 0 and all_ab > 0")
     est, true = 100 * F.col("ab") / F.col("all_ab"), 100 * F.col("freq") / F.col("all_freq")
     return scored.select("method", "truth_id", est.alias("estimated"), true.alias("true"), F.abs(est - true).alias("absolute"), (F.abs(est - true) / true).alias("relative"))
 
 
 def error_summary(errors: DataFrame, value: str) -> DataFrame:
-    """Median, least, largest and mean; null without rows."""
-    return errors.groupBy("method").agg(F.median(value).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"))
+    """Median, least, largest and mean by method; null where only one strain was found."""
+    told = lambda x: F.when(F.count("*") > 1, x)
+    return errors.groupBy("method").agg(told(F.median(value)).alias("median"), told(F.min(value)).alias("least"), told(F.max(value)).alias("most"), told(F.avg(value)).alias("mean"))
+
+
+def min_distances(placed: DataFrame, truth: DataFrame) -> DataFrame:
+    """(method, truth_id, distance): the least edited share of a truth's placements in percent; 100 without any."""
+    distance = F.try_divide(F.col("mismatches") + F.col("ins_len") + F.col("del_len"), F.col("end") - F.col("start"))
+    least = placed.groupBy("method", "truth_id").agg(F.min(distance).alias("least"))
+    every = placed.select("method").distinct().join(truth.select("truth_id"))  # truths are few: a method's ground truth
+    return every.join(least, ["method", "truth_id"], "left").select("method", "truth_id", (100 * F.least(F.lit(1.0), F.coalesce("least", F.lit(1.0)))).alias("distance"))
 
 
-def assembly_stats(assignments: DataFrame, n_truth: int) -> DataFrame:
-    """One row a method: summed errors and rates, exact contigs, sensitivity and PPV."""
+def assembly_stats(placed: DataFrame, contigs: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row a method: lengths, summed errors and rates, target coverage, NX, breakpoints, exact contigs, sensitivity, PPV.
+
+    contigs: method, contig_id, len, those without a placement too; truth: truth_id, len. A truth with n
+    placements has n - 1 breakpoints. A contig is exact if a placement of it has no error; sensitivity is the share of
+    truths with such a placement. Methods without contigs are absent; rates without aligned bases are 0.
+    """
     dist = F.col("mismatches") + F.col("ins_len") + F.col("del_len")
-    per = assignments.groupBy("method").agg(
-        F.sum("aln_len").alias("aligned"), F.sum("mismatches").alias("mismatches"), F.sum("ins_len").alias("ins_len"), F.sum("del_len").alias("del_len"),
-        F.countDistinct("contig_id").alias("n_contigs"), F.countDistinct(F.when(dist == 0, F.col("contig_id"))).alias("n_exact"),
-        F.countDistinct(F.when(dist == 0, F.col("truth_id"))).alias("n_truth_exact"),
+    span = placed.withColumn("len", F.col("end") - F.col("start"))
+    sums = span.groupBy("method").agg(
+        F.sum("len").alias("aligned"), *(F.sum(c).alias(c) for c in COUNTS), F.countDistinct(F.when(dist == 0, F.col("contig_id"))).alias("n_exact"),
+        F.countDistinct(F.when(dist == 0, F.col("truth_id"))).alias("n_truth_exact"), (F.count("*") - F.countDistinct("truth_id")).alias("breakpoints"),
+    )
+    targets = truth.agg(F.count("*").alias("n_truth"), F.sum("len").alias("target"))
+    covered = covered_bases(placed.select(F.struct("method", "truth_id").alias("contig"), F.col("start").alias("s"), (F.col("end") - F.col("start")).alias("n")))
+    covered = covered.groupBy(F.col("contig.method").alias("method")).agg(F.sum("covered").alias("covered"))
+    assembly = contigs.groupBy("method").agg(F.count("*").alias("n_contigs"), F.sum("len").alias("assembly"))
+    found = assembly.join(sums, "method", "left").join(covered, "method", "left").crossJoin(F.broadcast(targets))  # one row
+    found = found.join(nx(contigs.select("method", "len"), by=["method"]).withColumnRenamed("nx", "n50"), "method").join(nx(span.select("method", "len"), by=["method"]).withColumnRenamed("nx", "n50_aligned"), "method", "left")
+    found = found.na.fill(0)
+    share = lambda x: F.coalesce(F.try_divide(x, F.col("aligned")), F.lit(0.0))
+    return found.select(
+        "method", "assembly", "aligned", (F.col("assembly") - F.col("aligned")).alias("unaligned"), "n_contigs", *COUNTS, "covered", "target", (F.col("covered") / F.col("target")).alias("target_coverage"),
+        "n50", "n50_aligned", "breakpoints", "n_exact", "n_truth_exact", share(dist).alias("edit_rate"), share(F.col("mismatches")).alias("mismatch_rate"), share(F.col("unknown")).alias("unknown_rate"),
+        share(F.col("ins_len")).alias("ins_rate"), share(F.col("del_len")).alias("del_rate"), (F.col("n_truth_exact") / F.col("n_truth")).alias("sensitivity"), (F.col("n_exact") / F.col("n_contigs")).alias("ppv"),
     )
-    return per.withColumns({"mismatch_rate": F.col("mismatches") / F.col("aligned"), "sensitivity": F.col("n_truth_exact") / F.lit(n_truth), "ppv": F.col("n_exact") / F.col("n_contigs")})

@@ -17,10 +17,11 @@ from (select *, case when l_suppkey % 2 = 0 then least(cast(l_suppkey % 25 as in
   from (select *, least(400 + 50 * cast(l_quantity as int), ql, tl) alnlen, cast(round(l_discount * 100) as int) dp
     from (select *, cast(1000 + (a * 37) % 3000 as int) ql, cast(1000 + (b * 37) % 3000 as int) tl, 'r' || cast(a as varchar(9)) qn, 'r' || cast(b as varchar(9)) tn,
             case when l_returnflag = 'R' then '-' else '+' end strand
-      from (select *, (l_orderkey * 7 + l_linenumber) % 300 a, l_partkey % 300 b from {lineitem}) x0) x1) x2) x3"""
+      from (select *, l_partkey + (l_orderkey * 7 + l_linenumber) % 61 a, l_partkey b from {lineitem}) x0) x1) x2) x3"""
 
-INTERVALS = """select 'c' || cast(l_partkey % 20 as varchar(9)) contig, cast(1 + (l_orderkey * 13 + l_linenumber * 101) % 6000 as int) s, 20 + 4 * cast(l_quantity as int) n
-from {lineitem} where l_linenumber <= 2 and (l_orderkey * 13 + l_linenumber * 101) % 6000 % 1700 < 1450"""
+INTERVALS = """select 'c' || cast(cast(floor(l_partkey / 1e2) as int) as varchar(9)) contig, cast(1 + 1700 * (cast(floor(x / 1450e0) as int) % 4) + x % 1450 as int) s, 20 + 4 * cast(l_quantity as int) n,
+  (100 - cast(round(l_discount * 100) as int)) / 1e2 identity
+from (select *, l_orderkey * 13 + l_linenumber * 101 x from {lineitem}) i0"""
 
 ALIGNMENTS = """select 'q' || cast(l_orderkey as varchar(12)) || '_' || cast(l_linenumber as varchar(3)) qname,
   case l_linenumber % 7 when 0 then 16 when 1 then 0 when 2 then 0 when 3 then 2048 when 4 then 256 when 5 then 4 else 1024 end flag,
@@ -30,19 +31,27 @@ ALIGNMENTS = """select 'q' || cast(l_orderkey as varchar(12)) || '_' || cast(l_l
 from (select *, l_suppkey % 12 lc, l_partkey % 9 rc, 100 + 5 * cast(l_quantity as int) m from {lineitem}) z"""
 
 ASSIGNMENTS = """select event_type method, 'k' || cast(user_id as varchar(9)) contig_id, 't' || cast(user_id % 12 as varchar(9)) truth_id,
-  1000 + event_id % 500 aln_len, mm + event_id % 7 + event_id % 5 edit_dist, mm mismatches, event_id % 7 ins_len, event_id % 5 del_len
+  1000 + event_id % 500 aln_len, mm + event_id % 7 + event_id % 5 edit_dist, mm mismatches, event_id % 7 ins_len, event_id % 5 del_len,
+  event_id ord, event_id % 300 start, event_id % 300 + 1000 + event_id % 500 stop, least(1, event_id % 7) ins_count, least(1, event_id % 5) del_count, event_id % 3 unknown, user_id % 10 sample
 from (select *, cast(floor(value / 5) as int) mm from {events}) e0"""
 
-TRUTH = """select distinct 't' || cast(user_id % 12 as varchar(9)) truth_id, (user_id % 12 + 1) / 78e0 freq, cast(1000 + 100 * (user_id % 12) as int) len from {events}"""
+CONTIGS = """select distinct event_type method, 'k' || cast(user_id as varchar(9)) contig_id, cast(500 + (user_id * 13) % 1100 as int) len, 1e0 + user_id % 9 ab from {events}"""
 
-PAIRS = """select x, y, m, l, cast(1000 + (x * 41) % 700 * 10 as bigint) l1, cast(1000 + (y * 41) % 700 * 10 as bigint) l2,
+TRUTH = """select distinct user_id % 12 ord, 't' || cast(user_id % 12 as varchar(9)) truth_id, (user_id % 12 + 1) / 78e0 freq, cast(1000 + 100 * (user_id % 12) as int) len from {events}"""
+
+PAIR_ALIGNMENTS = """select case when x0 < y0 then x0 else y0 end x, case when x0 < y0 then y0 else x0 end y, alnlen - cast(floor(alnlen * dp / 1e2) as int) nmatch, alnlen,
+  cast(1 + (l_orderkey * 13) % 3000 as int) xs, alnlen xn, cast(1 + (l_partkey * 17 + l_linenumber * 401) % 3000 as int) ys, alnlen yn
+from (select *, cast(floor((l_partkey + (l_orderkey * 7 + l_linenumber) % 61) / 5e0) as int) x0, cast(floor(l_partkey / 5e0) as int) y0, 400 + 50 * cast(l_quantity as int) alnlen, cast(round(l_discount * 100) as int) dp from {lineitem}) w
+where x0 <> y0"""
+
+CONTIG_LENGTHS = """select distinct cast(floor(l_partkey / 5e0) as int) + k id, cast(6000 + ((cast(floor(l_partkey / 5e0) as int) + k) * 41) % 700 * 10 as bigint) len
+from {lineitem}, (select 0 k union all select 13) k0"""
+
+PAIRS = f"""select x, y, m, l, cast(6000 + (x * 41) % 700 * 10 as bigint) l1, cast(6000 + (y * 41) % 700 * 10 as bigint) l2,
   case when (x + y) % 53 = 0 and (x * y) % 3 = 0 then 1 when (x + 2 * y) % 59 = 0 then 2 else 0 end contained, (1 - m * 1e0 / l) * (1 + (x * y) % 37) gdiv
-from (select least(x0, y0) x, greatest(x0, y0) y, sum(nmatch) m, sum(alnlen) l
-  from (select a % 60 x0, b % 60 y0, alnlen - cast(floor(alnlen * dp / 1e2) as int) nmatch, alnlen
-    from (select (l_orderkey * 7 + l_linenumber) % 300 a, l_partkey % 300 b, 400 + 50 * cast(l_quantity as int) alnlen, cast(round(l_discount * 100) as int) dp from {lineitem}) w) v
-  where x0 <> y0 group by 1, 2) q"""
+from (select x, y, sum(nmatch) m, sum(alnlen) l from ({PAIR_ALIGNMENTS}) p0 group by 1, 2) q"""
 
-ALL = {"reads": READS, "ovl": OVERLAPS, "intervals": INTERVALS, "alignments": ALIGNMENTS, "assignments": ASSIGNMENTS, "truth": TRUTH, "pairs": PAIRS}
+ALL = {"reads": READS, "ovl": OVERLAPS, "intervals": INTERVALS, "alignments": ALIGNMENTS, "assignments": ASSIGNMENTS, "contigs": CONTIGS, "truth": TRUTH, "pair_alignments": PAIR_ALIGNMENTS, "contig_lengths": CONTIG_LENGTHS, "pairs": PAIRS}
 TABLES = ("documents", "lineitem", "events")
 
 

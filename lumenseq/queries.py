@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import sequences as seqs
 from .operators import alignments as aln
+from .operators import clusters
 from .operators import depth as dep
 from .operators import divergence as div
 from .operators import evaluation as ev
+from .operators import graph, mapping
 from .operators import overlaps as ov
+from .operators.numbering import numbered
+from .plans import pipeline
 from .plans.fixtures import fixture, with_clauses
+from .sources import sequences, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,7 +51,7 @@ def reads_scan(reads):
 
 @query("select id, length(seq) len, row_number() over (order by length(seq) desc, ord) as rank from reads", "reads")
 def reads_length_sort(reads):
-    return lengths_of(reads).select("id", "len", F.row_number().over(Window.orderBy(F.desc("len"), "ord")).cast("long").alias("rank"))
+    return numbered(lengths_of(reads).select("id", "ord", "len"), [F.desc("len"), F.asc("ord")], "rank").select("id", "len", "rank")
 
 
 @query("select id, length(seq) len from reads order by length(seq) desc, ord limit 100", "reads")
@@ -61,8 +66,8 @@ def reads_count(reads):
 
 @query("select 'r' || cast(row_number() over (order by length(seq) desc, ord) as varchar) as name, id from reads", "reads")
 def rename_by_rank(reads):
-    rank = F.row_number().over(Window.orderBy(F.desc(F.length("seq")), "ord"))
-    return reads.select(F.concat(F.lit("r"), rank.cast("string")).alias("name"), "id")
+    ranked = numbered(lengths_of(reads).select("id", "ord", "len"), [F.desc("len"), F.asc("ord")], "rank")
+    return ranked.select(seqs.numbered_name("r", F.col("rank")).alias("name"), "id")
 
 
 @query("select id, reverse(translate(seq, 'ACGTNacgtn', 'TGCANtgcan')) rc from reads", "reads")
@@ -173,19 +178,21 @@ def overlap_edges(ovl):
     return ov.edges(ovl)
 
 
-@query("select count(*) n_reads, count(*) filter (where id not in (select qn from ovl where alnlen >= 2500 union select tn from ovl where alnlen >= 2500)) n_lost from (select distinct 'r' || cast(ord % 300 as varchar) id from reads)", "reads", "ovl")
+@query("select count(*) n_reads, count(*) filter (where id not in (select qn from ovl where alnlen >= 2500 union select tn from ovl where alnlen >= 2500)) n_lost from (select distinct 'r' || cast(ord as varchar) id from reads)", "reads", "ovl")
 def lost_reads(reads, ovl):
-    return ov.lost_reads(reads.select(F.concat(F.lit("r"), (F.col("ord") % 300).cast("string")).alias("id")), ovl.where("alnlen >= 2500"))
+    return ov.lost_reads(reads.select(F.concat(F.lit("r"), F.col("ord").cast("string")).alias("id")), ovl.where("alnlen >= 2500"))
 
 
 @query(
-    f"""select 'r7' id, 1 as rank, '+' strand union all
-select case when qn = 'r7' then tn else qn end, row_number() over (order by alnlen desc, ord) + 1, strand
-from (select *, row_number() over ({PAIR}) k from ovl where (qn = 'r7' or tn = 'r7') and qn <> tn) where k = 1""",
+    """, ends as (select qn seed, tn id, alnlen, ord, strand from ovl where qn <> tn union all select tn, qn, alnlen, ord, strand from ovl where qn <> tn),
+star as (select * from (select *, row_number() over (partition by seed, id order by alnlen desc, ord) k from ends where cast(substring(seed, 2) as bigint) % 50 = 0) where k = 1)
+select distinct seed, seed id, 1 as rank, '+' strand from star
+union all select seed, id, row_number() over (partition by seed order by alnlen desc, ord) + 1, strand from star""",
     "ovl",
 )
 def star_order_strand(ovl):
-    return ov.star_order(ovl, "r7")
+    seeds = ovl.select(F.explode(F.array("qn", "tn")).alias("seed")).distinct().where(F.substring("seed", 2, 20).cast("long") % 50 == 0)
+    return ov.star_orders(ovl, seeds)
 
 
 @query("select qname, rname, flag & 16 <> 0 as reversed, flag & 4 <> 0 as unmapped from alignments", "alignments")
@@ -266,7 +273,7 @@ def contig_lengths(intervals: DataFrame) -> DataFrame:
     return intervals.groupBy("contig").agg(F.max(F.col("s") + F.col("n")).alias("len"))
 
 
-LENGTHS = "(select contig, max(s + n) len, sum(n) bases from intervals group by 1)"
+LENGTHS = "(select contig, max(s + n) len, coalesce(sum(case when identity >= 0.97e0 then n end), 0) bases from intervals group by 1)"
 
 
 @query(f"select contig, len, bases * 1e0 / len depth from {LENGTHS}", "intervals")
@@ -281,21 +288,21 @@ def rel_abundance(intervals):
 
 @query(
     f"""select contig, row_number() over (order by freq desc, contig) hap from (select contig, depth / sum(depth) over () freq
-from (select contig, bases * 1e0 / len depth from {LENGTHS})) where freq >= 0.02""",
+from (select contig, bases * 1e0 / len depth from {LENGTHS})) where freq >= 0.002""",
     "intervals",
 )
 def abundance_filter_rank(intervals):
-    return dep.abundant(dep.relative_abundance(dep.mean_depth(intervals, contig_lengths(intervals)))).select("contig", "hap")
+    return dep.abundant(dep.relative_abundance(dep.mean_depth(intervals, contig_lengths(intervals))), 0.002).select("contig", "hap")
 
 
 @query(MEANS + ' select contig, cast(win as bigint) win, start, "end", mean from w', "intervals")
 def windowed_depth(intervals):
-    return dep.window_means(dep.per_base(intervals)).select("contig", F.col("win").cast("long").alias("win"), "start", "end", "mean")
+    return dep.window_means(dep.runs(intervals)).select("contig", "win", "start", "end", "mean")
 
 
 @query(ISLANDS + ' select contig, start, "end" from i', "intervals")
 def coverage_islands(intervals):
-    return dep.islands(dep.per_base(intervals), min_len=100)
+    return dep.islands(dep.runs(intervals), min_len=100)
 
 
 @query(
@@ -305,16 +312,15 @@ select contig, piece, case when n > 1 and piece = 1 then 1 else start end as fir
     "intervals",
 )
 def coverage_split(intervals):
-    return dep.coverage_split(dep.per_base(intervals), contig_lengths(intervals), min_len=100)
+    return dep.coverage_split(dep.runs(intervals), contig_lengths(intervals), min_len=100)
 
 
 LOSERS = "select distinct case when contained = 1 then x when contained = 2 then y when gdiv < 0.05 and l1 <= l2 then x when gdiv < 0.05 then y end id from pairs"
 
 
-@query("select a.id a, b.id b from (select distinct x id from pairs union select distinct y from pairs) a join (select distinct x id from pairs union select distinct y from pairs) b on a.id < b.id", "pairs")
-def all_pairs(pairs):
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    return ids.select(F.col("id").alias("a")).join(ids.select(F.col("id").alias("b")), F.col("a") < F.col("b"))
+@query(", c as (select id, cast(floor(id / 6e1) as int) list from contig_lengths) select a.list, a.id a, b.id b from c a join c b on a.list = b.list and a.id < b.id", "contig_lengths")
+def all_pairs(contig_lengths):
+    return div.pairs_of_lists(contig_lengths.select("id", F.floor(F.col("id") / 60).cast("int").alias("list")), "list")
 
 
 @query(f"select id from ({LOSERS}) where id is not null", "pairs")
@@ -327,15 +333,32 @@ def redundancy_keep(pairs):
     return div.kept(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), pairs, 0.05)
 
 
+DIVERGENCE = """, u as (select x, y, 1 side, xs s, xs + xn e from pair_alignments union all select x, y, 2, ys, ys + yn from pair_alignments),
+v as (select *, max(e) over (partition by x, y, side order by s, e rows between unbounded preceding and 1 preceding) pe from u),
+cov as (select x, y, sum(case when side = 1 then new end) cov1, sum(case when side = 2 then new end) cov2 from (select *, greatest(0, e - greatest(s, coalesce(pe, s))) new from v) group by 1, 2),
+sums as (select x, y, sum(nmatch) m, sum(alnlen) l from pair_alignments group by 1, 2),
+dv as (select x, y, round(1 - m * 1e0 / (l + a.len - cov1 + b.len - cov2), 4) as global, round(1 - m * 1e0 / l, 4) as local, l, a.len l1, b.len l2
+  from sums join cov using (x, y) join contig_lengths a on a.id = x join contig_lengths b on b.id = y),
+dc as (select x, y, global, local, case when l1 - l <= 5 and local < 0.05 then 1 when l2 - l <= 5 and local < 0.05 then 2 else 0 end contained from dv)"""
+
+
+@query(DIVERGENCE + " select * from dc", "pair_alignments", "contig_lengths")
+def divergence_formula(pair_alignments, contig_lengths):
+    return div.divergence(div.pair_sums(pair_alignments, contig_lengths), 5, 0.05).select("x", "y", "global", "local", "contained")
+
+
 @query(
-    """select x, y, round(1 - m * 1e0 / (l + l1 - cov1 + l2 - cov2), 4) as global, round(1 - m * 1e0 / l, 4) as local,
-  case when l1 - l <= 5 and round(1 - m * 1e0 / l, 4) < 0.05 then 1 when l2 - l <= 5 and round(1 - m * 1e0 / l, 4) < 0.05 then 2 else 0 end contained
-from (select *, least(l1, cast(l as bigint)) cov1, least(l2, cast(l as bigint)) cov2 from pairs)""",
-    "pairs",
+    DIVERGENCE
+    + """, c as (select id, cast(floor(id / 6e1) as int) list from contig_lengths)
+select a.id x, b.id y, coalesce(global, 1e0) as global, coalesce(local, 1e0) as local, coalesce(contained, 0) contained
+from c a join c b on a.list = b.list and a.id < b.id left join dc on dc.x = a.id and dc.y = b.id""",
+    "pair_alignments",
+    "contig_lengths",
 )
-def divergence_formula(pairs):
-    covered = pairs.drop("contained", "gdiv").withColumns({"cov1": F.least("l1", "l"), "cov2": F.least("l2", "l")})
-    return div.divergence(covered, 5, 0.05).select("x", "y", "global", "local", "contained")
+def divergence_table(pair_alignments, contig_lengths):
+    known = div.divergence(div.pair_sums(pair_alignments, contig_lengths), 5, 0.05)
+    pairs = all_pairs(contig_lengths).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    return div.with_default(pairs, known)
 
 
 RATES = "select method, {k}, min(edit_dist * 1e0 / aln_len) rate from assignments group by 1, 2"
@@ -352,50 +375,71 @@ def precision_recall_f(assignments):
     return ev.precision_recall(assignments, 12)
 
 
-@query("select method, round(avg(edit_dist * 1e0 / aln_len), 9) mean, round(stddev_pop(edit_dist * 1e0 / aln_len), 9) std from assignments group by 1", "assignments")
+SAMPLES = RATES.replace("method", "method, sample").replace("1, 2", "1, 2, 3")
+
+
+@query(
+    f""", c as ({SAMPLES.format(k='contig_id')}), t as ({SAMPLES.format(k='truth_id')}), th as (select unnest(range(6)) threshold),
+p as (select method, sample, threshold, count(*) filter (where rate <= threshold / 1e2) * 1e0 / count(*) prec from c, th group by 1, 2, 3),
+q as (select method, sample, threshold, count(*) filter (where rate <= threshold / 1e2) / 12e0 rec from t, th group by 1, 2, 3),
+f as (select *, case when prec + rec = 0 then 0e0 else 2 * (prec * rec / (prec + rec)) end f from p join q using (method, sample, threshold))
+select method, threshold, round(avg(prec), 9) precision_mean, round(stddev_pop(prec), 9) precision_std, round(avg(rec), 9) recall_mean, round(stddev_pop(rec), 9) recall_std,
+  round(avg(f), 9) f_mean, round(stddev_pop(f), 9) f_std from f group by 1, 2""",
+    "assignments",
+)
 def prec_recall_mean_std(assignments):
-    found = ev.mean_std(assignments.withColumn("rate", F.col("edit_dist") / F.col("aln_len")), ["method"], "rate")
-    return found.select("method", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
+    scores = ev.precision_recall(assignments, 12, by=("method", "sample"))
+    found = ev.mean_std(scores, ["method", "threshold"], ["precision", "recall", "f"])
+    return found.select("method", "threshold", *(F.round(c, 9).alias(c) for c in found.columns[2:]))
 
 
 TRUE = """select method, contig_id, round(own / assembled, 9) freq from (select method, contig_id, sum(freq) own from assignments join truth using (truth_id) group by 1, 2)
 join (select method, sum(freq) assembled from (select distinct method, truth_id, freq from assignments join truth using (truth_id)) group by 1) using (method)"""
 
 
-@query(TRUE, "assignments", "truth")
+@query("select * from (" + TRUE + ")", "assignments", "truth")
 def true_contig_freq(assignments, truth):
     return ev.true_contig_frequencies(assignments, truth).select("method", "contig_id", F.round("freq", 9).alias("freq"))
 
 
-ERRORS = """, rws as (select a.*, freq from assignments a join truth t using (truth_id) where aln_len > 0.5e0 * t.len), fnd as (select distinct method, truth_id, freq from rws),
-fst as (select method, contig_id, min(truth_id) truth_id from rws group by 1, 2),
-est as (select method, contig_id, max(aln_len) * 1e0 ab from assignments group by 1, 2),
-crd as (select method, truth_id, sum(ab) ab from fst join est using (method, contig_id) group by 1, 2),
-tot as (select method, all_freq, all_ab from (select method, sum(freq) all_freq from fnd group by 1) join (select method, sum(ab) all_ab from crd group by 1) using (method)),
-err as (select method, truth_id, 100 * ab / all_ab e, 100 * freq / all_freq t from fnd join crd using (method, truth_id) join tot using (method) where ab > 0)"""
+# Each rule in the order of the survey: which contigs are long for a truth; the totals; who takes a contig; the errors.
+ERRORS = """, placed as (select a.method, a.contig_id, a.truth_id, t.ord truth_ord, a.ord, t.freq, c.ab, c.len > 0.5e0 * t.len full_len
+  from assignments a join contigs c on c.method = a.method and c.contig_id = a.contig_id join truth t on t.truth_id = a.truth_id),
+tot as (select method, (select sum(freq) from (select distinct truth_id, freq from placed q where q.method = p.method and q.full_len)) all_freq, sum(case when full_len then ab else 0 end) all_ab from placed p group by method),
+taken as (select * from (select *, row_number() over (partition by method, contig_id order by truth_ord, ord) k from placed) where k = 1 and full_len),
+err as (select method, truth_id, 100 * sum(ab) / any_value(all_ab) e, 100 * any_value(freq) / any_value(all_freq) t from taken join tot using (method) group by 1, 2)"""
 
 
-def errors_of(assignments: DataFrame, truth: DataFrame) -> DataFrame:
-    estimates = assignments.groupBy("method", "contig_id").agg(F.max("aln_len").cast("double").alias("ab"))
-    return ev.frequency_errors(assignments, truth, estimates)
-
-
-@query(ERRORS + " select method, truth_id, round(e, 9) estimated, round(t, 9) as true, round(abs(e - t), 9) absolute, round(abs(e - t) / t, 9) relative from err", "assignments", "truth")
-def freq_eval(assignments, truth):
-    found = errors_of(assignments, truth)
+@query(ERRORS + " select method, truth_id, round(e, 9) estimated, round(t, 9) as true, round(abs(e - t), 9) absolute, round(abs(e - t) / t, 9) relative from err", "assignments", "truth", "contigs")
+def freq_eval(assignments, truth, contigs):
+    found = ev.frequency_errors(assignments, truth, contigs)
     return found.select("method", "truth_id", *(F.round(c, 9).alias(c) for c in ("estimated", "true", "absolute", "relative")))
 
 
-@query(ERRORS + " select method, round(median(abs(e - t)), 9) median, round(min(abs(e - t)), 9) least, round(max(abs(e - t)), 9) most, round(avg(abs(e - t)), 9) mean from err group by 1", "assignments", "truth")
-def error_summary(assignments, truth):
-    found = ev.error_summary(errors_of(assignments, truth), "absolute")
+@query(
+    ERRORS
+    + """ select method, case when n > 1 then a end median, case when n > 1 then b end least, case when n > 1 then c end most, case when n > 1 then d end mean
+from (select method, count(*) n, round(median(abs(e - t)), 9) a, round(min(abs(e - t)), 9) b, round(max(abs(e - t)), 9) c, round(avg(abs(e - t)), 9) d from err group by 1)""",
+    "assignments",
+    "truth",
+    "contigs",
+)
+def error_summary(assignments, truth, contigs):
+    found = ev.error_summary(ev.frequency_errors(assignments, truth, contigs), "absolute")
     return found.select("method", *(F.round(c, 9).alias(c) for c in ("median", "least", "most", "mean")))
 
 
-@query("select method, round(100 * avg(case when mismatches + edit_dist = 0 then 0e0 else abs(mismatches - edit_dist) / (0.5e0 * (mismatches + edit_dist)) end), 9) error from assignments group by 1", "assignments")
-def abundance_rel_error(assignments):
-    error = ev.relative_error(F.col("mismatches").cast("double"), F.col("edit_dist").cast("double"))
-    return assignments.groupBy("method").agg(F.round(100 * F.avg(error), 9).alias("error"))
+@query(
+    f""", tr as ({TRUE}), es as (select method, contig_id, ab / sum(ab) over (partition by method) est from contigs)
+select method, round(100 * avg(case when freq + est = 0 then 0e0 else abs(freq - est) / (0.5e0 * (freq + est)) end), 6) error from tr join es using (method, contig_id) group by 1""",
+    "assignments",
+    "truth",
+    "contigs",
+)
+def abundance_rel_error(assignments, truth, contigs):
+    estimated = contigs.join(contigs.groupBy("method").agg(F.sum("ab").alias("all")), "method").select("method", "contig_id", (F.col("ab") / F.col("all")).alias("est"))
+    both = ev.true_contig_frequencies(assignments, truth.select("truth_id", "freq")).join(estimated, ["method", "contig_id"])
+    return both.groupBy("method").agg(F.round(100 * F.avg(ev.relative_error(F.col("freq"), F.col("est"))), 6).alias("error"))
 
 
 @query("select t.truth_id, count(a.contig_id) n_contigs, max(a.aln_len) longest from truth t left join (select * from assignments where edit_dist < 2) a using (truth_id) group by 1", "assignments", "truth")
@@ -410,14 +454,35 @@ def truth_semi(assignments, truth):
 
 
 @query(
-    """select method, cast(sum(aln_len) as bigint) aligned, cast(sum(mismatches) as bigint) mismatches, cast(sum(ins_len) as bigint) ins_len, cast(sum(del_len) as bigint) del_len, count(distinct contig_id) n_contigs,
-  count(distinct case when mismatches + ins_len + del_len = 0 then contig_id end) n_exact, count(distinct case when mismatches + ins_len + del_len = 0 then truth_id end) n_truth_exact,
-  sum(mismatches) * 1e0 / sum(aln_len) mismatch_rate, count(distinct case when mismatches + ins_len + del_len = 0 then truth_id end) / 12e0 sensitivity,
-  count(distinct case when mismatches + ins_len + del_len = 0 then contig_id end) * 1e0 / count(distinct contig_id) ppv from assignments group by 1""",
+    """, ct as (select method, count(*) n_contigs, sum(len) assembly from contigs group by 1), tg as (select count(*) n_truth, sum(len) target from truth),
+sm as (select method, sum(stop - start) aligned, sum(mismatches) mismatches, sum(ins_count) ins_count, sum(ins_len) ins_len, sum(del_count) del_count, sum(del_len) del_len, sum(unknown) unknown,
+  count(distinct case when mismatches + ins_len + del_len = 0 then contig_id end) n_exact, count(distinct case when mismatches + ins_len + del_len = 0 then truth_id end) n_truth_exact from assignments group by 1),
+br as (select method, sum(n - 1) breakpoints from (select method, truth_id, count(*) n from assignments group by 1, 2) group by 1),
+cv as (select method, sum(greatest(0, stop - greatest(start, coalesce(pe, start)))) covered
+  from (select *, max(stop) over (partition by method, truth_id order by start, stop rows between unbounded preceding and 1 preceding) pe from assignments) group by 1),
+n1 as (select method, max(len) n50 from (select method, len, sum(len) over (partition by method order by len desc) run, sum(len) over (partition by method) total from contigs) where run >= total * 0.5e0 group by 1),
+n2 as (select method, max(len) n50_aligned from (select method, len, sum(len) over (partition by method order by len desc) run, sum(len) over (partition by method) total from (select method, stop - start len from assignments)) where run >= total * 0.5e0 group by 1)
+select method, cast(assembly as bigint) assembly, cast(aligned as bigint) aligned, cast(assembly - aligned as bigint) unaligned, n_contigs, cast(mismatches as bigint) mismatches, cast(ins_count as bigint) ins_count, cast(ins_len as bigint) ins_len,
+  cast(del_count as bigint) del_count, cast(del_len as bigint) del_len, cast(unknown as bigint) unknown, cast(covered as bigint) covered, cast(target as bigint) target, covered * 1e0 / target target_coverage, n50, n50_aligned,
+  cast(breakpoints as bigint) breakpoints, n_exact, n_truth_exact, (mismatches + ins_len + del_len) * 1e0 / aligned edit_rate, mismatches * 1e0 / aligned mismatch_rate, unknown * 1e0 / aligned unknown_rate,
+  ins_len * 1e0 / aligned ins_rate, del_len * 1e0 / aligned del_rate, n_truth_exact * 1e0 / n_truth sensitivity, n_exact * 1e0 / n_contigs ppv
+from ct join sm using (method) join br using (method) join cv using (method) join n1 using (method) join n2 using (method), tg""",
+    "assignments",
+    "contigs",
+    "truth",
+)
+def assembly_stats(assignments, contigs, truth):
+    return ev.assembly_stats(assignments.withColumnRenamed("stop", "end"), contigs, truth)
+
+
+@query(
+    """select m.method, t.truth_id, 100 * least(1e0, coalesce(min((mismatches + ins_len + del_len) * 1e0 / (stop - start)), 1e0)) distance
+from (select distinct method from assignments) m cross join truth t left join assignments a on a.method = m.method and a.truth_id = t.truth_id group by 1, 2""",
     "assignments",
+    "truth",
 )
-def assembly_stats(assignments):
-    return ev.assembly_stats(assignments, 12)
+def min_distances(assignments, truth):
+    return ev.min_distances(assignments.withColumnRenamed("stop", "end"), truth)
 
 
 @query("select stat, avg(value) mean from (select method stat, unnest([nullif(mismatches, 7), ins_len, del_len]) value from (select method, max(mismatches) mismatches, max(ins_len) ins_len, min(del_len) del_len from assignments group by 1)) where value is not null group by 1", "assignments")
@@ -452,3 +517,149 @@ def distinct_ids(ovl):
 def union_all(reads):
     long_ones = lengths_of(reads).where("len >= 2000").select("id", F.lit(1).alias("part"))
     return long_ones.unionByName(lengths_of(reads).where("len < 500").select("id", F.lit(2).alias("part")))
+
+
+def as_lines(rows: DataFrame, *columns: str, order: str = "ord") -> DataFrame:
+    """Lines (file, ord, value) of a tab-separated file that holds the rows."""
+    return rows.select(F.lit("f").alias("file"), F.col(order).cast("long").alias("ord"), tables.fields_line(*columns).alias("value"))
+
+
+@query("select ord, id, id || ' len=' || length(seq) header, seq from reads where seq <> ''", "reads")
+def fasta_scan(reads):
+    header = F.concat("id", F.lit(" len="), F.length("seq").cast("string"))
+    records = reads.select(F.lit("f").alias("file"), "ord", seqs.fasta_record(header, seqs.wrapped(F.col("seq"))).alias("value"))
+    return sequences.parse_fasta(records).select("ord", "id", "header", "seq")
+
+
+@query("select ord, id, seq, repeat('I', length(seq)) qual from reads", "reads")
+def fastq_scan(reads):
+    four = F.array(F.concat(F.lit("@"), F.col("id"), F.lit(" x")), F.col("seq"), F.lit("+"), F.expr("repeat('I', length(seq))"))
+    lines = reads.select(F.col("ord").alias("r"), F.posexplode(four).alias("k", "value")).select(F.lit("f").alias("file"), (F.col("r") * 4 + F.col("k")).alias("ord"), "value")
+    return sequences.parse_fastq(lines).select("ord", "id", "seq", "qual")
+
+
+@query("select ord, qn, ql, qs, qe, strand, tn, tl, ts, te, nmatch, alnlen, mapq, 'tp:A:P' tag from ovl", "ovl")
+def paf_scan(ovl):
+    names = [c.split()[0] for c in tables.PAF.split(", ")]
+    lines = as_lines(ovl.withColumn("tag", F.lit("tp:A:P")), *names, "tag")
+    return tables.parse_paf(lines).select("ord", *names, F.get("tags", F.lit(0)).alias("tag"))
+
+
+@query("select qname, flag, rname, pos, cigar, seq from alignments", "alignments")
+def sam_scan(alignments):
+    full = alignments.withColumns({"mapq": F.lit(60), "rnext": F.lit("*"), "zero": F.lit(0), "qual": F.lit("*"), "ord": F.lit(1)})
+    body = as_lines(full, "qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "zero", "zero", "seq", "qual")
+    head = body.limit(1).withColumn("value", F.lit("@HD\tVN:1.6"))
+    return tables.parse_sam(head.unionByName(body)).select("qname", "flag", "rname", "pos", "cigar", "seq")
+
+
+@query(f"select contig, len, bases * 1e0 / len depth from {LENGTHS}", "intervals")
+def contig_depth_scan(intervals):
+    found = mean_depth(intervals).withColumn("ord", F.lit(1))
+    head = found.limit(1).select(F.lit("f").alias("file"), F.lit(0).cast("long").alias("ord"), F.concat(F.lit("contigName\tcontigLen\ttotalAvgDepth"), F.substring("contig", 1, 0)).alias("value"))
+    return tables.parse_contig_depth(head.unionByName(as_lines(found, "contig", "len", "depth"))).select("contig", "len", "depth")
+
+
+@query("select truth_id, freq from truth", "truth")
+def frequency_scan(truth):
+    lines = truth.select(F.lit("f").alias("file"), F.col("ord").cast("long").alias("ord"), F.concat(F.lit(" "), "truth_id", F.lit("  "), F.col("freq").cast("string")).alias("value"))
+    return tables.parse_frequencies(lines).select("truth_id", "freq")
+
+
+@query("select method, contig_id, truth_id, aln_len, edit_dist, mismatches, ins_len, del_len from assignments", "assignments")
+def assignment_scan(assignments):
+    names = [c.split()[0] for c in tables.ASSIGNMENT.split(", ")]
+    return tables.parse_fields(as_lines(assignments, *names), tables.ASSIGNMENT).select(*names)
+
+
+@query("select method stat, unnest(['a', 'b', 'c']) ref, unnest([nullif(max(mismatches), 7) * 1e0, max(ins_len), min(del_len)]) as value from assignments group by 1", "assignments")
+def report_scan(assignments):
+    wide = assignments.groupBy("method").agg(F.nullif(F.max("mismatches"), F.lit(7)).alias("a"), F.max("ins_len").alias("b"), F.min("del_len").alias("c")).withColumn("ord", F.lit(1))
+    head = wide.limit(1).select(F.lit("f").alias("file"), F.lit(0).cast("long").alias("ord"), F.concat(F.lit("stat\ta\tb\tc"), F.substring("method", 1, 0)).alias("value"))
+    return tables.parse_report(head.unionByName(as_lines(wide, "method", "a", "b", "c")))
+
+
+@query("select contig, 'hap' || cast(contig_no as varchar) as name, length(seq) len from (select distinct contig, cast(substring(contig, 2) as bigint) contig_no from intervals) join reads on ord = contig_no", "intervals", "reads")
+def depth_lookup(intervals, reads):
+    depths = contig_lengths(intervals).select("contig")
+    known = reads.select(F.concat(F.lit("c"), F.col("ord").cast("string")).alias("contig"), "seq")
+    return depths.join(known, "contig").select("contig", seqs.numbered_name("hap", F.substring("contig", 2, 20)).alias("name"), F.length("seq").alias("len"))
+
+
+@query(
+    """, c as (select id, ord, translate(substring(seq, 1, 200), 'T', 'N') a, substring(seq, 2, 200) b from reads where length(seq) >= 201),
+s as (select id, ord, len(list_filter(list_zip(string_split(a, ''), string_split(b, '')), lambda p: p[1] <> 'N' and p[2] <> 'N' and p[1] <> p[2])) mismatches,
+  len(list_filter(list_zip(string_split(a, ''), string_split(b, '')), lambda p: p[1] = 'N' or p[2] = 'N')) unknown from c)
+select id contig_id, mismatches, unknown, mismatches / 2e2 score from s where mismatches / 2e2 <= 0.6e0""",
+    "reads",
+)
+def score_alignments(reads):
+    long = reads.where("length(seq) >= 201").select(F.lit("m").alias("method"), F.col("id").alias("contig_id"), F.col("id").alias("truth_id"), "ord", F.translate(F.substring("seq", 1, 200), "T", "N").alias("a"), F.substring("seq", 2, 200).alias("b"))
+    aligned = long.select("method", "contig_id", "truth_id", "ord", F.lit(0).alias("flag"), F.lit(1).alias("pos"), F.lit("200M").alias("cigar"))
+    found = ev.score_alignments(aligned, long.select("method", "contig_id", F.col("a").alias("seq")), long.select("truth_id", F.col("b").alias("seq")), max_score=0.6)
+    return found.select("contig_id", "mismatches", "unknown", "score")
+
+
+@query(None, "assignments")
+def assign_contigs(assignments):
+    placed = assignments.select("method", "contig_id", "truth_id", "ord", (F.col("edit_dist") / F.col("aln_len")).alias("score"), *ev.COUNTS, "start", F.col("stop").alias("end"), F.lit(2000).alias("ref_len"))
+    return ev.assigned(placed)
+
+
+#: Documents share many words, so only long seeds tell a copied passage.
+SEEDS = mapping.Settings(k=24, w=10, most=200, least=8)
+
+
+def sequences_of(reads: DataFrame) -> DataFrame:
+    return reads.where("seq <> ''").select("id", "seq")
+
+
+@query(None, "reads")
+def read_overlaps(reads):
+    found = mapping.overlaps(sequences_of(reads), sequences_of(reads), SEEDS, once=True)
+    return found.select("qn", "tn", "strand", "qs", "qe", "ts", "te", "nmatch", "alnlen")
+
+
+def clusters_of(reads: DataFrame) -> DataFrame:
+    found = mapping.overlaps(sequences_of(reads), sequences_of(reads), SEEDS, once=True).withColumn("ord", F.xxhash64("qn", "tn"))
+    ranked = numbered(lengths_of(reads).where("len > 0").select("id", "len"), [F.desc("len"), F.asc("id")], "rank")
+    return clusters.seed_clusters(ranked, ov.chain(found, 500, 0.9, 300), topk=100, min_seed_len=500)
+
+
+@query(None, "reads")
+def seed_clusters(reads):
+    return clusters_of(reads)
+
+
+@query(None, "reads")
+def cluster_consensus(reads):
+    return clusters.consensus(clusters_of(reads), sequences_of(reads), SEEDS)
+
+
+@query(None, "reads")
+def haplotypes(reads):
+    p = pipeline.Parameters(min_trimmed_len=500, min_overlap_len=500, min_identity=0.9, min_seed_len=500, max_overhang=300, min_abundance=0.001, rounds=1, correct=False, own_settings=SEEDS)
+    return pipeline.haplotypes(sequences_of(reads), p).select("id", "name", "len", "freq")
+
+
+@query(None, "ovl")
+def overlap_components(ovl):
+    return graph.components(ovl.where("alnlen >= 2800").select(F.col("qn").alias("a"), F.col("tn").alias("b")))
+
+
+@query(None, "ovl")
+def overlap_topn_in_turn(ovl):
+    return graph.top_n_in_turn(ovl.where("alnlen >= 2800"), 5).select("ord", "qn", "tn")
+
+
+@query(None, "ovl")
+def reads_in_visiting_order(ovl):
+    long = ovl.where("alnlen >= 2800 and qn <> tn")
+    ends = long.select("qn", "ql").union(long.select("tn", "tl")).distinct().toDF("id", "len")
+    return graph.ordered_reads(ends.withColumn("ord", F.substring("id", 2, 20).cast("long")), long)
+
+
+@query(None, "reads")
+def genome_identity(reads):
+    pairs = mapping.nucleotide_identity(sequences_of(reads), sequences_of(reads), 1000, SEEDS)
+    return pairs.where("x < y").select("x", "y", F.round("ani", 6).alias("ani"), "n")

@@ -1,4 +1,4 @@
-"""Makes the package known to the executors of a session."""
+"""What a session needs: the package on its executors, and a folder to write to."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -22,3 +22,14 @@ def ship_package(spark: SparkSession) -> SparkSession:
         made = shutil.make_archive(os.path.join(folder, name[:-4]), "zip", ROOT, "lumenseq")
         context.addPyFile(made)
     return spark
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the checkpoint folder that the cluster shares."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
