@@ -366,7 +366,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(fp, hashes binary) of the wanted (fp, text_key): the sorted distinct shingle hashes, from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [np.unique(shingles(x, width)).tobytes() for x in texts(batch)]
             fps = np.array([xxhash.xxh64_intdigest(x) for x in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(fps), pa.array(sets, pa.binary())], ["fp", "hashes"])
@@ -376,16 +376,22 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return checkpointed(chosen.select("text").mapInArrow(run, "fp long, hashes binary"))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of `rows`, so that what is unpacked at once is small."""
+    for batch in batches:
+        yield from (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 def verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, width: int, alike: float) -> DataFrame:
     """The pairs (a, b) of fingerprints whose texts' shingle sets are alike; the sketches rule out most others first."""
 
     def loosely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, MINIMA) for c in ("x", "y"))
             yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= min(LOOSE, alike - 0.1)))
 
     def exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = ([np.frombuffer(h, np.uint64) for h in batch.column(c).to_pylist()] for c in ("x", "y"))
             yield batch.select(["a", "b"]).filter(pa.array([matching(x, y, alike) for x, y in zip(*sets)], pa.bool_()))
 
@@ -465,7 +471,7 @@ def alike_classes(docs: DataFrame, width: int, alike: float, few: int = FEW, blo
     """(doc_id, fp, text_key, sketch) of every row, and (fp, root) of the linked ones; see similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [np.unique(shingles(x, width)) for x in texts(batch)]
             fps = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2), pa.array([minima(x, MINIMA).tobytes() for x in sets], pa.binary())], ["doc_id", "fp", "text_key", "sketch"])
