@@ -23,9 +23,9 @@ def clipped_off(alignments: DataFrame, min_len: int = 100) -> DataFrame:
 
 def clip_points(alignments: DataFrame, min_clip: int = 5) -> DataFrame:
     """(rname, bp): where a read's clip of min_clip bases or more begins; the left one goes first."""
-    lc, rc = left_clip(F.col("cigar")), right_clip(F.col("cigar"))
-    bp = F.when(lc >= min_clip, F.col("pos")).when(rc >= min_clip, F.col("pos") + F.length("seq") - rc)
-    return alignments.where("cigar <> '*'").where(~has_flag(F.col("flag"), UNMAPPED)).select("rname", bp.alias("bp")).where("bp is not null")
+    clips = alignments.where("cigar <> '*'").where(~has_flag(F.col("flag"), UNMAPPED)).select("rname", "pos", F.length("seq").alias("len"), left_clip(F.col("cigar")).alias("lc"), right_clip(F.col("cigar")).alias("rc"))
+    bp = F.when(F.col("lc") >= min_clip, F.col("pos")).when(F.col("rc") >= min_clip, F.col("pos") + F.col("len") - F.col("rc"))
+    return clips.where((F.col("lc") >= min_clip) | (F.col("rc") >= min_clip)).select("rname", bp.alias("bp"))
 
 
 def breakpoints(alignments: DataFrame, min_clip: int = 5, min_count: int = 10) -> DataFrame:

@@ -607,7 +607,7 @@ def assign_contigs(assignments):
 
 
 #: Documents share many words, so only long seeds tell a copied passage.
-SEEDS = mapping.Settings(k=24, w=10, most=200, least=8)
+SEEDS = mapping.Settings(k=24, w=10, most=200, least=8, gap=200, reach=100)
 
 
 def sequences_of(reads: DataFrame) -> DataFrame:
