@@ -75,15 +75,15 @@ class Block:
         hashes[:2] = START, STOP
         return cls(hashes, np.array(word, np.int32), np.array(sizes, np.int64), np.array([f for _, f in rows], np.uint8))
 
-    def packed(self) -> bytes:
-        parts = [self.hashes.tobytes(), planes(self.word), planes(self.sizes), zlib.compress(self.flags.tobytes(), 1)]
-        return b"".join([np.array([len(p) for p in parts], "<u4").tobytes(), *parts])
+    def packed(self, keep_hashes: bool = True) -> bytes:
+        """All of it; without the hashes, which are needed no more once the counts are known, zeros take their place."""
+        hashes = self.hashes.tobytes() if keep_hashes else zlib.compress(bytes(8 * len(self.hashes)), 1)
+        return joined([hashes, planes(self.word), planes(self.sizes), zlib.compress(self.flags.tobytes(), 1)])
 
     @classmethod
-    def unpacked(cls, data: bytes) -> Block:
-        ends = 16 + np.cumsum(np.frombuffer(data, "<u4", 4), dtype=np.int64)
-        hashes, word, sizes, flags = (data[a:b] for a, b in zip([16, *ends[:-1].tolist()], ends.tolist()))
-        return cls(np.frombuffer(hashes, np.uint64), from_planes(word, np.int32), from_planes(sizes, np.int64), np.frombuffer(zlib.decompress(flags), np.uint8))
+    def unpacked(cls, data: bytes, hashed: bool = True) -> Block:
+        hashes, word, sizes, flags = parted(data)
+        return cls(np.frombuffer(hashes if hashed else zlib.decompress(hashes), np.uint64), from_planes(word, np.int32), from_planes(sizes, np.int64), np.frombuffer(zlib.decompress(flags), np.uint8))
 
     def own_counts(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """(hashes, counts in the two halves' training texts) of the words, then of the pairs; the start's count is that of texts."""
@@ -94,6 +94,16 @@ class Block:
         return found
 
 
+def joined(parts: list[bytes]) -> bytes:
+    return b"".join([np.array([len(parts), *map(len, parts)], "<u4").tobytes(), *parts])
+
+
+def parted(data: bytes) -> list[bytes]:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    ends = 4 + 4 * n + np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64)
+    return [data[a:b] for a, b in zip([4 + 4 * n, *ends[:-1].tolist()], ends.tolist())]
+
+
 def planes(x: np.ndarray) -> bytes:
     """An array of numbers, compressed byte by byte of equal rank."""
     return zlib.compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
@@ -177,7 +187,7 @@ def requests(blocks: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
                 rows: list[tuple] = []
                 for first, (hashes, counts) in zip((buckets, 0), Block.unpacked(data).own_counts()):
                     order = np.argsort(hashes)
@@ -187,13 +197,13 @@ def requests(blocks: DataFrame, buckets: int) -> DataFrame:
                 kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "block", "keys", "counts"])
 
-    return blocks.select("block", "data").mapInArrow(run, "bucket int, block long, keys binary, counts binary")
+    return blocks.mapInArrow(run, "bucket int, block long, keys binary, counts binary")
 
 
 def answers(asked: DataFrame, buckets: int) -> DataFrame:
-    """(block, bucket, counts): the corpus counts of what each block asked for, in its order.
+    """(block, bucket, counts, first, second, words): the corpus counts of what each block asked for, in its order.
 
-    A row of block -1 a bucket has its tokens in each half and its distinct words, starts left out.
+    One row of each bucket also has the bucket's tokens in each half and its distinct words, starts left out; the others have zeros.
     """
 
     def run(bucket: pa.Table) -> pa.Table:
@@ -203,10 +213,12 @@ def answers(asked: DataFrame, buckets: int) -> DataFrame:
         counts = np.concatenate([unpack_counts(x) for x in bucket.column("counts").to_pylist()], 1)
         total = np.stack([np.bincount(place, half, len(distinct)).astype(np.int64) for half in counts])
         out = [pack_counts(total[:, p]) for p in np.split(place, np.cumsum([len(k) for k in keys])[:-1])]
-        words = total[:, distinct != start_key(of, buckets)] if of >= buckets else np.zeros((2, 0), np.int64)
-        more = {"counts": [*out, b""], "block": [*bucket.column("block").to_pylist(), -1]}
-        last = (*words.sum(1).tolist(), int((words.sum(0) > 0).sum()))
-        return pa.table({"block": pa.array(more["block"], pa.int64()), "bucket": pa.array([of] * (len(out) + 1), pa.int32()), "counts": pa.array(more["counts"], pa.binary())} | {k: pa.array([0] * len(out) + [v], pa.int64()) for k, v in zip(("first", "second", "words"), last)})
+        told = [0, 0, 0]
+        if of >= buckets:
+            start = start_key(of, buckets)
+            words = total if start is None else total[:, distinct != start]
+            told = [*words.sum(1).tolist(), int((words.sum(0) > 0).sum())]
+        return pa.table({"block": bucket.column("block"), "bucket": bucket.column("bucket"), "counts": pa.array(out, pa.binary())} | {k: pa.array([v] + [0] * (len(out) - 1), pa.int64()) for k, v in zip(("first", "second", "words"), told)})
 
     return asked.groupBy("bucket").applyInArrow(run, "block long, bucket int, counts binary, first long, second long, words long")
 
@@ -287,22 +299,44 @@ class Learned(NamedTuple):
     uniform: float
 
 
-def learn(met: DataFrame, replies: DataFrame, buckets: int) -> Learned:
-    """Corpus size and mixture weights. met: block, doc_ids, data, counts, buckets of every block."""
-    first, second, words = (x or 0 for x in replies.where("block = -1").agg(F.sum("first"), F.sum("second"), F.sum("words")).first())
+def settled(blocks: DataFrame, replies: DataFrame, buckets: int) -> DataFrame:
+    """(doc_ids, data, first, second, words) of every block: its texts with the corpus counts of their words and pairs."""
+    doc_ids = blocks.schema["doc_ids"].dataType
+    met = blocks.join(replies, "block").select("doc_ids", "data", "counts", "buckets", "first", "second", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: defaultdict[int, int] = defaultdict(int)
         for batch in batches:
-            for data, counts, of in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for at, (data, counts, of) in enumerate(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))):
                 block = Block.unpacked(data)
-                cells, n = np.unique(held_out(block, *told(block, counts, of, buckets), (first, second)), return_counts=True)
+                words, pairs = told(block, counts, of, buckets)
+                kept = joined([block.packed(keep_hashes=False), pack_counts(words), pack_counts(pairs)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), pa.array([kept]), *(batch.column(i).slice(at, 1) for i in (4, 5, 6))], ["doc_ids", "data", "first", "second", "words"])
+
+    schema = T.StructType().add("doc_ids", doc_ids).add("data", "binary").add("first", "long").add("second", "long").add("words", "long")
+    return met.mapInArrow(run, schema)
+
+
+def known(data: bytes) -> tuple[Block, np.ndarray, np.ndarray]:
+    """A settled block, with the counts (2 x n) of its words and pairs."""
+    block, words, pairs = parted(data)
+    return Block.unpacked(block, hashed=False), unpack_counts(words), unpack_counts(pairs)
+
+
+def learn(met: DataFrame) -> Learned:
+    """Corpus size and mixture weights, from settled blocks."""
+    first, second, words = (x or 0 for x in met.agg(F.sum("first"), F.sum("second"), F.sum("words")).first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: defaultdict[int, int] = defaultdict(int)
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                cells, n = np.unique(held_out(*known(data), (first, second)), return_counts=True)
                 for c, k in zip(cells.tolist(), n.tolist()):
                     found[c] += k
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["cell", "n"])
 
     # at most LEVELS x GRID x GRID cells, however large the input
-    statistics = dict(met.select("data", "counts", "buckets").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect())
+    statistics = dict(met.select("data").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect())
     return Learned((first, second), words, *mixture_weights(statistics, words))
 
 
@@ -316,20 +350,19 @@ def scored(docs: DataFrame, training: Column, block_bytes: int = BLOCK_BYTES) ->
     """
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, ceil(volume / block_bytes))
-    blocks = checkpointed(encoded(docs, training, block_bytes).repartition(n, "block"))
+    blocks = encoded(docs, training, block_bytes).repartition(n, "block")  # one exchange: both who asks and who is answered read it
     replies = answers(requests(blocks, n).repartition(2 * n, "bucket"), n)
     # a block has a reply for each bucket that it asked, together about as long as its own data
     gathered = replies.repartition(n, "block").groupBy("block").agg(F.collect_list("counts").alias("counts"), F.collect_list("bucket").alias("buckets"), *(F.sum(c).alias(c) for c in ("first", "second", "words")))
-    replies = checkpointed(gathered)
-    met = blocks.join(replies.select("block", "counts", "buckets"), "block")
-    m = learn(met, replies, n)
+    met = checkpointed(settled(blocks, gathered, n))
+    m = learn(met)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, (data, counts, of) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(1, 4)))):
-                block = Block.unpacked(data)
-                words, pairs = (x.sum(0) for x in told(block, counts, of, n))
+            for at, data in enumerate(batch.column(1).to_pylist()):
+                block, words, pairs = known(data)
+                words, pairs = words.sum(0), pairs.sum(0)
                 tokens, rows = sum(m.tokens), len(block.sizes)
                 seen = words[block.before]
                 words[0] = 0  # the start is no token
@@ -344,7 +377,7 @@ def scored(docs: DataFrame, training: Column, block_bytes: int = BLOCK_BYTES) ->
                     ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return met.select("doc_ids", "data", "counts", "buckets").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return met.select("doc_ids", "data").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def contract_training(folds: int = 7, held: int = 2) -> Column:
