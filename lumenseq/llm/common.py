@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import pyarrow as pa
@@ -40,6 +41,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of tables that nothing refers to any more; it does so when the driver's JVM collects garbage,
+    which in a driver with memory to spare may be after the job."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def few_or_none(table: DataFrame, most: int = FEW_ROWS) -> DataFrame:
     """A checkpointed table, to be broadcast in joins if it has at most `most` rows."""
     return F.broadcast(table) if table.count() <= most else table

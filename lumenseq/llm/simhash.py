@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, few_or_none, looked_up, texts
+from .common import checkpointed, few_or_none, looked_up, release, texts
 from .components import components
 
 BITS = 64
@@ -418,11 +418,12 @@ def untested(met: DataFrame, roots: DataFrame, few: int) -> DataFrame:
     return checkpointed(looked_up(known, mixed, ["key"], few * few))
 
 
-def crowded_links(members: DataFrame, alike: float, block: int) -> DataFrame:
+def crowded_links(members: DataFrame, filled: DataFrame, alike: float, block: int) -> DataFrame:
     """Links (a, b) between the classes that meet in a bucket: a forest, but no pair between two trees is left untested, but for
     those inside the bucket's most frequent class.
 
-    members: key, fp, root, sketch, hashes. Each pair of a bucket's blocks is compared in one task.
+    members: key, fp, root; filled: fp, sketch, hashes, which join the members when they have been dealt out. Each pair of
+    a bucket's blocks is compared in one task.
     """
     least = min(LOOSE, alike - 0.1)
 
@@ -446,7 +447,8 @@ def crowded_links(members: DataFrame, alike: float, block: int) -> DataFrame:
                     labels[labels == labels[j]] = labels[i]
         return pa.table({"a": pa.array([a for a, _ in taken], pa.int64()), "b": pa.array([b for _, b in taken], pa.int64())})
 
-    return dealt(split_up(members, ["key"], block)).select("key", "i", "j", "fp", "root", "main", "sketch", "hashes").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    tasks = dealt(split_up(members, ["key"], block)).select("key", "i", "j", "fp", "root", "main")
+    return tasks.join(filled, "fp").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def similar(docs: DataFrame, width: int = 5, alike: float = ALIKE, few: int = FEW, block: int = BLOCK) -> DataFrame:
@@ -455,7 +457,7 @@ def similar(docs: DataFrame, width: int = 5, alike: float = ALIKE, few: int = FE
     A text stands for all with the same set of shingles. Candidates share a band of their sketches,
     BAND bytes, and 0.7 of the whole sketches; a pair is a link if their sets of shingle hashes have
     a Jaccard similarity of `alike`. What is linked is one class. Each member of a band is tested against the
-    band's least one, then the members outside a band's most frequent class against that class's least text.
+    band's least one.
     In every band whose members are still in several classes all pairs between those are tested. With at most
     `few` members the pairs are joined. With more, the members of its most frequent class, in all its bands
     at once, and those outside that share a band with it are compared inside tasks; so a text's set travels
@@ -482,16 +484,17 @@ def alike_classes(docs: DataFrame, width: int, alike: float, few: int = FEW, blo
     met = meetings(distinct.select("fp", "sketch"))
     found = verified(met.where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct(), distinct, docs, width, alike)
     classes = lambda links: components(links).select(F.col("node").alias("fp"), "root")
-    rest = untested(met, classes(found), few).where(F.col("root") != F.col("top"))
-    found = found.union(verified(rest.select(F.col("fp").alias("a"), F.col("top").alias("b")).distinct(), distinct, docs, width, alike))
+    release(docs.sparkSession)
     rest = untested(met, classes(found), few)
+    release(docs.sparkSession)
     one, other = (rest.where(F.col("n") <= few).alias(x) for x in ("one", "other"))
     apart = one.join(other, (F.col("one.key") == F.col("other.key")) & (F.col("one.fp") < F.col("other.fp")) & (F.col("one.root") != F.col("other.root")))
     pairs = apart.select(F.col("one.fp").alias("a"), F.col("other.fp").alias("b")).distinct()
     crowded = checkpointed(rest.where(F.col("n") > few).select(F.col("top").alias("key"), "fp", "root").distinct())  # a class and those outside that meet it
     sets = shingle_sets(docs, crowded.select("fp").distinct().join(distinct, "fp"), width)
-    filled = crowded.join(distinct.select("fp", "sketch"), "fp").join(sets, "fp")
-    links = found.union(verified(pairs, distinct, docs, width, alike)).union(crowded_links(filled, alike, block))
+    filled = distinct.select("fp", "sketch").join(sets, "fp")
+    links = found.union(verified(pairs, distinct, docs, width, alike)).union(crowded_links(crowded, filled, alike, block))
+    release(docs.sparkSession)
     return own, classes(links)
 
 
