@@ -8,12 +8,11 @@ each half's tokens are judged by the other half's counts over the whole corpus,
 often the context was seen there. How far an estimate from n sightings of a context can be
 trusted depends on n alone, so the weights carry over to the counts of both halves together.
 
-Words are known by 64-bit hashes. The input is cut into blocks, each written once as the hashes of its
-words and its texts as numbers of these. A block counts its n-grams with numpy and asks, in sorted arrays,
+Words are known by 64-bit hashes. The rows are dealt into blocks by a hash. A block counts its n-grams with numpy and asks, in sorted arrays,
 the buckets of the hash range for the corpus counts; a bucket adds up what all blocks
-counted and answers each block. A frequent n-gram weighs one array cell a block, so there is no hot
-key. There is a row for each block and bucket that have an n-gram in common, so no more rows than n-grams that
-the blocks tell. Scores don't depend on how the rows are dealt into partitions and blocks.
+counted and answers each block, which is then written once as numbers of its words with the counts. A frequent n-gram weighs one
+array cell a block, so there is no hot key. There is a row for each block and bucket that have an n-gram in
+common, so no more rows than n-grams that the blocks tell. Scores don't depend on how the rows are dealt.
 """
 
 from __future__ import annotations
@@ -27,12 +26,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, fold, texts
+from .common import checkpointed, fold
 
 #: Text bytes in a block, about.
 BLOCK_BYTES = 8 << 20
@@ -41,8 +39,8 @@ LEVELS = 64
 STEPS, GRID = 4, 4 * 48 + 1
 START, STOP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bytes of a key inside its bucket's range. The range shrinks as buckets grow in number, so that the chance that
-#: a key meets another one by its hash alone is about one in 10^8 at every size.
-KEY_BYTES = 6
+#: a key meets another one by its hash alone is about one in a million at every size, and one in 10^8 for a word.
+KEY_BYTES = 5
 
 
 class Block:
@@ -75,15 +73,19 @@ class Block:
         hashes[:2] = START, STOP
         return cls(hashes, np.array(word, np.int32), np.array(sizes, np.int64), np.array([f for _, f in rows], np.uint8))
 
-    def packed(self, keep_hashes: bool = True) -> bytes:
-        """All of it; without the hashes, which are needed no more once the counts are known, zeros take their place."""
-        hashes = self.hashes.tobytes() if keep_hashes else zlib.compress(bytes(8 * len(self.hashes)), 1)
-        return joined([hashes, planes(self.word), planes(self.sizes), zlib.compress(self.flags.tobytes(), 1)])
+    @classmethod
+    def of_table(cls, texts_of: pa.Table) -> Block:
+        data = texts_of.column("text").cast(pa.large_binary()).to_pylist()
+        return cls.of([(x or b"", f) for x, f in zip(data, texts_of.column("flags").to_pylist())])
+
+    def packed(self) -> bytes:
+        """All but the hashes, which are needed no more once the counts are known."""
+        return joined([planes(self.word), planes(self.sizes), zlib.compress(self.flags.tobytes(), 1), len(self.hashes).to_bytes(4, "little")])
 
     @classmethod
-    def unpacked(cls, data: bytes, hashed: bool = True) -> Block:
-        hashes, word, sizes, flags = parted(data)
-        return cls(np.frombuffer(hashes if hashed else zlib.decompress(hashes), np.uint64), from_planes(word, np.int32), from_planes(sizes, np.int64), np.frombuffer(zlib.decompress(flags), np.uint8))
+    def unpacked(cls, data: bytes) -> Block:
+        word, sizes, flags, n = parted(data)
+        return cls(np.zeros(int.from_bytes(n, "little"), np.uint64), from_planes(word, np.int32), from_planes(sizes, np.int64), np.frombuffer(zlib.decompress(flags), np.uint8))
 
     def own_counts(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """(hashes, counts in the two halves' training texts) of the words, then of the pairs; the start's count is that of texts."""
@@ -122,32 +124,11 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def encoded(docs: DataFrame, training: Column, block_bytes: int) -> DataFrame:
-    """(block, doc_ids, data): the input cut into blocks, none over a partition's end."""
+def dealt(docs: DataFrame, training: Column, n: int) -> DataFrame:
+    """(doc_id, text, flags, block): the rows dealt into n blocks by a hash of id and text."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))
     flags = F.coalesce(training, F.lit(False)).cast("int") + 2 * F.pmod(F.xxhash64(F.lit("half"), key), F.lit(2)).cast("int")
-    kind = docs.schema["doc_id"].dataType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rows, held, made = [], [], 0, TaskContext.get().partitionId() << 32
-
-        def block() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([made], pa.int64()), pa.array([ids], pa.list_(id_kind)), pa.array([Block.of(rows).packed()])], ["block", "doc_ids", "data"])
-
-        for batch in batches:
-            id_kind = batch.column(0).type
-            for doc_id, data, flag in zip(batch.column(0).to_pylist(), texts(batch), batch.column(2).to_pylist()):
-                ids.append(doc_id)
-                rows.append((data, flag))
-                held += len(data)
-                if held >= block_bytes:
-                    yield block()
-                    ids, rows, held, made = [], [], 0, made + 1
-        if rows:
-            yield block()
-
-    schema = T.StructType().add("block", "long").add("doc_ids", T.ArrayType(kind)).add("data", "binary")
-    return docs.select("doc_id", "text", flags.alias("flags")).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", flags.alias("flags"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block")).repartition(n, "block")
 
 
 def edges(buckets: int) -> list[int]:
@@ -185,19 +166,17 @@ def requests(blocks: DataFrame, buckets: int) -> DataFrame:
     bounds = edges(buckets)
     lows = np.array(bounds[:-1], np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
-                rows: list[tuple] = []
-                for first, (hashes, counts) in zip((buckets, 0), Block.unpacked(data).own_counts()):
-                    order = np.argsort(hashes)
-                    keys, counts = hashes[order], counts[:, order]
-                    at = [*np.searchsorted(keys, lows).tolist(), len(keys)]
-                    rows += [(first + k, block, pack_keys(keys[a:b], bounds[k], buckets), pack_counts(counts[:, a:b])) for k, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
-                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "block", "keys", "counts"])
+    def run(texts_of: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        for first, (hashes, counts) in zip((buckets, 0), Block.of_table(texts_of).own_counts()):
+            order = np.argsort(hashes)
+            keys, counts = hashes[order], counts[:, order]
+            at = [*np.searchsorted(keys, lows).tolist(), len(keys)]
+            rows += [(first + k, texts_of.column("block")[0].as_py(), pack_keys(keys[a:b], bounds[k], buckets), pack_counts(counts[:, a:b])) for k, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "block", "keys", "counts"])
 
-    return blocks.mapInArrow(run, "bucket int, block long, keys binary, counts binary")
+    return blocks.groupBy("block").applyInArrow(run, "bucket int, block int, keys binary, counts binary")
 
 
 def answers(asked: DataFrame, buckets: int) -> DataFrame:
@@ -220,7 +199,7 @@ def answers(asked: DataFrame, buckets: int) -> DataFrame:
             told = [*words.sum(1).tolist(), int((words.sum(0) > 0).sum())]
         return pa.table({"block": bucket.column("block"), "bucket": bucket.column("bucket"), "counts": pa.array(out, pa.binary())} | {k: pa.array([v] + [0] * (len(out) - 1), pa.int64()) for k, v in zip(("first", "second", "words"), told)})
 
-    return asked.groupBy("bucket").applyInArrow(run, "block long, bucket int, counts binary, first long, second long, words long")
+    return asked.groupBy("bucket").applyInArrow(run, "block int, bucket int, counts binary, first long, second long, words long")
 
 
 def start_key(bucket: int, buckets: int) -> np.uint64 | None:
@@ -301,25 +280,22 @@ class Learned(NamedTuple):
 
 def settled(blocks: DataFrame, replies: DataFrame, buckets: int) -> DataFrame:
     """(doc_ids, data, first, second, words) of every block: its texts with the corpus counts of their words and pairs."""
-    doc_ids = blocks.schema["doc_ids"].dataType
-    met = blocks.join(replies, "block").select("doc_ids", "data", "counts", "buckets", "first", "second", "words")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, (data, counts, of) in enumerate(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))):
-                block = Block.unpacked(data)
-                words, pairs = told(block, counts, of, buckets)
-                kept = joined([block.packed(keep_hashes=False), pack_counts(words), pack_counts(pairs)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), pa.array([kept]), *(batch.column(i).slice(at, 1) for i in (4, 5, 6))], ["doc_ids", "data", "first", "second", "words"])
+    def run(texts_of: pa.Table, replies_to: pa.Table) -> pa.Table:
+        block = Block.of_table(texts_of)
+        words, pairs = told(block, replies_to.column("counts").to_pylist(), replies_to.column("bucket").to_pylist(), buckets)
+        ids = texts_of.column("doc_id").combine_chunks()
+        sums = {c: pa.array([sum(replies_to.column(c).to_pylist())], pa.int64()) for c in ("first", "second", "words")}
+        return pa.table({"doc_ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "data": [joined([block.packed(), pack_counts(words), pack_counts(pairs)])]} | sums)
 
-    schema = T.StructType().add("doc_ids", doc_ids).add("data", "binary").add("first", "long").add("second", "long").add("words", "long")
-    return met.mapInArrow(run, schema)
+    schema = T.StructType().add("doc_ids", T.ArrayType(blocks.schema["doc_id"].dataType)).add("data", "binary").add("first", "long").add("second", "long").add("words", "long")
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)
 
 
 def known(data: bytes) -> tuple[Block, np.ndarray, np.ndarray]:
     """A settled block, with the counts (2 x n) of its words and pairs."""
     block, words, pairs = parted(data)
-    return Block.unpacked(block, hashed=False), unpack_counts(words), unpack_counts(pairs)
+    return Block.unpacked(block), unpack_counts(words), unpack_counts(pairs)
 
 
 def learn(met: DataFrame) -> Learned:
@@ -350,11 +326,9 @@ def scored(docs: DataFrame, training: Column, block_bytes: int = BLOCK_BYTES) ->
     """
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, ceil(volume / block_bytes))
-    blocks = encoded(docs, training, block_bytes).repartition(n, "block")  # one exchange: both who asks and who is answered read it
+    blocks = dealt(docs, training, n)  # one exchange: both who asks and who is answered read it
     replies = answers(requests(blocks, n).repartition(2 * n, "bucket"), n)
-    # a block has a reply for each bucket that it asked, together about as long as its own data
-    gathered = replies.repartition(n, "block").groupBy("block").agg(F.collect_list("counts").alias("counts"), F.collect_list("bucket").alias("buckets"), *(F.sum(c).alias(c) for c in ("first", "second", "words")))
-    met = checkpointed(settled(blocks, gathered, n))
+    met = checkpointed(settled(blocks, replies.repartition(n, "block"), n))
     m = learn(met)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
