@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language_id, license_scan, line_dedup, lm_score, packing, quality_rules, simhash, toxicity
+from . import decontaminate, html_text, language_id, license_scan, line_dedup, lm_score, packing, phrases, prefix_trie, quality_rules, sentence_pieces, simhash, toxicity
 from .common import fold, table
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.grafted(prefix_trie.sequences(table(spark, sf_dir, "conversations")))
+    return prefix_trie.nodes(turns)
+
+
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = r"""
 with d as (
   select doc_id, coalesce(text, '') t,
@@ -131,8 +144,59 @@ select doc_id, item_id, n_shingles, n_found, n_found / n_shingles::double contai
 from hits join n using (item_id) where n_found >= ceil(0.8 * n_shingles - 1e-9)
 """
 
+OP11_SQL = r"""
+with recursive bits as (select i, 0 k, cast(i as bigint) v from range(256) t(i)
+  union all select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from bits where k < 8),
+crc as (select list(v order by i) t from bits where k = 8),
+ids as (select distinct conv_id, conv_id - conv_id % 100 base, cast(conv_id as varchar) name from conversations where conv_id is not null),
+crcs as (
+  select conv_id, base, name, 1 pos, cast(4294967295 as bigint) v from ids
+  union all select conv_id, base, name, pos + 1, xor(v >> 8, t[1 + (xor(v, ascii(substr(name, pos, 1))) & 255)]) from crcs, crc where pos <= length(name)),
+heads as (select conv_id, base, xor(v, 4294967295) % 6 h from crcs where pos > length(name)),
+turns as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), md5(coalesce(text, ''))) k,
+    md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) key, length(coalesce(text, '')) chars
+  from conversations where conv_id is not null),
+built as (
+  select h.conv_id, t.k, t.key, t.chars from heads h join turns t on t.conv_id = h.base and t.k <= h.h
+  union all select h.conv_id, t.k + 1000000000, t.key, t.chars from heads h join turns t on t.conv_id = h.conv_id and t.k > h.h),
+seqs as (select i.conv_id, coalesce(list(b.key order by b.k) filter (where b.k is not null), []) keys, coalesce(list(b.chars order by b.k) filter (where b.k is not null), []) sizes
+  from ids i left join built b on b.conv_id = i.conv_id group by 1),
+members as (select conv_id, unnest(range(len(keys) + 1)) depth, keys, sizes from seqs),
+n as (
+  select keys[1:depth] path, depth, min(conv_id) conv_id, count(*) n_convs, coalesce(any_value(sizes[depth]), 0) chars,
+    sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where len(keys) = depth), '')) ends_sha256
+  from members group by 1, 2),
+kids as (select path[1:depth - 1] path, depth - 1 depth, count(*) n_children from n where depth > 0 group by 1, 2),
+own as (select n.*, coalesce(n_children, 0) n_children from n left join kids using (path, depth)),
+above as (select path[1:d] path, d depth, case when n_children = 0 then 1 else 0 end leaf, (n_convs - 1) * chars saved from (select *, unnest(range(depth + 1)) d from own)),
+sums as (select path, depth, sum(leaf) n_leaves, sum(saved) saved_tokens from above group by 1, 2)
+select o.conv_id, cast(o.depth as bigint) depth, p.conv_id parent_conv_id, cast(o.n_convs as bigint) n_convs, cast(o.n_children as bigint) n_children,
+  cast(s.n_leaves as bigint) n_leaves, cast(s.saved_tokens as bigint) saved_tokens, o.ends_sha256
+from own o join sums s on s.path = o.path and s.depth = o.depth left join own p on p.depth = o.depth - 1 and p.path = o.path[1:o.depth - 1]
+"""
+
+OP13_SQL = r"""
+with pieces as (select coalesce(lang, 'und') lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) piece from documents),
+words as (select lang, [x for x in regexp_split_to_array(piece, '[\x20\x09]+') if x <> ''] ws from pieces),
+grams as (select lang, k, array_to_string(ws[i:i + k - 1], ' ') phrase from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) i from words, range(1, 4) t(k))),
+f as (select lang, k, phrase, count(*) f from grams group by 1, 2, 3),
+n as (select lang, sum(f) n from f where k = 1 group by 1),
+cand as (select lang, k, phrase, string_split(phrase, ' ') ws, f a from f where k > 1 and f >= 10),
+cuts as (select lang, k, phrase, a, c, array_to_string(ws[1:c], ' ') p, array_to_string(ws[c + 1:], ' ') q from (select *, unnest(range(1, k)) c from cand)),
+scored as (
+  select u.lang, u.k, u.phrase, u.a, c, x.f l, y.f r, cast(1000000::hugeint * u.a * u.a // (x.f::hugeint * y.f) as bigint) score
+  from cuts u join f x on x.lang = u.lang and x.phrase = u.p join f y on y.lang = u.lang and y.phrase = u.q),
+lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, c) = 1),
+inner_pairs as (select lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) phrase, a from cand where k = 3),
+longer as (select lang, phrase, max(a) longer from inner_pairs group by 1, 2),
+kept as (select s.* from lowest s left join longer g using (lang, phrase) where not coalesce(100 * longer >= 50 * a, false)),
+best as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from kept qualify rank <= 2000)
+select lang, rank, phrase, a, l, r, cast(n as bigint) n, score from best join n using (lang)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_html_text, op3_quality_rules, op4_license_scan, op5_simhash, op6_line_dedup, op7_decontaminate, op8_packing, op9_lm_score, op10_toxicity)
+    for f in (op1_language_id, op2_html_text, op3_quality_rules, op4_license_scan, op5_simhash, op6_line_dedup, op7_decontaminate, op8_packing, op9_lm_score, op10_toxicity, op11_prefix_trie, op12_sentence_pieces, op13_phrases)
 }
-ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_decontaminate": OP7_SQL}
+ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_decontaminate": OP7_SQL, "op11_prefix_trie": OP11_SQL, "op13_phrases": OP13_SQL}
