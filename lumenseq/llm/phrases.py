@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, looked_up
 
 #: Phrases of a trie that may be broadcast (some 16 bytes a slot, and the words); text bytes of a block.
-FEW, BLOCK_BYTES = 2_000_000, 16 << 20
+FEW, BLOCK_BYTES = 2_000_000, 6 << 20
 #: Rows that one join key may bring to a task.
 HOT = 100_000
 #: A word's number is two symbols below DIGIT, so that no node has more children.
@@ -187,7 +187,8 @@ def counted(docs: DataFrame, length: int, trie: Broadcast | None = None) -> Data
         yield from block(texts)
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    return rows.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    # a block tells a phrase once, so there is nothing for a partial aggregate to add up before the exchange
+    return rows.mapInArrow(run, "lang string, phrase string, f long").repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def broadcast_trie(*frequent: DataFrame) -> Broadcast | None:
