@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -96,18 +97,25 @@ class Trie:
     """Frequent phrases by language; words and languages are numbers."""
 
     def __init__(self, langs: pa.Array, phrases: pa.Array):
-        self.langs: dict[str, int] = {}
-        self.words: dict[bytes, int] = {}
-        number = lambda known, key: known.setdefault(key, len(known))
-        rows = [[number(self.langs, lang), *(number(self.words, w) for w in phrase.encode().split(b" "))] for lang, phrase in zip(langs.to_pylist(), phrases.to_pylist())]
-        table = np.full((len(rows), max(map(len, rows), default=1)), -1, np.int64)
-        for k, row in enumerate(rows):
-            table[k, : len(row)] = row
-        if max(len(self.langs), len(self.words)) > DIGIT * DIGIT:
+        split = pc.split_pattern(phrases, " ")
+        offsets, lengths = split.offsets.to_numpy(), pc.list_value_length(split).to_numpy()
+        words, own = split.flatten().dictionary_encode(), langs.dictionary_encode()
+        self.vocabulary, self.langs = words.dictionary, {x: k for k, x in enumerate(own.dictionary.to_pylist())}
+        if max(len(self.langs), len(self.vocabulary)) > DIGIT * DIGIT:
             raise ValueError("too many words for a trie")
-        digits = [x for column in table.T for x in (np.where(column < 0, -1, column // DIGIT), np.where(column < 0, -1, column % DIGIT))]
+        table, numbers = [own.indices.to_numpy()], words.indices.to_numpy()
+        for k in range(int(lengths.max(initial=0))):
+            has = lengths > k
+            table.append(np.full(len(lengths), -1, np.int32))
+            table[-1][has] = numbers[offsets[:-1][has] + k]
+        digits = [x for column in table for x in (np.where(column < 0, -1, column // DIGIT), np.where(column < 0, -1, column % DIGIT))]
         self.array = DoubleArray.of(np.stack(digits, 1))
 
+    @cached_property
+    def words(self) -> dict[bytes, int]:
+        """Words' numbers, made where they are asked for."""
+        return {w: k for k, w in enumerate(self.vocabulary.cast(pa.binary()).to_pylist())}
+
     def step(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
         return self.array.step(self.array.step(state, np.where(word < 0, -1, word // DIGIT)), word % DIGIT)
 
