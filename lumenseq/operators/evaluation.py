@@ -10,7 +10,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,47 +47,38 @@ def error_rate(unknown: Column, mismatch: Column, indel: Column) -> Column:
     return (unknown + mismatch + indel) / 1000
 
 
-def differing(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """(mismatched, unknown) positions of two stretches as bytes; N in either is unknown."""
-    unknown = (a == 78) | (b == 78)
-    return int(((a != b) & ~unknown).sum()), int(unknown.sum())
-
-
 def measured(contig: bytes, truth: bytes, pos: int, cigar: str) -> tuple:
     """(score, *COUNTS, start, end) of one alignment; pos is 0-based, contig on the alignment's strand.
 
-    Clipped ends count as aligned as far as the truth reaches. The clip at the back is compared by its
-    own last bases, also where the truth is the shorter one.
+    The alignment is laid out as columns: each one's operation, place on the contig and place on the truth. Clipped ends count as
+    aligned as far as the truth reaches; the rear one is compared by its own last bases, also where the truth is the shorter one. A symbol N of either is
+    unknown; insertions at an alignment's ends aren't counted as such.
     """
-    ops = [(int(n), o) for n, o in OPERATION.findall(cigar)]
+    parts = OPERATION.findall(cigar)
+    sizes, kind = np.array([int(n) for n, _ in parts]), np.frombuffer("".join(o for _, o in parts).encode(), np.uint8)
+    clip, both, alone, gone = (np.isin(kind, np.frombuffer(x, np.uint8)) for x in (b"SH", b"M=X", b"I", b"D"))
+    if not (clip | both | alone | gone).all():
+        raise ValueError(f"no rule for an operation of {cigar}")
+    front = clip & (np.arange(len(kind)) == 0)
+    rear = clip & ~front
+    end = pos + int(sizes[both | gone].sum())
+    reached = np.where(front, np.minimum(sizes, pos), np.where(rear, np.minimum(sizes, max(0, len(truth) - end)), 0))
+    of = np.repeat(np.arange(len(kind)), sizes)  # a column's operation
+    within = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    on_contig = (np.cumsum(np.where(gone, 0, sizes)) - np.where(gone, 0, sizes))[of] + within
+    shift = np.where(front, pos - sizes, pos + np.cumsum(np.where(both | gone, sizes, 0)) - np.where(both | gone, sizes, 0)) - np.where(rear, sizes - reached, 0)
+    on_truth = shift[of] + within
+    compared = both[of] | (front[of] & (on_truth >= 0)) | (rear[of] & (within >= (sizes - reached)[of]))
     own, ref = np.frombuffer(contig, np.uint8), np.frombuffer(truth, np.uint8)
-    start, at, on, length = pos, 0, pos, len(contig)
-    mismatched = unknown = ins_count = ins_len = del_count = del_len = 0
-    for k, (n, op) in enumerate(ops):
-        aligned = n
-        if op in "SH":
-            aligned = min(n, pos if k == 0 else len(truth) - on)
-            length -= n - aligned
-            start -= aligned if k == 0 else 0
-            on += aligned if k else 0
-            at += n
-            m, u = differing(own[at - aligned : at], ref[on - aligned : on])
-        elif op in "M=X":
-            m, u = differing(own[at : at + n], ref[on : on + n])
-            at, on = at + n, on + n
-        elif op == "I":
-            m, u = 0, contig.count(b"N", at, at + n)
-            if 0 < k < len(ops) - 1:
-                ins_count, ins_len = ins_count + 1, ins_len + n
-            at += n
-        elif op == "D":
-            m, u, del_count, del_len = 0, 0, del_count + 1, del_len + n
-            on += n
-        else:
-            raise ValueError(f"no rule for {op} in {cigar}")
-        mismatched, unknown = mismatched + m, unknown + u
+    a, b = own[on_contig[compared]], ref[on_truth[compared]]
+    unknown = (a == 78) | (b == 78)
+    mismatched, inner = int(((a != b) & ~unknown).sum()), alone.copy()
+    inner[[0, -1]] = False
+    ins_len, del_len = int(sizes[inner].sum()), int(sizes[gone].sum())
+    length = len(contig) - int((sizes - reached)[clip].sum())
     score = (mismatched + ins_len + del_len) / length if length > 0 else 0.0
-    return score, mismatched, ins_count, ins_len, del_count, del_len, unknown, start, on
+    n_unknown = int(unknown.sum() + (own[on_contig[alone[of]]] == 78).sum())
+    return score, mismatched, int(inner.sum()), ins_len, int(gone.sum()), del_len, n_unknown, pos - int(reached[front].sum()), end + int(reached[rear].sum())
 
 
 def score_alignments(alignments: DataFrame, contigs: DataFrame, truths: DataFrame, max_score: float = 1.0) -> DataFrame:
@@ -116,39 +106,36 @@ def score_alignments(alignments: DataFrame, contigs: DataFrame, truths: DataFram
     return found.where(F.col("score") <= max_score)
 
 
-def best_rows(rows: list[tuple]) -> list[int]:
-    """Which of a contig's placements (truth_id, start, end, ref_len, score), in order, are its best.
-
-    A placement may be paired with a later one on the same truth, unless they overlap by over a tenth of it;
-    a pair's score is the mean. One that pairs with none stands alone. The least score from 1 on wins;
-    equal ones are all kept, one a truth.
-    """
-    least, best = 1.0, []
-    for i, (truth, start, end, size, score) in enumerate(rows):
-        if any(rows[k] == rows[i] for k in best):
-            continue
-        options = []
-        for j in range(i + 1, len(rows)):
-            if rows[j][0] == truth:
-                apart = rows[j][2] <= start or rows[j][1] >= end
-                if apart or end - rows[j][1] <= 0.1 * size:
-                    options.append(((score + rows[j][4]) / 2, [i, j]))
-        for value, picked in options or [(score, [i])]:
-            if value < least:
-                least, best = value, picked
-            elif value == least and all(rows[k][0] != truth for k in best):
-                best = best + picked
-    return best
-
-
 def assigned(placements: DataFrame) -> DataFrame:
-    """Each contig's best placements, alone or in pairs on one truth; a contig has few of them."""
+    """Each contig's best placements, alone or in pairs on one truth; ord is distinct in a contig.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ord", ignore_index=True)
-        return frame.iloc[best_rows(list(zip(frame.truth_id, frame.start, frame.end, frame.ref_len, frame.score)))]
-
-    return placements.groupBy("method", "contig_id").applyInPandas(run, placements.schema)
+    A placement's options are its pairs with later ones on its truth that it doesn't overlap by over a tenth of the truth, at the mean of
+    both scores; one without any stands alone. Each placement's first least option is one row, and a contig's rows, one a placement, are folded in
+    their order: the least from 1 on wins, equal ones stay as long as their truth is new, and a placement that the best option so far has makes no own.
+    """
+    key = ["method", "contig_id"]
+    one = placements.select(*key, "truth_id", "ord", "start", "end", "ref_len", "score")
+    later = one.select(*key, "truth_id", *(F.col(c).alias(f"{c}2") for c in ("ord", "start", "end", "score")))
+    apart = (F.col("end2") <= F.col("start")) | (F.col("start2") >= F.col("end")) | (F.col("end") - F.col("start2") <= 0.1 * F.col("ref_len"))
+    options = one.join(later, [*key, "truth_id"]).where((F.col("ord2") > F.col("ord")) & apart)
+    mean = (F.col("score") + F.col("score2")) / 2
+    pair = options.groupBy(*key, "ord").agg(F.min(F.struct(mean.alias("value"), F.col("ord2"), F.struct("truth_id", F.col("start2").alias("start"), F.col("end2").alias("end"), F.col("score2").alias("score")).alias("same"))).alias("pair"))
+    placed = F.struct("ord", F.struct("truth_id", "start", "end", "score").alias("same"))
+    second = F.struct(F.col("pair.ord2").alias("ord"), F.col("pair.same").alias("same"))
+    steps = one.join(pair, [*key, "ord"], "left").select(*key, F.struct("ord", F.coalesce("pair.value", "score").alias("value"), F.when(F.col("pair").isNull(), F.array(placed)).otherwise(F.array(placed, second)).alias("taken")).alias("step"))
+    by_contig = steps.groupBy(*key).agg(F.sort_array(F.collect_list("step")).alias("steps"))
+    none = F.struct(F.lit(1.0).alias("least"), F.filter(F.flatten(F.transform("steps", lambda x: x["taken"])), lambda x: F.lit(False)).alias("best"))
+
+    def fold(state, step):
+        first = step["taken"][0]["same"]
+        met = F.exists(state["best"], lambda x: x["same"] == first)
+        told = F.exists(state["best"], lambda x: x["same"]["truth_id"] == first["truth_id"])
+        better = F.struct(step["value"].alias("least"), step["taken"].alias("best"))
+        longer = F.struct(state["least"].alias("least"), F.concat(state["best"], step["taken"]).alias("best"))
+        return F.when(met, state).when(step["value"] < state["least"], better).when((step["value"] == state["least"]) & ~told, longer).otherwise(state)
+
+    chosen = by_contig.select(*key, F.explode(F.array_distinct(F.transform(F.aggregate("steps", none, fold)["best"], lambda x: x["ord"]))).alias("ord"))
+    return placements.join(chosen, [*key, "ord"], "left_semi")
 
 
 def precision_recall(assignments: DataFrame, n_truth: int, most: int = 5, by: tuple[str, ...] = ("method",)) -> DataFrame:

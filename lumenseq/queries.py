@@ -16,8 +16,9 @@ from .operators import evaluation as ev
 from .operators import graph, mapping
 from .operators import overlaps as ov
 from .operators.numbering import numbered
-from .plans import pipeline
+from .plans import evaluation, pipeline
 from .plans.fixtures import fixture, with_clauses
+from .session import materialized
 from .sources import sequences, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -600,7 +601,26 @@ def score_alignments(reads):
     return found.select("contig_id", "mismatches", "unknown", "score")
 
 
-@query(None, "assignments")
+@query(
+    """, p as (select method, contig_id, truth_id, ord, start, stop, edit_dist * 1e0 / aln_len score from assignments),
+pairs as (select a.method, a.contig_id, a.ord, (a.score + b.score) / 2 v, b.ord ord2, {'t': b.truth_id, 'a': b.start, 'b': b.stop, 's': b.score} same2
+  from p a join p b on a.method = b.method and a.contig_id = b.contig_id and a.truth_id = b.truth_id and b.ord > a.ord and (b.stop <= a.start or b.start >= a.stop or a.stop - b.start <= 0.1 * 2000)),
+best as (select * from pairs qualify row_number() over (partition by method, contig_id, ord order by v, ord2) = 1),
+steps as (select p.method, p.contig_id, row_number() over (partition by p.method, p.contig_id order by p.ord) k, coalesce(b.v, p.score) v, p.truth_id t, {'t': p.truth_id, 'a': p.start, 'b': p.stop, 's': p.score} same,
+  case when b.ord is null then [{'o': p.ord, 'x': {'t': p.truth_id, 'a': p.start, 'b': p.stop, 's': p.score}}] else [{'o': p.ord, 'x': {'t': p.truth_id, 'a': p.start, 'b': p.stop, 's': p.score}}, {'o': b.ord2, 'x': b.same2}] end taken
+  from p left join best b on b.method = p.method and b.contig_id = p.contig_id and b.ord = p.ord),
+folded as (with recursive f as (
+    select method, contig_id, 0 k, 1e0 least, [x for x in taken if false] got from steps where k = 1
+    union all
+    select s.method, s.contig_id, s.k, case when met then f.least when s.v < f.least then s.v else f.least end,
+      case when met then f.got when s.v < f.least then s.taken when s.v = f.least and not told then list_concat(f.got, s.taken) else f.got end
+    from f join steps s on s.method = f.method and s.contig_id = f.contig_id and s.k = f.k + 1, lateral (select len([x for x in f.got if x.x = s.same]) > 0 met, len([x for x in f.got if x.x.t = s.t]) > 0 told))
+  select * from f qualify row_number() over (partition by method, contig_id order by k desc) = 1),
+chosen as (select distinct method, contig_id, unnest([x.o for x in got]) ord from folded)
+select a.method, a.contig_id, truth_id, a.ord, edit_dist * 1e0 / aln_len score, mismatches, ins_count, ins_len, del_count, del_len, unknown, start, stop as "end", 2000 ref_len
+from assignments a join chosen c on c.method = a.method and c.contig_id = a.contig_id and c.ord = a.ord""",
+    "assignments",
+)
 def assign_contigs(assignments):
     placed = assignments.select("method", "contig_id", "truth_id", "ord", (F.col("edit_dist") / F.col("aln_len")).alias("score"), *ev.COUNTS, "start", F.col("stop").alias("end"), F.lit(2000).alias("ref_len"))
     return ev.assigned(placed)
@@ -620,28 +640,59 @@ def read_overlaps(reads):
     return found.select("qn", "tn", "strand", "qs", "qe", "ts", "te", "nmatch", "alnlen")
 
 
-def clusters_of(reads: DataFrame) -> DataFrame:
-    found = mapping.overlaps(sequences_of(reads), sequences_of(reads), SEEDS, once=True).withColumn("ord", F.xxhash64("qn", "tn"))
-    ranked = numbered(lengths_of(reads).where("len > 0").select("id", "len"), [F.desc("len"), F.asc("id")], "rank")
-    return clusters.seed_clusters(ranked, ov.chain(found, 500, 0.9, 300), topk=100, min_seed_len=500)
+def turned_contigs(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(method, contig_id, seq) and (truth_id, seq)."""
+    own, half = sequences_of(reads), F.floor(F.length("seq") / 2).cast("int")
+    swapped = own.select(F.lit("halves").alias("method"), F.col("id").alias("contig_id"), F.concat(F.substring("seq", half + 1, F.length("seq")), F.substring("seq", F.lit(1), half)).alias("seq"))
+    return own.select(F.lit("whole").alias("method"), F.col("id").alias("contig_id"), "seq").unionByName(swapped), own.select(F.col("id").alias("truth_id"), "seq")
+
+
+def clusters_of(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    ranked = numbered(sequences_of(reads).withColumn("len", F.length("seq")), [F.desc("len"), F.asc("id")], "rank")
+    ranked = materialized(ranked)
+
+    def filtered(seeds: DataFrame) -> DataFrame:
+        found = mapping.overlaps(sequences_of(reads), seeds, SEEDS).withColumn("ord", F.xxhash64("qn", "tn"))
+        return ov.chain(found, 500, 0.9, 300)
+
+    return clusters.seed_clusters(ranked, filtered, topk=100, min_seed_len=500)
 
 
 @query(None, "reads")
 def seed_clusters(reads):
-    return clusters_of(reads)
+    return clusters_of(reads)[0]
 
 
 @query(None, "reads")
 def cluster_consensus(reads):
-    return clusters.consensus(clusters_of(reads), sequences_of(reads), SEEDS)
+    members, found = clusters_of(reads)
+    return clusters.consensus(members, sequences_of(reads), SEEDS, found)
+
+
+@query(None, "reads")
+def corrected_reads(reads):
+    made = clusters.corrected(sequences_of(reads), SEEDS, min_len=300, min_identity=0.9)
+    return made.select("id", F.length("seq").cast("long").alias("len"), F.md5("seq").alias("digest"))
 
 
 @query(None, "reads")
 def haplotypes(reads):
-    p = pipeline.Parameters(min_trimmed_len=500, min_overlap_len=500, min_identity=0.9, min_seed_len=500, max_overhang=300, min_abundance=0.001, rounds=1, correct=False, own_settings=SEEDS)
+    p = pipeline.Parameters(min_trimmed_len=500, min_overlap_len=500, min_identity=0.9, min_seed_len=500, max_overhang=300, min_abundance=0.001, rounds=2, correct=True, own_settings=SEEDS)
     return pipeline.haplotypes(sequences_of(reads), p).select("id", "name", "len", "freq")
 
 
+@query(None, "reads")
+def contig_placements(reads):
+    """Contigs are the reads, and the reads with their halves in the other order, which have a placement for each half."""
+    contigs, truths = turned_contigs(reads)
+    return evaluation.placements(contigs, truths, SEEDS, 0.2).select("method", "contig_id", "truth_id", "ord", "start", "end", *ev.COUNTS, F.round("score", 6).alias("score"))
+
+
+@query(None, "reads")
+def assembly_evaluation(reads):
+    return evaluation.evaluated(*turned_contigs(reads), SEEDS, 0.2)
+
+
 @query(None, "ovl")
 def overlap_components(ovl):
     return graph.components(ovl.where("alnlen >= 2800").select(F.col("qn").alias("a"), F.col("tn").alias("b")))

@@ -1,5 +1,7 @@
 """Small hand-made cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,8 +105,71 @@ def test_reversed_alignment_is_scored_on_its_strand(spark):
         ([("t", 0, 50, 100, 0.1), ("t", 60, 90, 100, 0.9), ("t", 92, 100, 100, 0.3)], [0, 2]),
     ],
 )
-def test_best_placements(rows, best):
-    assert evaluation.best_rows(rows) == best
+def test_best_placements(spark, rows, best):
+    assert chosen(spark, {"c": rows}) == {"c": best}
+
+
+PLACEMENT = "method string, contig_id string, truth_id string, ord long, score double, mismatches long, ins_count long, ins_len long, del_count long, del_len long, unknown long, start long, end long, ref_len long"
+
+
+def chosen(spark, contigs):
+    rows = [("m", c, t, k, s, 0, 0, 0, 0, 0, 0, a, b, size) for c, some in contigs.items() for k, (t, a, b, size, s) in enumerate(some)]
+    found = {}
+    for r in evaluation.assigned(spark.createDataFrame(rows, PLACEMENT)).collect():
+        found.setdefault(r.contig_id, []).append(r.ord)
+    return {c: sorted(x) for c, x in found.items()}
+
+
+def one_by_one(rows):
+    """The rule of the best placements, told as a walk."""
+    least, best = 1.0, []
+    for i, one in enumerate(rows):
+        partners = [j for j, other in enumerate(rows) if j > i and other[0] == one[0] and (other[2] <= one[1] or other[1] >= one[2] or one[2] - other[1] <= 0.1 * one[3])]
+        value, j = min([((one[4] + rows[j][4]) / 2, j) for j in partners] or [(one[4], i)])
+        if one in [rows[k] for k in best]:
+            continue
+        if value < least:
+            least, best = value, sorted({i, j})
+        elif value == least and one[0] not in [rows[k][0] for k in best]:
+            best = best + sorted({i, j})
+    return sorted(best)
+
+
+def test_assignment_equals_a_walk(spark):
+    rng = random.Random(8)
+    span = lambda: (a := rng.randrange(0, 90, 10), a + rng.randrange(10, 60, 10))
+    contigs = {f"c{k}": [(rng.choice("tuv"), *span(), 100, rng.choice([0.0, 0.1, 0.2, 0.3, 0.9, 1.0])) for _ in range(rng.randrange(1, 9))] for k in range(300)}
+    want = {c: x for c, rows in contigs.items() if (x := one_by_one(rows))}
+    assert chosen(spark, contigs) == want
+
+
+def test_scores_of_random_alignments_equal_a_walk():
+    rng = random.Random(9)
+    for _ in range(300):
+        ops = [(rng.randrange(1, 6), rng.choice("MMM=XID")) for _ in range(rng.randrange(1, 7))]
+        ops = [(rng.randrange(1, 8), "S")] * rng.randrange(2) + ops + [(rng.randrange(1, 8), rng.choice("SH"))] * rng.randrange(2)
+        pos = rng.randrange(0, 6)
+        own = "".join(rng.choice("ACGTN") for _ in range(sum(n for n, o in ops if o != "D")))
+        truth = "".join(rng.choice("ACGTN") for _ in range(pos + sum(n for n, o in ops if o in "M=XD") + rng.randrange(0, 6)))
+        pairs, at, on, left, right, unaligned = [], 0, pos, 0, 0, 0
+        counts = dict.fromkeys("ID", (0, 0)) | {"N": 0}
+        for k, (n, o) in enumerate(ops):
+            if o in "SH":
+                reach = min(n, pos if k == 0 else len(truth) - on)
+                shift = pos - reach if k == 0 else on
+                pairs += list(zip(own[at + n - reach : at + n], truth[shift : shift + reach]))
+                left, right, unaligned = (reach, right, unaligned + n - reach) if k == 0 else (left, reach, unaligned + n - reach)
+            elif o in "M=X":
+                pairs += list(zip(own[at : at + n], truth[on : on + n]))
+            elif o == "D" or 0 < k < len(ops) - 1:
+                counts[o] = (counts[o][0] + 1, counts[o][1] + n)
+            counts["N"] += own[at : at + n].count("N") if o == "I" else 0
+            at, on = at + n * (o != "D"), on + n * (o in "M=XD")
+        unknown = sum("N" in p for p in pairs)
+        wrong = sum(a != b for a, b in pairs if "N" not in (a, b))
+        got = evaluation.measured(own.encode(), truth.encode(), pos, "".join(f"{n}{o}" for n, o in ops))
+        assert got[1:] == (wrong, *counts["I"], *counts["D"], unknown + counts["N"], pos - left, on + right)
+        assert got[0] == pytest.approx((wrong + counts["I"][1] + counts["D"][1]) / (len(own) - unaligned) if len(own) > unaligned else 0)
 
 
 def test_assignment_by_contig(spark):
