@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,31 +41,39 @@ def visited(reads: pd.DataFrame, links: pd.DataFrame, by_length: bool = True) ->
 
     The first read is forward. Next comes, of the reads that overlap a visited one, the longest (of equal ones the
     first met), or without by_length the first met; its strand is that of the overlap with the first visited read
-    that it overlaps, turned if that one is reversed.
+    that it overlaps, turned if that one is reversed. A heap holds the reads met, so a component of n overlaps takes n log n.
     """
-    length = dict(zip(reads.id, reads.len))
-    near: dict[str, dict[str, str]] = {x: {} for x in reads.id}
-    for a, b, strand in zip(links.qn, links.tn, links.strand):
-        near[a].setdefault(b, strand)
-        near[b].setdefault(a, strand)
-    first = reads.id.iloc[0]
-    strands, frontier = {first: "+"}, dict.fromkeys(near[first])
-    while frontier:
-        read = max(frontier, key=length.__getitem__) if by_length else next(iter(frontier))
-        del frontier[read]
-        anchor = next(x for x in strands if x in near[read])
-        strands[read] = strands[anchor] if near[read][anchor] == "+" else "-+"[strands[anchor] == "-"]
-        frontier.update(dict.fromkeys(x for x in near[read] if x not in strands))
-    if len(strands) < len(reads):
+    ids, length = reads.id.tolist(), reads.len.tolist()
+    number = {x: k for k, x in enumerate(ids)}
+    near: list[dict[int, bool]] = [{} for _ in ids]
+    for a, b, strand in zip(links.qn.map(number).tolist(), links.tn.map(number).tolist(), links.strand.tolist()):
+        near[a].setdefault(b, strand == "+")
+        near[b].setdefault(a, strand == "+")
+    # a read is met when its first neighbour is visited, which settles its strand
+    forward, order, met = {0: True}, [0], 0
+    frontier: list[tuple[int, int, int]] = []
+    known = {0}
+    while True:
+        last = order[-1]
+        for x, same in near[last].items():
+            if x not in known:
+                known.add(x)
+                forward[x] = forward[last] == same
+                heappush(frontier, (-length[x] if by_length else 0, met, x))
+                met += 1
+        if not frontier:
+            break
+        order.append(heappop(frontier)[2])
+    if len(order) < len(ids):
         raise ValueError("reads without a path of overlaps to the first one")
-    return list(strands.items())
+    return [(ids[k], "+" if forward[k] else "-") for k in order]
 
 
 def ordered_reads(reads: DataFrame, overlaps: DataFrame, by_length: bool = True) -> DataFrame:
     """(component, id, rank, strand): every component's reads in visiting order, starting from the one that comes first by ord.
 
-    reads: id, len, ord. A component is taken by one task, so overlaps should be those of clusters, whose size is bounded;
-    reads without an overlap are absent.
+    reads: id, len, ord; reads without an overlap are absent. The rule goes through a component read by read, so one task takes it, which has to hold its
+    overlaps (about 100 bytes each); clusters are bounded by max_overlaps.
     """
     linked = by_component(overlaps.where("qn <> tn")).select("component", "qn", "tn", "strand", "ord")
     ids = linked.select("component", F.explode(F.array("qn", "tn")).alias("id")).distinct().join(reads.select("id", "len", "ord"), "id")

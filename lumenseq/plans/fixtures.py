@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import materialized
+
 READS = """select 'd' || cast(doc_id as varchar(20)) id, doc_id ord, translate(regexp_replace(lower(text), '[^a-z]', ''{g}), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') seq from {documents}"""
 
 OVERLAPS = """select qn, ql, qs, qs + alnlen qe, strand, tn, tl, ts, ts + alnlen te, alnlen - cast(floor(alnlen * dp / 1e2) as int) nmatch, alnlen, 60 mapq,
@@ -57,7 +59,9 @@ TABLES = ("documents", "lineitem", "events")
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in ALL[name]}
-    return spark.sql(ALL[name].replace("{g}", ""), **used)
+    made = spark.sql(ALL[name].replace("{g}", ""), **used)
+    # a filter over these would be pushed through four levels of expressions, each repeated wherever it is used
+    return materialized(made) if name == "ovl" else made
 
 
 def with_clauses(*names: str) -> str:

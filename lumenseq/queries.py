@@ -522,13 +522,13 @@ def union_all(reads):
 
 def as_lines(rows: DataFrame, *columns: str, order: str = "ord") -> DataFrame:
     """Lines (file, ord, value) of a tab-separated file that holds the rows."""
-    return rows.select(F.lit("f").alias("file"), F.col(order).cast("long").alias("ord"), tables.fields_line(*columns).alias("value"))
+    return materialized(rows.select(F.lit("f").alias("file"), F.col(order).cast("long").alias("ord"), tables.fields_line(*columns).alias("value")))
 
 
 @query("select ord, id, id || ' len=' || length(seq) header, seq from reads where seq <> ''", "reads")
 def fasta_scan(reads):
     header = F.concat("id", F.lit(" len="), F.length("seq").cast("string"))
-    records = reads.select(F.lit("f").alias("file"), "ord", seqs.fasta_record(header, seqs.wrapped(F.col("seq"))).alias("value"))
+    records = materialized(reads.select(F.lit("f").alias("file"), "ord", seqs.fasta_record(header, seqs.wrapped(F.col("seq"))).alias("value")))
     return sequences.parse_fasta(records).select("ord", "id", "header", "seq")
 
 
@@ -588,17 +588,22 @@ def depth_lookup(intervals, reads):
 
 
 @query(
-    """, c as (select id, ord, translate(substring(seq, 1, 200), 'T', 'N') a, substring(seq, 2, 200) b from reads where length(seq) >= 201),
-s as (select id, ord, len(list_filter(list_zip(string_split(a, ''), string_split(b, '')), lambda p: p[1] <> 'N' and p[2] <> 'N' and p[1] <> p[2])) mismatches,
-  len(list_filter(list_zip(string_split(a, ''), string_split(b, '')), lambda p: p[1] = 'N' or p[2] = 'N')) unknown from c)
-select id contig_id, mismatches, unknown, mismatches / 2e2 score from s where mismatches / 2e2 <= 0.6e0""",
+    """, c as (select id, length(seq) n, length(seq) >= 8 long, substring(seq, 1, length(seq) // 2) half from reads where seq <> ''),
+s as (select id, n, case when long then 1 + length(half) - length(replace(half, 'G', '')) else 0 end mismatches, case when long then length(half) - length(replace(half, 'T', '')) else 0 end unknown,
+  case when long then 2 else 0 end ins_len, case when long then 3 else 0 end del_len, case when long then 0 else 1 end "start" from c)
+select id contig_id, mismatches, unknown, ins_len, del_len, "start", n + 1 as "end", (mismatches + ins_len + del_len) * 1e0 / n score from s where (mismatches + ins_len + del_len) * 1e0 / n <= 0.6e0""",
     "reads",
 )
 def score_alignments(reads):
-    long = reads.where("length(seq) >= 201").select(F.lit("m").alias("method"), F.col("id").alias("contig_id"), F.col("id").alias("truth_id"), "ord", F.translate(F.substring("seq", 1, 200), "T", "N").alias("a"), F.substring("seq", 2, 200).alias("b"))
-    aligned = long.select("method", "contig_id", "truth_id", "ord", F.lit(0).alias("flag"), F.lit(1).alias("pos"), F.lit("200M").alias("cigar"))
-    found = ev.score_alignments(aligned, long.select("method", "contig_id", F.col("a").alias("seq")), long.select("truth_id", F.col("b").alias("seq")), max_score=0.6)
-    return found.select("contig_id", "mismatches", "unknown", "score")
+    """Whole reads behind an A are the truth; contigs have two clipped bases, a first half with changed and unknown bases, two bases too many and three too few."""
+    own = sequences_of(reads).withColumns({"n": F.length("seq"), "h": F.floor(F.length("seq") / 2).cast("int")})
+    long, text = F.col("n") >= 8, lambda c: F.col(c).cast("string")
+    changed = F.concat(F.lit("GG"), F.translate(F.substring("seq", F.lit(1), F.col("h")), "GT", "CN"), F.lit("AC"), F.substring("seq", F.col("h") + 4, F.col("n")))
+    cigar = F.concat(F.lit("2S"), text("h"), F.lit("M2I3D"), (F.col("n") - F.col("h") - 3).cast("string"), F.lit("M"))
+    rows = own.select(F.lit("m").alias("method"), F.col("id").alias("contig_id"), F.col("id").alias("truth_id"), F.lit(1).alias("ord"), F.lit(0).alias("flag"), F.lit(2).alias("pos"),
+                      F.when(long, cigar).otherwise(F.concat(text("n"), F.lit("M"))).alias("cigar"), F.when(long, changed).otherwise(F.col("seq")).alias("own"), F.concat(F.lit("A"), "seq").alias("ref"))
+    found = ev.score_alignments(rows.drop("own", "ref"), rows.select("method", "contig_id", F.col("own").alias("seq")), rows.select("truth_id", F.col("ref").alias("seq")), max_score=0.6)
+    return found.select("contig_id", "mismatches", "unknown", "ins_len", "del_len", "start", "end", "score")
 
 
 @query(
@@ -693,21 +698,35 @@ def assembly_evaluation(reads):
     return evaluation.evaluated(*turned_contigs(reads), SEEDS, 0.2)
 
 
-@query(None, "ovl")
+@query(
+    """, e as (select distinct qn a, tn b from ovl union select distinct tn, qn from ovl),
+l as (with recursive r as (
+    select a node, least(a, min(b)) root, 0 k from e group by 1
+    union all
+    select node, min(root) root, k + 1 from (select node, root, k from r union all select e.b, r.root, r.k from r join e on e.a = r.node) where k < 400 group by 1, 3)
+  select node, min(root) root from r group by 1)
+select node, root from l""",
+    "ovl",
+)
 def overlap_components(ovl):
-    return graph.components(ovl.where("alnlen >= 2800").select(F.col("qn").alias("a"), F.col("tn").alias("b")))
+    return graph.components(ovl.select(F.col("qn").alias("a"), F.col("tn").alias("b")))
 
 
 @query(None, "ovl")
 def overlap_topn_in_turn(ovl):
-    return graph.top_n_in_turn(ovl.where("alnlen >= 2800"), 5).select("ord", "qn", "tn")
+    return graph.top_n_in_turn(ovl, 5).select("ord", "qn", "tn")
 
 
 @query(None, "ovl")
 def reads_in_visiting_order(ovl):
-    long = ovl.where("alnlen >= 2800 and qn <> tn")
-    ends = long.select("qn", "ql").union(long.select("tn", "tl")).distinct().toDF("id", "len")
-    return graph.ordered_reads(ends.withColumn("ord", F.substring("id", 2, 20).cast("long")), long)
+    ends = ovl.select("qn", "ql").union(ovl.select("tn", "tl")).distinct().toDF("id", "len")
+    return graph.ordered_reads(ends.withColumn("ord", F.substring("id", 2, 20).cast("long")), ovl)
+
+
+@query(None, "reads")
+def genome_identity_by_sketches(reads):
+    pairs = mapping.sketched_identity(sequences_of(reads), sequences_of(reads), 1000, k=24)
+    return pairs.where("x < y").select("x", "y", F.round("ani", 6).alias("ani"), "n")
 
 
 @query(None, "reads")
