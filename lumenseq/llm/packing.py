@@ -33,7 +33,7 @@ CUT_DOCUMENT, CUT_SENTENCE = 24.0, 400.0
 #: Tokens that one pass of the dynamic programming takes in; the last window is carried over.
 BLOCK_TOKENS = 1 << 20
 #: Encoded pieces that a memory turns over at, and the bytes of text that are encoded at once.
-CACHE, AT_ONCE = 200_000, 8 << 20
+CACHE, AT_ONCE = 100_000, 2 << 20
 #: Marks that often follow a word; with others of them they are one unit.
 MARKS = b".,;:!?"
 #: How a piece ends that ends a sentence.
