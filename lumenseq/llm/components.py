@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import FEW_ROWS, checkpointed
 
 
 def forest(pairs: Iterator[tuple[int, int]]) -> dict[int, int]:
@@ -40,16 +40,28 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def at_once(links: DataFrame) -> DataFrame:
+    """(node, root) of few enough links, by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = forest((a, b) for batch in batches for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in (found.keys(), found.values())], ["node", "root"])
+
+    return links.coalesce(1).mapInArrow(run, "node long, root long")
+
+
+def components(edges: DataFrame, few: int = FEW_ROWS) -> DataFrame:
     """(node, root) for every node of edges (a long, b long), root the least node reachable.
 
-    Edges are contracted inside each partition first. Every round takes the least label of
+    Edges are contracted inside each partition first. If at most `few` are left, one task joins them. Otherwise every round takes the least label of
     all neighbours (a partial aggregate, so the messages to a hub shrink before they move) and then
     the label's own label, which halves the distance left. No node's neighbours are gathered; a hub's
     own edges, and the nodes of a large component, are a frequent join key that meets a single row,
     which adaptive execution splits where it is skewed.
     """
     links = checkpointed(contracted(edges))
+    if links.count() <= few:
+        return checkpointed(at_once(links))
     both = links.union(links.select("b", "a")).toDF("a", "b")
     labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")))
     while True:
