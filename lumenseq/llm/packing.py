@@ -80,7 +80,7 @@ class Encoder:
     settled, goes through the whole tokenizer. So does every text if the file's rules aren't these.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = CACHE):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -90,7 +90,7 @@ class Encoder:
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [c for c in range(256) if c not in visible]
         self.shown = {c: chr(c) for c in visible} | {c: chr(256 + k) for k, c in enumerate(hidden)}
-        self.pieces = Memory(self.piece, CACHE)
+        self.pieces = Memory(self.piece, memory)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -236,22 +236,23 @@ class Packer:
 
 
 #: One encoder a Python worker, so that its cache outlives a task.
-ENCODERS: dict[str, Encoder] = {}
+ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def packed(docs: DataFrame, tokenizer_path: str, size: int = SIZE) -> DataFrame:
+def packed(docs: DataFrame, tokenizer_path: str, size: int = SIZE, memory: int = CACHE) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its text's ids and then END; null and empty texts are END alone. Every row of
     docs is packed, so a repeated row is packed again, and a null doc_id comes back as null. A
     window holds at most `size` tokens; only a partition's last window and windows that a sentence
     would overflow are short. The input's partitions are packed in their order, without a shuffle.
+    memory: pieces that a process remembers, about 200 bytes each and twice as many at most; it has no effect on the result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in ENCODERS:
-            ENCODERS[tokenizer_path] = Encoder(tokenizer_path)
-        encoder = ENCODERS[tokenizer_path]
+        if (tokenizer_path, memory) not in ENCODERS:
+            ENCODERS[tokenizer_path, memory] = Encoder(tokenizer_path, memory)
+        encoder = ENCODERS[tokenizer_path, memory]
         packer = Packer(TaskContext.get().partitionId(), size)
         kind, end = None, np.array([END], "<u4").tobytes()
 
