@@ -1,14 +1,17 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text's tokens become symbols: insult, threat, target, negation, report, clause end, other. Three
-transducers are composed into one: the first turns insults and threats shortly after a negation
-into negated ones, the second those after reporting words of the same clause into reported ones,
-and the third reads what a clause holds and writes the clause's pattern at its end. A document's
-score is a logistic function of its patterns' counts, weights and density, so that matched
-clauses count, not isolated words; the function's weights are fitted on labelled rows.
+A text's tokens become symbols: insult, doubtful insult, threat, target, negation, report, comma, quotation mark,
+clause end, other. Four weighted transducers are composed into one: the first turns insults and threats shortly after a
+negation into negated ones, the second those after reporting words of the same clause into reported ones, the third reads
+what a clause holds, reported afterwards too ("..., he said"), and writes the clause's pattern at its end, and the fourth keeps
+a pattern back where a quotation mark follows, until it is known whether a report does ("...!" he said). Arcs carry weights, which add up
+along a text's path with those of its insults. A document's score is a logistic function of its patterns' counts, its path's
+weight and the patterns' density, so that matched clauses count, not isolated words; the function's weights are fitted on
+labelled rows, and before any are seen a word that is aimed at nobody decides nothing.
 
 The insult lexicon is a hand-written list and what labelled rows add to it: words, and beginnings
-of words, that stand in toxic texts far more often than chance allows.
+of words, that stand in toxic texts far more often than chance allows. Words that mean something else as
+often ("pig", "worm") are doubtful: they are insults only in a clause with a target, unless labelled rows show more.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 from math import log
 from typing import NamedTuple
 
@@ -46,14 +50,26 @@ TARGETS = frozenset("you your yours yourself u ur he she they them their him her
 NEGATIONS = frozenset("not no never none nobody without isn aren wasn don doesn didn won cannot neither nor ne pas jamais nicht kein keine nie niemals nunca jamás sin".split())
 REPORTS = frozenset("said says say told tells wrote writes called calls claimed claims reported reports quoted quotes alleged according accused dit disait écrit selon sagte sagt schrieb laut dijo dice escribió según".split())
 
-TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
+# Those of these insults that have another plain meaning.
+DOUBTFUL_INSULTS = frozenset(
+    "pig pigs rat rats worm maggot leech cockroach pest weasel swine nobody savage savages brute thug creep creeps freak freaks jerk fool fools crook traitor tosser prick useless dumb "
+    "ordure truie porc cafard traître menteur schwein ratte penner ungeziefer verräter lügner cerdo rata basura tonto tonta miserable cobarde traidor".split()
+)
+
+TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n,\"“”„«»]")
 WORD = re.compile(r"[^\W\d_]+")
-ENDS = frozenset(".!?;:\n")
+ENDS = frozenset(".!?;\n")
+QUOTES = frozenset('"“”„«»')
 STEMS = range(4, 9)
 REACH = 3
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END, NEGATED, REPORTED = range(9)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, COMMA, QUOTE, DOUBTFUL, END, STOP, NEGATED, REPORTED = range(13)
+#: What a text's tokens can be; NEGATED and REPORTED only pass between transducers.
+N_SYMBOLS = STOP + 1
+HARMFUL = frozenset([INSULT, THREAT, DOUBTFUL])
 PATTERNS = ("threat_targeted", "threat", "insult_targeted", "insult", "reported", "negated")
+#: Weights of the patterns' arcs; an insult's own weight is added where it is read.
+ARCS = (4.0, 1.5, 1.5, 0.0, -3.0, -3.0)
 #: The training sample's bound in rows. The learned lexicon holds words of the sample only.
 SAMPLE_ROWS = 12000
 #: A learned entry needs this much evidence, in nats: the logarithm of the entries tested.
@@ -61,21 +77,23 @@ EVIDENCE = 12.0
 
 
 class Transducer(NamedTuple):
-    """A finite-state transducer: its start, and step(state, symbol) -> (state, output)."""
+    """A weighted finite-state transducer: its start, and step(state, symbol) -> (state, output, weight)."""
 
     start: object
     step: Callable
 
 
 def negation() -> Transducer:
-    """Insults and threats within REACH tokens after a negation are written as negated."""
+    """Insults and threats within REACH words after a negation are written as negated."""
 
     def step(left: int, symbol: int):
         if symbol == NEGATION:
-            return REACH, symbol
-        if symbol == END:
-            return 0, symbol
-        return max(0, left - 1), NEGATED if left and symbol in (INSULT, THREAT) else symbol
+            return REACH, symbol, 0.0
+        if symbol in (END, STOP):
+            return 0, symbol, 0.0
+        if symbol in (COMMA, QUOTE):
+            return left, symbol, 0.0
+        return max(0, left - 1), NEGATED if left and symbol in HARMFUL else symbol, 0.0
 
     return Transducer(0, step)
 
@@ -84,55 +102,94 @@ def report() -> Transducer:
     """Insults and threats after a reporting word of their clause are written as reported."""
 
     def step(told: bool, symbol: int):
-        if symbol in (REPORT, END):
-            return symbol == REPORT, symbol
-        return told, REPORTED if told and symbol in (INSULT, THREAT) else symbol
+        if symbol in (REPORT, END, STOP):
+            return symbol == REPORT, symbol, 0.0
+        return told, REPORTED if told and symbol in HARMFUL else symbol, 0.0
 
     return Transducer(False, step)
 
 
+NOTHING, SAID, QUOTED, STOPPED = "nothing", "said", "quoted", "stopped"
+
+
 def clause() -> Transducer:
-    """At a clause's end the pattern that it shows (an index of PATTERNS), or None."""
+    """At a clause's end the pattern that it shows, an index of PATTERNS, or -1 for none; its arc carries the pattern's weight.
 
-    def step(seen: frozenset, symbol: int):
-        if symbol != END:
-            return (seen | {symbol} if symbol in (INSULT, THREAT, TARGET, NEGATED, REPORTED) else seen), None
-        aimed = TARGET in seen
-        for kind, pattern in ((THREAT, 0 if aimed else 1), (INSULT, 2 if aimed else 3), (REPORTED, 4), (NEGATED, 5)):
-            if kind in seen and (kind != THREAT or aimed or INSULT in seen):
-                return frozenset(), pattern
-        return frozenset(), None
+    A reporting word within REACH words after a comma makes what the clause held before it reported. Reporting words, quotation marks
+    and the text's end are passed on, as is NOTHING for all else.
+    """
 
-    return Transducer(frozenset(), step)
+    def pattern(seen: frozenset) -> int:
+        aimed = TARGET in seen
+        if THREAT in seen and (aimed or INSULT in seen):
+            return 0 if aimed else 1
+        if INSULT in seen or (DOUBTFUL in seen and aimed):
+            return 2 if aimed else 3
+        return 4 if REPORTED in seen else 5 if NEGATED in seen else -1
+
+    def step(state: tuple[frozenset, int], symbol: int):
+        seen, since = state
+        if symbol in (END, STOP):
+            found = pattern(seen)
+            return (frozenset(), 0), STOPPED if symbol == STOP else found, 0.0 if found < 0 or symbol == STOP else ARCS[found]
+        if symbol == COMMA:
+            return (seen, REACH), NOTHING, 0.0
+        if symbol == REPORT:
+            told = frozenset(REPORTED if x in HARMFUL else x for x in seen) if since else seen
+            return (told, 0), SAID, 0.0
+        if symbol == QUOTE:
+            return state, QUOTED, 0.0
+        return (seen | {symbol} if symbol in HARMFUL or symbol in (TARGET, NEGATED, REPORTED) else seen, max(0, since - 1)), NOTHING, 0.0
+
+    return Transducer((frozenset(), 0), step)
+
+
+def afterwards() -> Transducer:
+    """The patterns of clauses, each written one symbol later, -1 for none. A pattern before a closing quotation mark waits for up to
+    REACH words, and is written as reported if one of them is a reporting word."""
+
+    def step(state: tuple[int, int], symbol):
+        held, left = state
+        if symbol == QUOTED and held >= 0:
+            return (held, REACH), -1, 0.0
+        if symbol == SAID and left:
+            return (-1, 0), 4, ARCS[4] - ARCS[held]
+        if symbol == STOPPED:
+            return (-1, 0), held, 0.0
+        if symbol in (NOTHING, SAID, QUOTED):
+            return ((held, left - 1), -1, 0.0) if left > 1 else ((-1, 0), held, 0.0)
+        return (symbol, 0), held, 0.0
+
+    return Transducer((-1, 0), step)
 
 
 def compose(first: Transducer, second: Transducer) -> Transducer:
-    """The transducer that feeds the first one's output to the second."""
+    """The transducer that feeds the first one's output to the second; weights add up."""
 
     def step(state, symbol):
-        a, middle = first.step(state[0], symbol)
-        b, out = second.step(state[1], middle)
-        return (a, b), out
+        a, middle, x = first.step(state[0], symbol)
+        b, out, y = second.step(state[1], middle)
+        return (a, b), out, x + y
 
     return Transducer((first.start, second.start), step)
 
 
-def compiled(machine: Transducer) -> list[list[tuple[int, int | None]]]:
-    """A table of all reachable states: table[state][symbol] = (state, output); 0 is the start."""
+def compiled(machine: Transducer) -> list[list[tuple[int, int, float]]]:
+    """A table of all reachable states: table[state][symbol] = (state, output, weight); 0 is the start."""
     number, table, todo = {machine.start: 0}, [], [machine.start]
     for state in todo:
         row = []
-        for symbol in range(END + 1):
-            after, out = machine.step(state, symbol)
+        for symbol in range(N_SYMBOLS):
+            after, out, weight = machine.step(state, symbol)
             if after not in number:
                 number[after] = len(number)
                 todo.append(after)
-            row.append((number[after], out))
+            row.append((number[after], out, weight))
         table.append(row)
     return table
 
 
-GRAMMAR = compiled(compose(negation(), compose(report(), clause())))
+GRAMMAR = compiled(compose(negation(), compose(report(), compose(clause(), afterwards()))))
 
 
 class Lexicon(NamedTuple):
@@ -152,36 +209,47 @@ class Lexicon(NamedTuple):
 
 
 SEED = Lexicon(dict.fromkeys(INSULTS, 3.0), {})
-PLAIN = {**dict.fromkeys(THREATS, THREAT), **dict.fromkeys(TARGETS, TARGET), **dict.fromkeys(NEGATIONS, NEGATION), **dict.fromkeys(REPORTS, REPORT), **dict.fromkeys(ENDS, END)}
-N_FEATURES = len(PATTERNS) + 4
-#: What the weights are before any label is seen: patterns make a text toxic, reported and negated ones hardly.
-PRIOR = np.array([1.5, 0.8, 1.5, 1.2, 0.1, 0.1, 2.0, 0.3, 0.6, 0.0])
+PLAIN = {
+    **dict.fromkeys(THREATS, THREAT),
+    **dict.fromkeys(TARGETS, TARGET),
+    **dict.fromkeys(NEGATIONS, NEGATION),
+    **dict.fromkeys(REPORTS, REPORT),
+    **dict.fromkeys(ENDS, END),
+    **dict.fromkeys(QUOTES, QUOTE),
+    ",": COMMA,
+}
+SILENT = frozenset([COMMA, QUOTE, END])
+N_FEATURES = len(PATTERNS) + 5
+#: What the weights are before any label is seen: aimed patterns make a text toxic; insults at nobody, reported and negated ones hardly.
+PRIOR = np.array([1.5, 0.4, 1.5, 0.4, 0.1, 0.1, 2.0, 0.2, 0.3, 0.3, 0.0])
 
 
 def features(text: str, lexicon: Lexicon) -> np.ndarray | None:
-    """The pattern counts and weights of a text; None if it holds no insult or threat."""
+    """The counts of a text's patterns, whether one is aimed, whether another matches, the weight of its path, their density; None if no clause matches.
+
+    A text of whatever length is read once, token by token.
+    """
     lowered = text.lower()
     distinct = set(WORD.findall(lowered))
     insults = {w: s for w in distinct if (s := lexicon.weight(w))}
     if not insults and distinct.isdisjoint(THREATS):
         return None
-    symbols = {**PLAIN, **dict.fromkeys(insults, INSULT)}
-    counts, weight, words, state = [0] * len(PATTERNS), 0.0, 0, 0
-    heaviest = 0.0
-    for token in [*TOKEN.findall(lowered), "."]:
-        symbol = symbols.get(token, OTHER)
-        words += symbol != END
-        heaviest = max(heaviest, insults[token]) if symbol == INSULT else heaviest
-        state, pattern = GRAMMAR[state][symbol]
-        if pattern is not None:
+    symbols = {**PLAIN, **{w: DOUBTFUL if w in DOUBTFUL_INSULTS and s <= SEED.words[w] else INSULT for w, s in insults.items()}}
+    counts, path, words, state = [0] * len(PATTERNS), 0.0, 0, 0
+    read = chain((symbols.get(m[0], OTHER) if (w := insults.get(m[0])) is None else (symbols[m[0]], w) for m in TOKEN.finditer(lowered)), (END, STOP))
+    for symbol in read:
+        if type(symbol) is tuple:
+            symbol, weight = symbol
+            path += weight if symbol == INSULT else 0.0
+        words += symbol not in SILENT
+        state, pattern, weight = GRAMMAR[state][symbol]
+        path += weight
+        if pattern >= 0:
             counts[pattern] += 1
-            weight += heaviest
-        if symbol == END:
-            heaviest = 0.0
-    matched = sum(counts[:4])
     if not sum(counts):
         return None
-    return np.array([*np.log1p(counts), matched > 0, log(1 + weight), log((matched + 0.05) / (words + 40)) + 5, 1.0])
+    aimed, loose = counts[0] + counts[2], counts[1] + counts[3]
+    return np.array([*np.log1p(counts), aimed > 0, loose > 0, log(1 + max(0.0, path)), log((aimed + loose + 0.05) / (words + 40)) + 5, 1.0])
 
 
 class Model(NamedTuple):

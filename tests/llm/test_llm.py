@@ -398,18 +398,68 @@ def test_toxicity(spark, odd, empty):
     assert model.score("") == model.score("A calm and friendly text.") < 0.3 and model.score("He said idiot.") < model.score("You idiot.")
     rng = random.Random(7)
     for _ in range(300):  # the compiled grammar, and its transducers one after another
-        symbols, chain, state, out = [rng.randrange(toxicity.END + 1) for _ in range(25)], [toxicity.negation(), toxicity.report(), toxicity.clause()], 0, []
-        want = symbols
-        for machine in chain:
+        symbols, state = [rng.randrange(toxicity.N_SYMBOLS) for _ in range(25)], 0
+        want, weights = symbols, [0.0] * 25
+        for machine in (toxicity.negation(), toxicity.report(), toxicity.clause(), toxicity.afterwards()):
             at, written = machine.start, []
-            for symbol in want:
-                at, x = machine.step(at, symbol)
+            for k, symbol in enumerate(want):
+                at, x, w = machine.step(at, symbol)
                 written.append(x)
+                weights[k] += w
             want = written
-        for symbol in symbols:
-            state, x = toxicity.GRAMMAR[state][symbol]
-            out.append(x)
-        assert out == want
+        for symbol, out, w in zip(symbols, want, weights):
+            state, x, y = toxicity.GRAMMAR[state][symbol]
+            assert (x, y) == (out, w)
     labels = spark.createDataFrame([(1, 0, 1), (3, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.judged(odd, toxicity.learn(odd, labels, F.lit(True))).count() == len(ODD)
     assert toxicity.judged(empty, toxicity.learn(empty, labels.limit(0), F.lit(True))).count() == 0
+
+
+def patterns_plainly(text):
+    """How many clauses show each pattern, word by word; for texts without commas and quotation marks."""
+    counts = [0] * len(toxicity.PATTERNS)
+    for words in (re.findall(r"[^\W\d_]+", x) for x in re.split(r"[.!?;\n]", text.lower())):
+        seen, told = set(), False
+        for i, w in enumerate(words):
+            kind = "insult" if w in toxicity.INSULTS else "threat" if w in toxicity.THREATS else "target" if w in toxicity.TARGETS else None
+            if kind in ("insult", "threat"):
+                kind = "doubtful" if w in toxicity.DOUBTFUL_INSULTS else kind
+                if any(x in toxicity.NEGATIONS for x in words[max(0, i - toxicity.REACH) : i]):
+                    kind = "negated"
+                elif told:
+                    kind = "reported"
+            told = told or w in toxicity.REPORTS
+            seen.add(kind)
+        insult = "insult" in seen or ("doubtful" in seen and "target" in seen)
+        if "threat" in seen and ("target" in seen or "insult" in seen):
+            counts["target" not in seen] += 1
+        elif insult:
+            counts[3 - ("target" in seen)] += 1
+        elif "reported" in seen or "negated" in seen:
+            counts[5 - ("reported" in seen)] += 1
+    return counts
+
+
+def test_toxic_patterns_by_definition():
+    rng = random.Random(8)
+    pool = "idiot moron pig worm kill stab you they not never said calls tree walks : . ! the a of".split()
+    for _ in range(500):
+        text = " ".join(rng.choice(pool) for _ in range(rng.randrange(1, 30)))
+        got, want = toxicity.features(text, toxicity.SEED), patterns_plainly(text)
+        assert (got is None and not sum(want)) or np.allclose(np.expm1(got[: len(want)]), want), text
+
+
+def test_toxic_clauses_not_words():
+    score = toxicity.Model(toxicity.SEED, *toxicity.fit([], np.zeros(0))).score
+    for clean in ("He said: you are an idiot.", "He said you are an idiot.", "You are an idiot, he said.", '"You are an idiot!" he said.', "„Du bist ein Idiot!“ sagte er.", "You are not an idiot.", "idiot", "nobody came", "The pig and the worm.", "kill the process", ""):
+        assert score(clean) < 0.3, clean
+    for toxic in ("You are an idiot.", "I will kill you.", '"You are an idiot!" She left.', "Ich werde dich umbringen, du Idiot."):
+        assert score(toxic) > 0.7, toxic
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    known = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    rows = queries.op10_toxicity(spark, sf).where("held_out").join(known, "doc_id").collect()
+    hits = sum(r.predicted and r.toxic for r in rows)
+    assert hits >= 0.9 * sum(r.predicted for r in rows) and hits >= 0.7 * sum(r.toxic for r in rows)
