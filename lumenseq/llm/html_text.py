@@ -8,6 +8,9 @@ main element that the subtree lies in. The least density on the
 path from it to body is the threshold, and nodes beside that path which reach it in density and a
 fair share of the sum belong to the article too, as do headings before it. Inside an article, a word of class or id
 that may mean something else there ("related", "discussion") marks a part only if most of its text is links.
+Reader comments without such names are known by their form: two or more like siblings, each with a short reply link or
+button and a mark of author or time, each a small share of the page; the comment heading before them goes too. A block whose
+whole text is an advert's label ("Advertisement") is none of the article.
 The text of the chosen subtrees, block by block, is the result.
 """
 
@@ -36,14 +39,24 @@ SCOPES = frozenset("article aside blockquote body div dl footer form header html
 ASIDE_TAGS = frozenset("nav aside footer form button dialog menu head input".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 ASIDE_WORDS = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs "
-    "sidebar cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login comment comments commentlist respond disqus "
+    "ad ads adbox adslot adsbygoogle adsense dfp taboola outbrain advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs "
+    "sidebar cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login comment comments commentlist commenter commenters respond disqus "
     "pagination pager toolbar widget widgets".split()
 )
 # Words that mark a part outside an article; inside one only with many links.
 OUTER_WORDS = frozenset("banner aside rail footer foot masthead notice notices alert overlay reply replies discussion related recommended share sharing social copyright".split())
 # Words that may stand beside these in one name; "related-work" is none.
-LAYOUT_WORDS = frozenset("area bar block bottom box button buttons container content float group holder icons inline inner item items left link links list main module outer panel post posts right row section slot stories text thread top unit wrap wrapper".split())
+LAYOUT_WORDS = frozenset("area author avatar badge bar block body bottom box button buttons by card close container content count counter date entry field float form google group heading holder icon icons id inline inner input item items js label left link links list main message meta module name native number outer panel policy post posts reader readers right row section single site slot stories submit text thread threads time title top total unit user users view visitor visitors wrap wrapper".split())
+# Texts of links and buttons that answer a comment, and of headings above comments; labels of adverts.
+REPLY_TEXTS = frozenset(["reply", "respond", "quote", "report", "like", "upvote", "répondre", "signaler", "citer", "antworten", "melden", "zitieren", "responder", "contestar", "denunciar", "citar"])
+COMMENT_HEADS = frozenset("comment comments replies responses discussion kommentar kommentare antworten diskussion commentaire commentaires réactions réponses comentario comentarios respuestas".split())
+ADVERT_TEXTS = frozenset(["ad", "ads", "advert", "advertisement", "advertising", "advertorial", "sponsored", "sponsored content", "paid content", "promoted", "anzeige", "werbung", "publicité", "annonce", "publicidad", "anuncio", "patrocinado"])
+SIGN_WORDS = frozenset("author avatar user username commenter poster byline date time timestamp posted when ago meta".split())
+HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Characters of a text, white space included, that may be a label, a link or a heading.
+SHORT = 80
+#: A comment holds at most this share of the page's characters.
+UNIT_SHARE = 0.5
 HEADER_WORDS = frozenset(["header", "topbar"])
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z", re.S)
@@ -53,25 +66,30 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "off", "in_link", "chars", "link_chars", "tags", "link_tags", "density", "total", "doubtful")
+    __slots__ = ("tag", "parent", "parts", "off", "in_link", "chars", "link_chars", "tags", "link_tags", "density", "total", "doubtful", "signed")
 
     def __init__(self, tag: str, parent: Node | None, off: bool = False, in_link: bool = False):
         self.tag, self.parent, self.off, self.in_link = tag, parent, off, in_link
         self.parts: list[Node | str] = []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
-        self.doubtful = False
+        self.doubtful = self.signed = False
 
 
 def named(value: str, words: frozenset[str]) -> bool:
     """Whether a name in a class or id attribute is made of these words, layout words and numbers."""
     for name in value.split():
         parts = {w.lower() for w in WORDS.findall(name)}
-        if parts & words and all(w in words or w in LAYOUT_WORDS or w.isdigit() for w in parts):
+        if parts & words and all(w in words or w in LAYOUT_WORDS or w in OUTER_WORDS or w.isdigit() for w in parts):
             return True
     return False
 
 
+def signed(attributes: str) -> bool:
+    """Whether class, id or a property names an author or a time."""
+    return any(not SIGN_WORDS.isdisjoint(w.lower() for w in WORDS.findall("".join(values))) for name, *values in HINTS.findall(attributes) if name.lower() in ("class", "id"))
+
+
 def aside(tag: str, attributes: str, inside: bool) -> int:
     """2 if an element is beside the article, 1 if it is when most of its text is links; inside: it is within article or main."""
     if tag in ASIDE_TAGS or (tag == "header" and not inside):
@@ -139,6 +157,7 @@ def parse(html: str) -> Node:
         mark = aside(tag, attributes, opened["article"] + opened["main"] > 0)
         node = Node(tag, top, top.off or mark == 2, top.in_link or tag == "a")
         node.doubtful = mark == 1
+        node.signed = tag == "time" or signed(attributes)
         top.parts.append(node)
         if not attributes.rstrip().endswith("/") or tag in BLOCKS:
             stack.append(node)
@@ -158,8 +177,54 @@ def walk(root: Node) -> list[Node]:
     return out
 
 
+def drop_discussion(root: Node) -> None:
+    """Sets aside comments that are known by their form alone, and blocks that only label an advert.
+
+    Every node is visited a fixed number of times, and only texts of up to SHORT characters are put together.
+    """
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [x for x in node.parts if isinstance(x, Node)]
+    sizes: dict[int, int] = {}
+    brief: dict[int, str] = {}  # the texts of nodes with little text
+    answers: dict[int, bool] = {}
+    signs: dict[int, bool] = {}
+    titled: dict[int, bool] = {}
+    for node in reversed(order):
+        inner = [x for x in node.parts if isinstance(x, Node)]
+        own = sum(len(x) for x in node.parts if isinstance(x, str))
+        size = sizes[id(node)] = own + sum(sizes[id(x)] for x in inner)
+        brief[id(node)] = "".join(x if isinstance(x, str) else brief[id(x)] for x in node.parts) if size <= SHORT else ""
+        short = " ".join(brief[id(node)].lower().split()).strip("()[]:·•- ")
+        answers[id(node)] = any(answers[id(x)] for x in inner) or (node.tag in ("a", "button") and short in REPLY_TEXTS)
+        signs[id(node)] = node.signed or any(signs[id(x)] for x in inner)
+        titled[id(node)] = node.tag in ("h1", "article", "main") or any(titled[id(x)] for x in inner)
+        if node.tag in BLOCKS and short in ADVERT_TEXTS and node.tag not in HEADS:
+            node.off = True
+    for node in order:
+        inner = [x for x in node.parts if isinstance(x, Node)]
+        units = [x for x in inner if answers[id(x)] and signs[id(x)] and not titled[id(x)] and sizes[id(x)] <= UNIT_SHARE * sizes[id(root)] and x.tag in BLOCKS]
+        often = Counter(x.tag for x in units)
+        units = [x for x in units if often[x.tag] > 1]
+        if not units:
+            continue
+        for unit in units:
+            unit.off = True
+        around = [(inner, inner.index(units[0]))]
+        if node.parent and len(units) >= len(inner) - 1:  # a list of comments: its heading may stand before the list
+            beside = [x for x in node.parent.parts if isinstance(x, Node)]
+            around.append((beside, beside.index(node)))
+        for row, place in around:
+            head = row[place - 1] if place else None
+            if head is not None and head.tag in HEADS and not COMMENT_HEADS.isdisjoint(w.strip("():,") for w in brief[id(head)].lower().split()):
+                head.off = True
+
+
 def score(root: Node) -> list[Node]:
     """Sets the composite text density and the density sum of every node."""
+    drop_discussion(root)
     nodes = walk(root)
     for node in reversed(nodes):
         own = sum(len("".join(x.split())) for x in node.parts if isinstance(x, str))

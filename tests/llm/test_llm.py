@@ -313,6 +313,21 @@ def test_language(spark, odd, empty):
     assert language_id.learn(empty) is None and {r.lang_pred for r in language_id.identify(odd, None).collect()} == {"und"}
 
 
+def test_html_parts_inside_the_article():
+    kept = "<h1>Head</h1><p class=byline>By A <time>1 May</time></p><p>A long text of the article that says much and more, and then some more for all.</p>"
+    want = html_text.main_text(f"<body><article>{kept}</article></body>")
+    for name in ("comment-body", "user-comments", "reader-comments", "comment__author", "adsbygoogle", "cookie-banner", "comments-section", "newsletter-signup-form", "google-ads", "cookie-notice"):
+        assert html_text.main_text(f"<body><article>{kept}<div class='{name}'><p>gone</p></div></article></body>") == want, name
+    for name in ("related-work", "ad-hoc", "no-comments", "entry-content", "author-bio", "commentary"):
+        assert html_text.main_text(f"<body><article>{kept}<div class='{name}'><p>stays</p></div></article></body>") == want + "\nstays", name
+    unit = "<{0}><b class=user>Ann</b><p>Good one</p><a href=#>{1}</a></{0}>"
+    for tag, around, word in (("li", "ul", "Reply"), ("section", "div", "Antworten"), ("div", "div", "(Répondre)")):
+        units = unit.format(tag, word) * 2
+        assert html_text.main_text(f"<body><article>{kept}<h3>2 Comments</h3><{around}>{units}</{around}><p>Advertisement</p></article></body>") == want
+    alone = html_text.main_text(f"<body><article>{kept}{unit.format('div', 'Reply')}</article></body>")
+    assert "Good one" in alone  # one such part may be the author's own
+
+
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><nav><a href=x>Menu</a></nav><div class='ad'>Buy</div><article><h1>Head &amp; tail</h1><p>One  two<br>three.<p>Four</p><div id=comments><p>Nice!</p></div></article><footer>f</footer>"
     assert html_text.main_text(page) == "Head & tail\nOne two three.\nFour"
