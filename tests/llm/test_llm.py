@@ -376,6 +376,38 @@ def test_density_by_its_definition():
             assert scored[key].total == pytest.approx(sum(scored[id(x)].density for x in scored[key].parts if not isinstance(x, str)))
 
 
+def test_license_fields_need_a_sign():
+    scan = lambda text: license_scan.Scanner().scan(text.encode())[5]
+    for text in ("Die License mit guten Wörtern", "driver license ruby and vim", "He has the php license", "a license mit\nguten Wörtern", "my license vim", ""):
+        assert scan(text) == "", text
+    for text, label in (
+        ("License: MIT", "mit"), ('"license": "MIT",', "mit"), ("# License\n\nMIT\n", "mit"), ("License (Ruby)", "ruby"), ("license = 'Vim'", "vim"), ("under the PHP License", "php-3"), ("the PHP License version 3.01", "php-3"),
+        ("Lizenz steht hier. License: BSD-3-Clause", "bsd-3-clause"), ("SPDX-License-Identifier: LGPL-2.1-or-later", "lgpl-2.1"), ("See https://opensource.org/licenses/MIT.", "mit"), ("Apache License v2.0 with LLVM Exceptions", "apache-2-llvm"),
+        ("GPL-2.0 WITH Linux-syscall-note", "gpl-2-linux"), ("Mulan PSL v2", "mulan"), ("Gemma Terms of Use", "gemma"),
+    ):
+        assert label in scan(text).split(","), (text, scan(text))
+    began = time.time()
+    assert scan("license mit und license: MIT " * 40000) == "mit" and time.time() - began < 10
+
+
+def detected(scanner, text):
+    """All that the rules find in a text, before suppression."""
+    words = " ".join(re.findall("[a-z0-9]+", text.lower()))
+    found = [(m, r) for r in scanner.rules if all(need & set(words.split()) for need in r.keywords) for m in r.pattern.finditer(words)]
+    return [(m.start(), m.end(), r.label) for m, r in found]
+
+
+def test_license_signatures_stand_by_their_words():
+    kept, scanner = license_scan.SIGNATURES.strip().split("\n"), license_scan.Scanner()
+    assert len(kept) >= 190
+    for line in kept:  # each keyword is a word that the pattern can't do without
+        label, needs, priority, score, pattern = line.split(" | ")
+        assert any(re.search(rf"(?<![a-z]){k}(?![a-z])", pattern) for k in needs.split("|")) and 0 < float(score) <= 1, line
+        plain = re.sub(r"\((?:\?:|\?P<field>)([^()|]*)\|?[^()]*\)", r"\1", re.sub(r"\(\?:[^()]*\)[?*]", "", pattern.replace(r"(?:\w+ ){1,8}", "some ")))
+        if re.fullmatch("[a-z0-9 ]+", plain):  # the first wording of a signature without further operators is found in a text
+            assert label in {x[2] for x in detected(scanner, f"So: {plain.replace('license ', 'license: ', 1) if 'field' in pattern else plain}.")}, line
+
+
 def test_licenses(spark, odd, empty):
     scan = license_scan.Scanner().scan
     assert scan(b"x under the MIT License, under the MIT license")[:5] == (9, 2, 1, 5, "mit")
