@@ -78,3 +78,29 @@ def numbered_name(kind: str, place: Column) -> Column:
 def haplotype_name(place: Column, depth: Column, freq: Column) -> Column:
     """hap1 12x freq=0.123: depth without and frequency with three decimals, halves rounded to even."""
     return F.concat(F.lit("hap"), place.cast("string"), F.lit(" "), F.bround(depth, 0).cast("long").cast("string"), F.lit("x freq="), F.bround(freq, 3).cast("decimal(20,3)").cast("string"))
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """A number as text with so many decimals, rounded as printf does: by the double's exact value, exact halves to even.
+
+    The product x * 10^digits is split into the rounded product and its exact error, so that 0.0005 (just above a half) and
+    0.0625 (exactly one) both come out right. Nulls stay null; numbers of 2^52 / 10^digits or more, and no numbers, are written as they are.
+    """
+    x, scale = x.cast("double"), float(10**digits)
+
+    def halves(v: Column) -> tuple[Column, Column]:
+        wide = v * 134217729.0  # 2^27 + 1: the upper and lower 26 bits of v
+        upper = wide - (wide - v)
+        return upper, v - upper
+
+    product = x * scale
+    (a, b), (c, d) = halves(x), halves(F.lit(scale))
+    error = ((a * c - product) + a * d + b * c) + b * d
+    below = F.floor(product)
+    beyond = product - below - 0.5
+    up = (beyond > 0) | ((beyond == 0) & ((error > 0) | ((error == 0) & (below % 2 != 0))))
+    whole = below.cast("long") + up.cast("long")
+    sign = F.when((x < 0) | (x.cast("string") == "-0.0"), "-").otherwise("")
+    size = F.abs(whole)
+    text = F.concat(sign, F.floor(size / int(scale)).cast("string"), *([F.lit("."), F.lpad((size % int(scale)).cast("string"), digits, "0")] if digits else []))
+    return F.when(F.abs(x) < 2.0**52 / scale, text).otherwise(x.cast("string"))
