@@ -5,7 +5,7 @@ from __future__ import annotations
 from heapq import heappop, heappush
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialized
@@ -88,23 +88,18 @@ def ordered_reads(reads: DataFrame, overlaps: DataFrame, by_length: bool = True)
 
 def top_n_in_turn(overlaps: DataFrame, n: int) -> DataFrame:
     """Overlaps kept when reads are taken in the order in which they first appear: each keeps the n longest of those left to it, which
-    its partners no longer count, and drops the others for its partners too. A component is taken by one task."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ord", ignore_index=True)
-        left: dict[str, dict[int, int]] = {}
-        for k, (a, b, size) in enumerate(zip(frame.qn, frame.tn, frame.alnlen)):
-            left.setdefault(a, {})[k] = left.setdefault(b, {})[k] = size
-        kept, other = [], lambda k, read: frame.tn[k] if frame.qn[k] == read else frame.qn[k]
-        for read, mine in left.items():
-            ranked = sorted(mine, key=lambda k: (-mine[k], k))
-            kept += ranked[:n]
-            for k in ranked:
-                left[other(k, read)].pop(k, None)
-        return frame.iloc[sorted(kept)].drop(columns="component")
-
-    schema = overlaps.schema
-    return by_component(overlaps.where("qn <> tn")).select("component", *overlaps.columns).groupBy("component").applyInPandas(run, schema)
+    its partners no longer count, and drops the others for its partners too.
+
+    A read's turn settles all that is left to it, so what is left are its overlaps with later reads: an overlap is its
+    earlier read's, and of those each read keeps the n longest. No turn has to wait for another one. Overlaps of a read with itself or without a name are left out.
+    """
+    links = overlaps.where("qn <> tn")
+    ends = links.select("ord", F.posexplode(F.array("qn", "tn")).alias("_side", "_read"))
+    seen = ends.groupBy("_read").agg(F.min(F.struct("ord", "_side")).alias("_seen"))
+    for end in ("qn", "tn"):
+        links = links.join(seen.select(F.col("_read").alias(end), F.col("_seen").alias(f"_{end}")), end)
+    longest = Window.partitionBy(F.least("_qn", "_tn")).orderBy(F.desc("alnlen"), "ord")
+    return links.withColumn("_rank", F.row_number().over(longest)).where(F.col("_rank") <= n).select(*overlaps.columns)
 
 
 def connected(overlaps: DataFrame) -> DataFrame:

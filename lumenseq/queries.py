@@ -712,7 +712,12 @@ def overlap_components(ovl):
     return graph.components(ovl.select(F.col("qn").alias("a"), F.col("tn").alias("b")))
 
 
-@query(None, "ovl")
+@query(
+    """, e as (select * from ovl where qn <> tn),
+s as (select r, min(ord * 2 + side) seen from (select ord, qn r, 0 side from e union all select ord, tn, 1 from e) group by 1)
+select ord, qn, tn from (select e.ord, e.qn, e.tn, row_number() over (partition by least(a.seen, b.seen) order by alnlen desc, e.ord) k from e join s a on a.r = e.qn join s b on b.r = e.tn) where k <= 5""",
+    "ovl",
+)
 def overlap_topn_in_turn(ovl):
     return graph.top_n_in_turn(ovl, 5).select("ord", "qn", "tn")
 
