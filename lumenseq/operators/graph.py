@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,13 +14,63 @@ from ..session import materialized
 from .overlaps import edges
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node of links (a, b): root is the least node reachable.
+#: Links that one task joins at once, and nodes that a partition's forest holds; ids of 100 bytes take some 150 MB.
+FEW_LINKS = 300_000
 
-    Each round a node takes the least label among its neighbours, then that label's label; the number of rounds
+
+class Forest:
+    """Union-find over ids of one type; a tree's root is its least id."""
+
+    def __init__(self):
+        self.parent: dict = {}
+
+    def root(self, x):
+        top = x
+        while self.parent.setdefault(top, top) != top:
+            top = self.parent[top]
+        while self.parent[x] != top:
+            self.parent[x], x = top, self.parent[x]
+        return top
+
+    def join(self, a, b) -> None:
+        a, b = self.root(a), self.root(b)
+        self.parent[max(a, b)] = min(a, b)
+
+    def stars(self, schema: pa.Schema) -> pa.RecordBatch:
+        """Every id beside its root."""
+        nodes = list(self.parent)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, schema.types[0]), pa.array([self.root(x) for x in nodes], schema.types[1])], names=["a", "b"])
+
+
+def stars(links: DataFrame, most: int = FEW_LINKS) -> DataFrame:
+    """Links (a, b) that connect the same ids: each partition's as stars around the least id, begun anew whenever a forest holds `most` ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, schema = Forest(), None
+        for batch in batches:
+            schema = batch.schema
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                forest.join(a, b)
+            if len(forest.parent) >= most:
+                yield forest.stars(schema)
+                forest = Forest()
+        if forest.parent:
+            yield forest.stars(schema)
+
+    return links.mapInArrow(run, links.schema)
+
+
+def components(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
+    """(node, root) of every node of links (a, b), ids of one type: root is the least node reachable. Links with a null end are left out.
+
+    Each partition first thins its links to a star a component. Up to `few` links are then joined by one task. Beyond that, a node takes
+    the least label among its neighbours each round, then that label's label; the number of rounds
     grows with the logarithm of a component's diameter. Neither neighbours nor components are gathered.
     """
-    both = materialized(links.select("a", "b").union(links.select("b", "a")).distinct())
+    links = materialized(stars(links.select("a", "b").where("a is not null and b is not null")))
+    if links.count() <= few:
+        return materialized(stars(links.coalesce(1), 2 * few + 1).toDF("node", "root"))
+    both = materialized(links.union(links.select("b", "a")).distinct())
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root"))
     while True:
         told = both.join(labels, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.min("root").alias("told"))
