@@ -52,7 +52,7 @@ def reads_scan(reads):
 
 @query("select id, length(seq) len, row_number() over (order by length(seq) desc, ord) as rank from reads", "reads")
 def reads_length_sort(reads):
-    return numbered(lengths_of(reads).select("id", "ord", "len"), [F.desc("len"), F.asc("ord")], "rank").select("id", "len", "rank")
+    return numbered(materialized(lengths_of(reads).select("id", "ord", "len")), [F.desc("len"), F.asc("ord")], "rank").select("id", "len", "rank")
 
 
 @query("select id, length(seq) len from reads order by length(seq) desc, ord limit 100", "reads")
@@ -67,7 +67,7 @@ def reads_count(reads):
 
 @query("select 'r' || cast(row_number() over (order by length(seq) desc, ord) as varchar) as name, id from reads", "reads")
 def rename_by_rank(reads):
-    ranked = numbered(lengths_of(reads).select("id", "ord", "len"), [F.desc("len"), F.asc("ord")], "rank")
+    ranked = numbered(materialized(lengths_of(reads).select("id", "ord", "len")), [F.desc("len"), F.asc("ord")], "rank")
     return ranked.select(seqs.numbered_name("r", F.col("rank")).alias("name"), "id")
 
 
