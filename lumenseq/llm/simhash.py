@@ -16,6 +16,10 @@ members of other classes, and those among each other, but the class not with its
 classes have over `MIDPOINTS_FROM` blocks, each member names all midpoints within reach: two
 fingerprints are at most four bits apart exactly if some value lies within two bits of both, so members
 that share a midpoint are linked and the work is linear in the bucket.
+
+Near duplicates by a set similarity (`similar`, `keep_one`) are first what this search links and an exact
+comparison confirms. Fingerprints can't bring together all pairs of a similarity of 0.8, so bands of
+sketches then name the pairs between the classes found so far, which are compared alike.
 """
 
 from __future__ import annotations
@@ -344,6 +348,25 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, tau: int = TAU, bits:
     return with_least(own, distinct, classes(distinct.select("fp"), tau))
 
 
+def fingerprint_pairs(distinct: DataFrame, tau: int, hot: int = HOT) -> DataFrame:
+    """Pairs (a, b) of distinct (fp, bits), bits a SimHash fingerprint: of equal bits each with the least one, and of
+    bits within tau those that the search returns, by their least ones."""
+    named = checkpointed(distinct.groupBy("bits").agg(F.min("fp").alias("low"), F.count("*").alias("n")))
+    equal = looked_up(distinct.select("fp", "bits"), named.where("n > 1"), ["bits"], hot).where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
+    near = links(named.select(F.col("bits").alias("fp")), tau)
+    for k in "ab":
+        near = near.withColumnRenamed(k, "bits").join(named.select("bits", F.col("low").alias(k)), "bits").drop("bits")
+    return checkpointed(equal.union(near.select("a", "b")).distinct())
+
+
+def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different classes, roots (fp, root) of the linked ones."""
+    known = pairs
+    for k in "ab":
+        known = known.join(roots.select(F.col("fp").alias(k), F.col("root").alias(f"root_{k}")), k, "left")
+    return known.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def meetings(distinct: DataFrame) -> DataFrame:
     """(key, fp, low): fingerprints that share a band of their sketches with another, and each band's least one."""
     keys = [F.xxhash64(F.lit(k), F.substring("sketch", BAND * k + 1, BAND)) for k in range(MINIMA // BAND)]
@@ -451,13 +474,14 @@ def crowded_links(members: DataFrame, filled: DataFrame, alike: float, block: in
     return tasks.join(filled, "fp").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def similar(docs: DataFrame, width: int = 5, alike: float = ALIKE, few: int = FEW, block: int = BLOCK) -> DataFrame:
+def similar(docs: DataFrame, width: int = 5, alike: float = ALIKE, few: int = FEW, block: int = BLOCK, tau: int = TAU) -> DataFrame:
     """(doc_id, component_id) of every row, by links between texts with a Jaccard similarity of `alike` or more.
 
-    A text stands for all with the same set of shingles. Candidates share a band of their sketches,
-    BAND bytes, and 0.7 of the whole sketches; a pair is a link if their sets of shingle hashes have
-    a Jaccard similarity of `alike`. What is linked is one class. Each member of a band is tested against the
-    band's least one.
+    A text stands for all with the same set of shingles. A pair is a link if their sets of shingle hashes have
+    a Jaccard similarity of `alike`; what is linked is one class. The first candidates are those that SimHash
+    fingerprints bring together, of at most tau bits' difference. Then those that share a band of their sketches,
+    BAND bytes; either kind has 0.7 of the whole sketches in common. Each member of a band is tested against the
+    band's least one, if that is in another class.
     In every band whose members are still in several classes all pairs between those are tested. With at most
     `few` members the pairs are joined. With more, the members of its most frequent class, in all its bands
     at once, and those outside that share a band with it are compared inside tasks; so a text's set travels
@@ -465,25 +489,33 @@ def similar(docs: DataFrame, width: int = 5, alike: float = ALIKE, few: int = FE
     ends are in one class by tested links, however the rows are dealt out. Nulls and
     repeated rows are taken as in near_duplicates.
     """
-    own, roots = alike_classes(docs, width, alike, few, block)
+    own, roots = alike_classes(docs, width, alike, few, block, tau)
     return with_least(own.select("doc_id", "fp"), own.groupBy("fp").agg(F.min("doc_id").alias("low")), roots).select("doc_id", "component_id")
 
 
-def alike_classes(docs: DataFrame, width: int, alike: float, few: int = FEW, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp, text_key, sketch) of every row, and (fp, root) of the linked ones; see similar."""
+def alike_classes(docs: DataFrame, width: int, alike: float, few: int = FEW, block: int = BLOCK, tau: int = TAU) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, text_key, sketch, bits) of every row, and (fp, root) of the linked ones; see similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            sets = [np.unique(shingles(x, width)) for x in texts(batch)]
-            fps = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2), pa.array([minima(x, MINIMA).tobytes() for x in sets], pa.binary())], ["doc_id", "fp", "text_key", "sketch"])
+            rows = []
+            for x in texts(batch):
+                hashes = shingles(x, width)
+                distinct = np.unique(hashes)
+                rows.append((xxhash.xxh64_intdigest(distinct.tobytes()), minima(distinct, MINIMA).tobytes(), majority(hashes)))
+            fps, sketches, bits = zip(*rows) if rows else ((), (), ())
+            fps, bits = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, bits))
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps, batch.column(2), pa.array(sketches, pa.binary()), bits], ["doc_id", "fp", "text_key", "sketch", "bits"])
 
     narrow = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    own = checkpointed(narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, fp long, text_key long, sketch binary"))
-    distinct = checkpointed(own.groupBy("fp").agg(F.min("text_key").alias("text_key"), F.min("sketch").alias("sketch")))
-    met = meetings(distinct.select("fp", "sketch"))
-    found = verified(met.where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct(), distinct, docs, width, alike)
+    own = checkpointed(narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, fp long, text_key long, sketch binary, bits long"))
+    distinct = checkpointed(own.groupBy("fp").agg(F.min("text_key").alias("text_key"), F.min("sketch").alias("sketch"), F.min("bits").alias("bits")))
     classes = lambda links: components(links).select(F.col("node").alias("fp"), "root")
+    found = verified(fingerprint_pairs(distinct.select("fp", "bits"), tau), distinct, docs, width, alike)
+    release(docs.sparkSession)
+    met = meetings(distinct.select("fp", "sketch"))
+    stars = met.where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
+    found = found.union(verified(between(stars, classes(found)), distinct, docs, width, alike))
     release(docs.sparkSession)
     rest = untested(met, classes(found), few)
     release(docs.sparkSession)

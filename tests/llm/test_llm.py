@@ -102,6 +102,19 @@ def test_similar_is_exact_beside_the_limit(spark, few):
     assert found == want and 180 < len(set(want.values())) < len(texts)
 
 
+def test_similar_takes_what_fingerprints_bring_together(spark):
+    """Two texts 0.8 alike that share no band of their sketches, but all 64 bits of their fingerprints but four."""
+    seed = 324735
+    words = [f"w{seed}n{i}" for i in range(22)]
+    texts = [" ".join(words), " ".join([*words[:20], f"x{seed}", f"y{seed}"])]
+    hashes = [simhash.shingles(x.encode(), 5) for x in texts]
+    first, second = (simhash.minima(np.unique(x), simhash.MINIMA)[:252].reshape(36, 7) for x in hashes)
+    assert not (first == second).all(1).any() and (simhash.majority(hashes[0]) ^ simhash.majority(hashes[1])).bit_count() <= 4
+    docs = spark.createDataFrame([(1, texts[0]), (2, texts[1]), (3, "a text of other words")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 3]
+
+
 @pytest.mark.parametrize("limits", [{}, {"hot": 2}, {"hot": 2, "block": 8}, {"hot": 2, "block": 2, "midpoints_from": 1}, {"hot": 9, "block": 4, "midpoints_from": 0}])
 def test_simhash_links_all(spark, limits):
     rng = np.random.default_rng(3)
