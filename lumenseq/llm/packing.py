@@ -34,10 +34,12 @@ CUT_DOCUMENT, CUT_SENTENCE = 24.0, 400.0
 BLOCK_TOKENS = 1 << 20
 #: Encoded pieces that a memory turns over at, and the bytes of text that are encoded at once.
 CACHE, AT_ONCE = 100_000, 2 << 20
-#: Marks that often follow a word; with others of them they are one unit.
-MARKS = b".,;:!?"
+#: Words that the model takes in at once.
+WORDS_AT_ONCE = 8192
+#: A word of Latin letters and the marks after it, which are a unit each. `<|` begins a special token, so neither is among the marks.
+WORD = "^(?P<word>[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)(?P<marks>[!-/:;=-@\\[-`{}~]*)$"
 #: How a piece ends that ends a sentence.
-STOPS = tuple(stop + closer for stop in (b".", b"!", b"?") for closer in (b"", b'"', b"'", b")"))
+STOPS = "[.!?][\"')]?$"
 #: Fixed values of the tokenizer: its rules, the units that they cut a text into (letters, a digit, an
 #: English ending, marks), and the characters for which this pattern is sure to agree with them.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -70,18 +72,35 @@ class Memory(dict):
         self[key] = value
         return value
 
+    def several(self, keys: list, function: Callable[[list], list]) -> list:
+        """Values of the keys; `function` gives those that aren't known together."""
+        values = list(map(self.get, keys))
+        gaps = [i for i, value in enumerate(values) if value is None]
+        for i in gaps:
+            values[i] = self.older.get(keys[i])
+        unknown = [i for i in gaps if values[i] is None]
+        for i, value in zip(unknown, function([keys[i] for i in unknown])):
+            values[i] = value
+        for i in gaps:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
+            self[keys[i]] = values[i]
+        return values
+
 
 class Encoder:
     """Token ids of a text, by the pieces between white space, which recur and so are remembered, within bounds.
 
     The tokenizer lower-cases, drops white space, cuts the text into runs of letters, single digits
     and runs of marks, and applies its byte-level BPE model to each of these units; no token spans
-    white space. A piece with a special token's marks, or with characters whose class or case isn't
+    white space. Most pieces are a word and marks: the words that aren't remembered are lower-cased and given to the model together,
+    as one text. A piece with a special token's marks, or with characters whose class or case isn't
     settled, goes through the whole tokenizer. So does every text if the file's rules aren't these.
     """
 
     def __init__(self, path: str, memory: int = CACHE):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         rules = json.loads(self.tokenizer.to_str())
@@ -91,17 +110,15 @@ class Encoder:
         hidden = [c for c in range(256) if c not in visible]
         self.shown = {c: chr(c) for c in visible} | {c: chr(256 + k) for k, c in enumerate(hidden)}
         self.pieces = Memory(self.piece, memory)
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def piece(self, data: bytes) -> bytes:
-        word = data.rstrip(MARKS)
-        if word.isalpha():  # ASCII letters, then marks
-            if word == data and word.islower():
-                return self.unit(word.decode())
-            codes = self.pieces[word.lower()]
-            return codes if word == data else codes + self.pieces[data[len(word) :]]
+        if data.isalpha() and data.islower():  # ASCII letters
+            return self.unit(data.decode())
         text = data.decode("utf-8", "replace")
         if "<|" in text or UNSURE.search(text):
             return self.whole(text)
@@ -114,6 +131,33 @@ class Encoder:
         ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
         return pack(f"<{len(ids)}I", *ids)
 
+    def words(self, known: list[bytes]) -> list[bytes]:
+        """Ids of units without white space, by one call of the model for many."""
+        out = []
+        for at in range(0, len(known), WORDS_AT_ONCE):
+            some = [w.decode() if w.isascii() else "".join(map(self.shown.__getitem__, w)) for w in known[at : at + WORDS_AT_ONCE]]
+            found = self.model.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4").tobytes()
+            ends = (4 * np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(some)))).tolist()
+            out += [ids[a:b] for a, b in zip([0, *ends], ends)]
+        return out
+
+    def codes(self, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all of the pieces in a row, and how many each has."""
+        parts = pc.extract_regex(known, WORD)
+        plain = parts.is_valid()
+        word, marks = (pc.struct_field(parts, [k]).filter(plain) for k in ("word", "marks"))
+        word, marks = pc.utf8_lower(word).dictionary_encode(), marks.dictionary_encode()
+        of_word = self.pieces.several(listed(word.dictionary), self.words)
+        of_marks, others = (list(map(self.pieces.__getitem__, listed(x))) for x in (marks.dictionary, known.filter(pc.invert(plain))))
+        parts_ids = [*of_word, *of_marks, *others, b""]
+        size = np.fromiter(map(len, parts_ids), np.int64, len(parts_ids)) // 4
+        held = np.full((len(known), 2), len(parts_ids) - 1)  # the one or two of them that make up a piece
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        held[is_plain] = np.stack([word.indices.to_numpy(), len(of_word) + marks.indices.to_numpy()], 1)
+        held[~is_plain, 0] = len(of_word) + len(of_marks) + np.arange(len(others))
+        return gathered(np.frombuffer(b"".join(parts_ids), "<u4"), size, held.ravel()), size[held].sum(1)
+
     def encode(self, column: pa.Array) -> Iterator[tuple[bytes, np.ndarray]]:
         """Of each text: little-endian 32-bit ids, and how many ids there are up to each sentence's end."""
         if not self.by_pieces:
@@ -121,21 +165,28 @@ class Encoder:
             return
         split = pc.ascii_split_whitespace(column.fill_null(""))
         flat = split.flatten().dictionary_encode()
-        known = flat.dictionary.cast(pa.large_binary()).to_pylist()
-        codes = list(map(self.pieces.__getitem__, known))
-        code_size = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        codes, code_size = self.codes(flat.dictionary)
         at = flat.indices.to_numpy()
-        size = code_size[at]
-        ends = np.cumsum(size)
-        first = (np.cumsum(code_size) - code_size)[at]
-        ids = np.frombuffer(b"".join(codes), "<u4")[np.repeat(first - (ends - size), size) + np.arange(size.sum())]
-        stops = ends[np.fromiter((p.endswith(STOPS) for p in known), bool, len(known))[at]]
+        ends = np.cumsum(code_size[at])
+        ids = gathered(codes, code_size, at)
+        stops = ends[pc.match_substring_regex(flat.dictionary, STOPS).to_numpy(zero_copy_only=False)[at]]
         bounds = np.append(0, ends)[split.offsets.to_numpy()]
         stop_at = np.searchsorted(stops, bounds, "right")
         for a, b, i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), stop_at[:-1].tolist(), stop_at[1:].tolist()):
             yield ids[a:b].tobytes(), stops[i:j] - a
 
 
+def listed(column: pa.Array) -> list[bytes]:
+    return column.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+
+
+def gathered(values: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The runs at the places `at` one after another; `size` has the lengths of the runs that make up values."""
+    wanted = size[at]
+    first = (np.cumsum(size) - size)[at] - (np.cumsum(wanted) - wanted)
+    return values[np.repeat(first, wanted) + np.arange(wanted.sum())]
+
+
 def portions(column: pa.Array, most: int = AT_ONCE) -> Iterator[pa.Array]:
     """The column in slices of about `most` bytes of text; a longer text is a slice of its own."""
     ends, at = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)), 0

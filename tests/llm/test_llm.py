@@ -215,6 +215,22 @@ def test_packing(spark, odd, empty):
     assert np.frombuffer(next(encoder.encode(pa.array(["Any text"])))[0], "<u4").tolist() == whole.encode("Any text", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("memory", [packing.CACHE, 3])
+def test_new_words_are_encoded_together(memory, monkeypatch):
+    """Words that aren't remembered go to the model in one text; ids are the whole tokenizer's."""
+    rng, alone = random.Random(4), []
+    monkeypatch.setattr(packing.Encoder, "unit", lambda self, shown, unit=packing.Encoder.unit: alone.append(shown) or unit(self, shown))
+    encoder = packing.Encoder(queries.tokenizer_path(), memory)
+    letters = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250))]
+    words = ["".join(rng.choices(letters, k=rng.randrange(1, 12))) + rng.choice(["", "", ".", ",", '."', "***", "_", "'", "<|", "|>"]) for _ in range(20000)]
+    odd = [f.format(chr(c)) for c in (*range(0x21, 0x250), 0x3B1, 0x301, 0x4E2D) for f in ("{}", "a{}", "{}B.", "A{}b", "a{}'s", "ab{0}{0}", "ab.{}!", "<|{}|>x")]
+    texts = [" ".join(words), " ".join(odd), None, "", " \n", *odd[:300], " ".join(reversed(words[:99]))]
+    found = [np.frombuffer(ids, "<u4").tolist() for ids, _ in encoder.encode(pa.array(texts))]
+    assert found == [encoder.tokenizer.encode(x or "", add_special_tokens=False).ids for x in texts]
+    del alone[:]
+    assert sum(len(ids) for ids, _ in encoder.encode(pa.array([" ".join(f"{w}q" for w in words if w.isalpha())]))) and len(alone) < 100
+
+
 @pytest.mark.parametrize("size", [4096, 100])
 def test_packed_pieces_are_the_tokens(spark, size):
     """start, length, ids_crc32, doc_tokens of every piece against the whole tokenizer; each id once, sequences without gaps."""
