@@ -471,7 +471,8 @@ def crowded_links(members: DataFrame, filled: DataFrame, alike: float, block: in
         return pa.table({"a": pa.array([a for a, _ in taken], pa.int64()), "b": pa.array([b for _, b in taken], pa.int64())})
 
     tasks = dealt(split_up(members, ["key"], block)).select("key", "i", "j", "fp", "root", "main")
-    return tasks.join(filled, "fp").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    # the links meet another Python step next; in one stage with it a task would hold two Python processes, which stay for the session
+    return checkpointed(tasks.join(filled, "fp").groupBy("key", "i", "j").applyInArrow(run, "a long, b long"))
 
 
 def similar(docs: DataFrame, width: int = 5, alike: float = ALIKE, few: int = FEW, block: int = BLOCK, tau: int = TAU) -> DataFrame:

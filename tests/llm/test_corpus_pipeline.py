@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lumenseq.llm import queries, simhash
-from lumenseq.llm.components import forest
+from lumenseq.llm.components import components, forest
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,3 +45,17 @@ def test_stages_keep_columns_and_odd_rows(spark):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, frame, SF).columns == docs.columns, name
         assert corpus_pipeline.pack(spark, frame, SF).groupBy().agg(F.countDistinct("sequence_id")).first()[0] >= 0
+
+
+def test_near_duplicates_runs_one_python_step_a_task(spark, monkeypatch):
+    plans = []
+
+    def seen(edges):
+        plans.append(edges._jdf.queryExecution().optimizedPlan().toString())
+        return components(edges)
+
+    monkeypatch.setattr(simhash, "components", seen)
+    copies = [(i, " ".join(f"w{(i % 40) * (j == i % 97) + j}" for j in range(120))) for i in range(60)]
+    docs = spark.createDataFrame(copies, "doc_id long, text string")
+    assert simhash.keep_one(docs).count() < len(copies)
+    assert plans and not any("InArrow" in plan for plan in plans)  # components begins with a Python step of its own
