@@ -1,7 +1,8 @@
 """Record tables (reads, overlaps, alignments, ...) derived from the given tables.
 
 Each is one SQL text that Spark and other SQL engines read alike, so that a query and its oracle
-see the same rows. `{table}` stands for an input table.
+see the same rows. `{table}` stands for an input table, `{g}` for what makes another engine replace all matches, `{wide}` for Spark's cast to long
+where a product of two ints would pass their range.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ CONTIG_LENGTHS = """select distinct cast(floor(l_partkey / 5e0) as int) + k id,
 from {lineitem}, (select 0 k union all select 13) k0"""
 
 PAIRS = f"""select x, y, m, l, cast(6000 + (x * 41) % 700 * 10 as bigint) l1, cast(6000 + (y * 41) % 700 * 10 as bigint) l2,
-  case when (x + y) % 53 = 0 and (x * y) % 3 = 0 then 1 when (x + 2 * y) % 59 = 0 then 2 else 0 end contained, (1 - m * 1e0 / l) * (1 + (x * y) % 37) gdiv
+  case when (x + y) % 53 = 0 and (x{{wide}} * y) % 3 = 0 then 1 when (x + 2 * y) % 59 = 0 then 2 else 0 end contained, (1 - m * 1e0 / l) * (1 + (x{{wide}} * y) % 37) gdiv
 from (select x, y, sum(nmatch) m, sum(alnlen) l from ({PAIR_ALIGNMENTS}) p0 group by 1, 2) q"""
 
 ALL = {"reads": READS, "ovl": OVERLAPS, "intervals": INTERVALS, "alignments": ALIGNMENTS, "assignments": ASSIGNMENTS, "contigs": CONTIGS, "truth": TRUTH, "pair_alignments": PAIR_ALIGNMENTS, "contig_lengths": CONTIG_LENGTHS, "pairs": PAIRS}
@@ -59,12 +60,12 @@ TABLES = ("documents", "lineitem", "events")
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in ALL[name]}
-    made = spark.sql(ALL[name].replace("{g}", ""), **used)
+    made = spark.sql(ALL[name].replace("{g}", "").replace("{wide}", "::bigint"), **used)
     # a filter over these would be pushed through four levels of expressions, each repeated wherever it is used
     return materialized(made) if name == "ovl" else made
 
 
 def with_clauses(*names: str) -> str:
     """The fixtures as common table expressions for an oracle."""
-    plain = lambda sql: sql.replace("{g}", ", 'g'").format(**{t: t for t in TABLES})
+    plain = lambda sql: sql.replace("{g}", ", 'g'").replace("{wide}", "").format(**{t: t for t in TABLES})
     return "with " + ", ".join(f"{n} as ({plain(ALL[n])})" for n in names)
