@@ -8,7 +8,7 @@ from lumenseq import queries
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["redundancy_keep"])
+@pytest.mark.parametrize("name", ["redundancy_keep", "redundancy_losers"])
 def test_products_of_large_keys(spark, tmp_path, name):
     """Keys of the 21st copy of sf0.1, whose products pass an int; the SQL passes it too, so it is asked with a wider type."""
     spark.read.parquet(f"{SF}/lineitem.parquet").withColumn("l_partkey", F.col("l_partkey") + 400_000).write.parquet(f"{tmp_path}/lineitem.parquet")
