@@ -63,13 +63,25 @@ def stars(links: DataFrame, most: int = FEW_LINKS) -> DataFrame:
 def components(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
     """(node, root) of every node of links (a, b), ids of one type: root is the least node reachable. Links with a null end are left out.
 
-    Each partition first thins its links to a star a component. Up to `few` links are then joined by one task. Beyond that, a node takes
-    the least label among its neighbours each round, then that label's label; the number of rounds
-    grows with the logarithm of a component's diameter. Neither neighbours nor components are gathered.
+    Each partition first thins its links to a star a component. Up to `few` links are then joined by one task. Beyond that, a node keeps the least of its
+    stars' centres, and what is left to join are links from this one to its other centres: the component's least node is a centre wherever it occurs.
+    Where these links are few against the stars, their components are found alike, else by rounds. Neither neighbours nor components are gathered.
     """
-    links = materialized(stars(links.select("a", "b").where("a is not null and b is not null")))
-    if links.count() <= few:
-        return materialized(stars(links.coalesce(1), 2 * few + 1).toDF("node", "root"))
+    thin = materialized(stars(links.select("a", "b").where("a is not null and b is not null")))
+    n = thin.count()
+    if n <= few:
+        return materialized(stars(thin.coalesce(1), 2 * few + 1).toDF("node", "root"))
+    least = thin.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("centre"))
+    seams = materialized(thin.join(least, F.col("a") == F.col("node")).where("b <> centre").select(F.col("b").alias("a"), F.col("centre").alias("b")).distinct())
+    if 2 * seams.count() > n:
+        return rounds(thin)
+    told = components(seams, few).toDF("centre", "told")
+    return materialized(least.join(told, "centre", "left").select("node", F.coalesce("told", "centre").alias("root")))
+
+
+def rounds(links: DataFrame) -> DataFrame:
+    """(node, root): a node takes the least label among its neighbours each round, then that label's label; the number of rounds grows with the logarithm of a
+    component's diameter."""
     both = materialized(links.union(links.select("b", "a")).distinct())
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root"))
     while True:

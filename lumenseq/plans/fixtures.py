@@ -58,11 +58,12 @@ ALL = {"reads": READS, "ovl": OVERLAPS, "intervals": INTERVALS, "alignments": AL
 TABLES = ("documents", "lineitem", "events")
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def fixture(spark: SparkSession, sf_dir: str, name: str, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """The table, or some of its columns, which are not written then."""
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in ALL[name]}
     made = spark.sql(ALL[name].replace("{g}", "").replace("{wide}", "::bigint"), **used)
     # a filter over these would be pushed through four levels of expressions, each repeated wherever it is used
-    return materialized(made) if name == "ovl" else made
+    return made.select(*columns) if columns else materialized(made) if name == "ovl" else made
 
 
 def with_clauses(*names: str) -> str:

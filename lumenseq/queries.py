@@ -26,12 +26,12 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None, *fixtures: str) -> Callable[[Callable], Callable]:
-    """Registers a function of the named fixtures' DataFrames with its oracle."""
+def query(sql: str | None, *fixtures: str, columns: tuple[str, ...] | None = None) -> Callable[[Callable], Callable]:
+    """Registers a function of the named fixtures' DataFrames with its oracle; columns: all that it reads of them."""
 
     def register(function: Callable) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return function(*(fixture(spark, sf_dir, name) for name in fixtures))
+            return function(*(fixture(spark, sf_dir, name, columns) for name in fixtures))
 
         QUERIES[function.__name__] = run
         if sql:
@@ -707,6 +707,7 @@ l as (with recursive r as (
   select node, min(root) root from r group by 1)
 select node, root from l""",
     "ovl",
+    columns=("qn", "tn"),
 )
 def overlap_components(ovl):
     return graph.components(ovl.select(F.col("qn").alias("a"), F.col("tn").alias("b")))

@@ -1,9 +1,12 @@
 """What larger tables bring: large keys, long components, frequent seeds."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 from lumenseq import queries
+from lumenseq.operators import graph
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,3 +21,28 @@ def test_products_of_large_keys(spark, tmp_path, name):
     assert "(x * y)" in sql
     want = {x for (x,) in con.sql(sql.replace("(x * y)", "(x::bigint * y)")).fetchall()}
     assert {r.id for r in queries.QUERIES[name](spark, str(tmp_path)).collect()} == want and want
+
+
+def test_components_write_stars_and_no_overlaps(spark, monkeypatch, tmp_path):
+    """What is written on the way is far less than the overlaps, with links left to join beyond those that one task takes, and without rounds."""
+    for k in range(8):
+        part = spark.read.parquet(f"{SF}/lineitem.parquet").withColumn("l_partkey", F.col("l_partkey") + 200 * k)
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
+    written = []
+    checkpoint = type(spark.range(1)).checkpoint
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda self, *a: written.append((out := checkpoint(self, *a)).count()) or out)
+    monkeypatch.setattr(graph, "components", lambda links, few=1000, known=graph.components: known(links, few))
+    monkeypatch.setattr(graph, "rounds", lambda links: pytest.fail("rounds over all links"), raising=False)
+    found = queries.QUERIES["overlap_components"](spark, str(tmp_path)).collect()
+    assert len(found) > 1600 and {r.root for r in found} == {"r0"} and max(written) < 5000  # of 48,000 overlaps
+
+
+def test_components_by_seams_equal_one_task(spark):
+    rng = random.Random(7)
+    links = [(a, rng.choice([a + 1, a + 2, rng.randrange(a, a + 40)])) for a in range(0, 6000, 1) if a % 500 not in range(450, 500) for _ in range(2)]
+    links = [(min(a, 5999), min(b, a // 500 * 500 + 499)) for a, b in links]
+    frame = spark.createDataFrame(links, "a long, b long").repartition(5)
+    want = {r.node: r.root for r in graph.components(frame).collect()}
+    for n in (1, 6):  # links beside their like, and dealt out
+        some = frame.repartitionByRange(n * 4, "a") if n == 1 else frame.repartition(4 * n)
+        assert {r.node: r.root for r in graph.components(some, 600).collect()} == want
