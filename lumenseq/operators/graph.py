@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialized
+from .numbering import numbered
 from .overlaps import edges
 
 
@@ -94,60 +97,90 @@ def rounds(links: DataFrame) -> DataFrame:
             return labels
 
 
-def by_component(overlaps: DataFrame) -> DataFrame:
-    """overlaps with the component that their reads are in."""
-    roots = components(overlaps.select(F.col("qn").alias("a"), F.col("tn").alias("b"))).withColumnRenamed("root", "component")
-    return overlaps.join(roots.withColumnRenamed("node", "qn"), "qn")
+def walked(length: np.ndarray, links: np.ndarray, start: np.ndarray, by_length: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(reads in visiting order, whether each is forward) of a component; read 0 is the first one and forward.
 
-
-def visited(reads: pd.DataFrame, links: pd.DataFrame, by_length: bool = True) -> list[tuple[str, str]]:
-    """(id, strand) of one component's reads in visiting order; the component must be connected.
-
-    The first read is forward. Next comes, of the reads that overlap a visited one, the longest (of equal ones the
-    first met), or without by_length the first met; its strand is that of the overlap with the first visited read
-    that it overlaps, turned if that one is reversed. A heap holds the reads met, so a component of n overlaps takes n log n.
+    Read x has length[x] and links[start[x] : start[x + 1]], its overlaps by ord, each the other read's number doubled, plus 1 on the forward strand.
+    Next comes, of the reads that overlap a visited one, the longest (of equal ones the first met), or without by_length the first met; its strand is that
+    of the overlap with the first visited read that it overlaps, turned if that one is reversed. A heap holds the reads met, so n overlaps take n log n.
     """
-    ids, length = reads.id.tolist(), reads.len.tolist()
-    number = {x: k for k, x in enumerate(ids)}
-    near: list[dict[int, bool]] = [{} for _ in ids]
-    for a, b, strand in zip(links.qn.map(number).tolist(), links.tn.map(number).tolist(), links.strand.tolist()):
-        near[a].setdefault(b, strand == "+")
-        near[b].setdefault(a, strand == "+")
     # a read is met when its first neighbour is visited, which settles its strand
-    forward, order, met = {0: True}, [0], 0
-    frontier: list[tuple[int, int, int]] = []
-    known = {0}
+    forward = np.full(len(length), -1, np.int8)  # -1: not met yet
+    forward[0] = 1
+    order, met, frontier = [0], 0, []
     while True:
         last = order[-1]
-        for x, same in near[last].items():
-            if x not in known:
-                known.add(x)
-                forward[x] = forward[last] == same
-                heappush(frontier, (-length[x] if by_length else 0, met, x))
+        near = links[start[last] : start[last + 1]]
+        own = int(forward[last])
+        for link in near[forward[near >> 1] < 0].tolist():
+            x = link >> 1
+            if forward[x] < 0:
+                forward[x] = own == link & 1
+                heappush(frontier, (-int(length[x]) if by_length else 0, met, x))
                 met += 1
         if not frontier:
             break
         order.append(heappop(frontier)[2])
-    if len(order) < len(ids):
+    if len(order) < len(length):
         raise ValueError("reads without a path of overlaps to the first one")
-    return [(ids[k], "+" if forward[k] else "-") for k in order]
+    return np.array(order), forward[order] == 1
+
+
+def visited(reads: pd.DataFrame, links: pd.DataFrame, by_length: bool = True) -> list[tuple[str, str]]:
+    """(id, strand) of one component's reads in visiting order; reads by ord, links by ord."""
+    number = {x: k for k, x in enumerate(reads.id)}
+    ends, same = np.array([links[c].map(number) for c in ("qn", "tn")], np.int64).T, (links.strand == "+").to_numpy().repeat(2)
+    by_read = np.argsort(ends.ravel(), kind="stable")
+    start = np.searchsorted(ends.ravel()[by_read], np.arange(len(reads) + 1))
+    order, forward = walked(reads.len.to_numpy(), (2 * ends[:, ::-1].ravel() + same)[by_read], start, by_length)
+    return [(reads.id.iloc[k], "+" if f else "-") for k, f in zip(order.tolist(), forward)]
 
 
 def ordered_reads(reads: DataFrame, overlaps: DataFrame, by_length: bool = True) -> DataFrame:
     """(component, id, rank, strand): every component's reads in visiting order, starting from the one that comes first by ord.
 
-    reads: id, len, ord; reads without an overlap are absent. The rule goes through a component read by read, so one task takes it, which has to hold its
-    overlaps (about 100 bytes each); clusters are bounded by max_overlaps.
+    reads: id, len, ord; reads without an overlap are absent. Reads are numbered by component and their lists of overlaps put in order by all tasks. The rule
+    goes through a component read by read, so one task takes it, which has to hold its lists (8 bytes an overlap, 16 while they are put together).
     """
-    linked = by_component(overlaps.where("qn <> tn")).select("component", "qn", "tn", "strand", "ord")
-    ids = linked.select("component", F.explode(F.array("qn", "tn")).alias("id")).distinct().join(reads.select("id", "len", "ord"), "id")
-    ids = ids.select(F.col("component").alias("group"), "id", "len", "ord")
+    linked = overlaps.where("qn <> tn").select("qn", "tn", F.when(F.col("strand") == "+", 1).otherwise(0).alias("same"), "ord")
+    roots = components(linked.select(F.col("qn").alias("a"), F.col("tn").alias("b")))
+    met = roots.join(reads.select("id", "len", F.col("ord").alias("place")), F.col("node") == F.col("id")).select("id", "len", "place", F.col("root").alias("component"))
+    ids = numbered(met, [F.asc("component"), F.asc("place")], "number", 0)
+    numbers = ids.select("id", "number").hint("shuffle_hash")
+    for end, name in (("qn", "a"), ("tn", "b")):
+        linked = linked.join(numbers.toDF(end, name), end).drop(end)
+    seen = lambda one, other: linked.select(F.col(one).alias("number"), "ord", (2 * F.col(other) + F.col("same")).alias("link"))
+    lists = seen("a", "b").unionByName(seen("b", "a")).groupBy("number").agg(F.sort_array(F.collect_list(F.struct("ord", "link"))).alias("links"))
+    dealt = ids.join(lists, "number").select("component", "number", F.col("len").cast("long").alias("len"), F.col("links.link").alias("links")).repartition("component").sortWithinPartitions("component", "number")
+
+    def of_component(numbers: np.ndarray, length: np.ndarray, sizes: np.ndarray, links: np.ndarray) -> pa.RecordBatch:
+        order, forward = walked(length, links, np.append(0, np.cumsum(sizes)), by_length)
+        return pa.RecordBatch.from_arrays([pa.array(numbers[order]), pa.array(np.arange(1, len(order) + 1)), pa.array(np.where(forward, "+", "-"))], ["number", "rank", "strand"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        name = None
 
-    def run(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        found = visited(nodes.sort_values("ord", ignore_index=True), links.sort_values("ord"), by_length)
-        return pd.DataFrame({"component": nodes.group.iloc[0], "id": [x for x, _ in found], "rank": range(1, len(found) + 1), "strand": [s for _, s in found]})
+        def done() -> pa.RecordBatch:
+            columns = [np.concatenate([x[i] for x in held]) for i in range(4)]
+            held.clear()
+            return of_component(*columns)
 
-    return ids.groupBy("group").cogroup(linked.groupBy("component")).applyInPandas(run, "component string, id string, rank long, strand string")
+        for batch in batches:
+            names = batch.column("component")
+            cuts = np.flatnonzero(pc.not_equal(names.slice(1), names.slice(0, len(names) - 1)).to_numpy(zero_copy_only=False)) + 1 if len(names) > 1 else np.zeros(0, int)
+            for at, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(names)]):
+                if held and names[at].as_py() != name:
+                    yield done()
+                name, part = names[at].as_py(), batch.slice(at, end - at)
+                numbers, lists = part.column("number").to_numpy(), part.column("links")
+                own = lists.flatten().to_numpy() - 2 * (held[0][0][0] if held else numbers[0])  # from here on the component's first read is number 0
+                held.append((numbers, part.column("len").to_numpy(), pc.list_value_length(lists).to_numpy(), own.astype(np.int32)))
+        if held:
+            yield done()
+
+    found = dealt.mapInArrow(run, "number long, rank long, strand string")
+    return found.join(ids.select("number", "component", "id"), "number").select("component", "id", "rank", "strand")
 
 
 def top_n_in_turn(overlaps: DataFrame, n: int) -> DataFrame:

@@ -723,7 +723,7 @@ def overlap_topn_in_turn(ovl):
     return graph.top_n_in_turn(ovl, 5).select("ord", "qn", "tn")
 
 
-@query(None, "ovl")
+@query(None, "ovl", columns=("qn", "ql", "tn", "tl", "strand", "ord"))
 def reads_in_visiting_order(ovl):
     ends = ovl.select("qn", "ql").union(ovl.select("tn", "tl")).distinct().toDF("id", "len")
     return graph.ordered_reads(ends.withColumn("ord", F.substring("id", 2, 20).cast("long")), ovl)

@@ -46,3 +46,39 @@ def test_components_by_seams_equal_one_task(spark):
     for n in (1, 6):  # links beside their like, and dealt out
         some = frame.repartitionByRange(n * 4, "a") if n == 1 else frame.repartition(4 * n)
         assert {r.node: r.root for r in graph.components(some, 600).collect()} == want
+
+
+def test_visiting_order_takes_numbers_to_its_task(spark):
+    """Components in one task and batches that split them; ids and overlaps aren't gathered as frames."""
+    rng = random.Random(12)
+    rows = [(k % 3, rng.randrange(150), rng.randrange(150), rng.choice("+-"), k) for k in range(2400)]
+    links = [(f"{'xyz'[c]}{a}", f"{'xyz'[c]}{b}", s, k) for c, a, b, s, k in rows]
+    ids = sorted({x for r in links if r[0] != r[1] for x in r[:2]})
+    reads = [(x, rng.randrange(90), rng.randrange(10**6)) for x in ids]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        found = graph.ordered_reads(spark.createDataFrame(reads, "id string, len int, ord long"), spark.createDataFrame(links, "qn string, tn string, strand string, ord long").repartition(3))
+        assert "CoGroups" not in found._jdf.queryExecution().toString()
+        got = {}
+        for r in found.orderBy("component", "rank").collect():
+            got.setdefault(r.component[0], []).append((r.id, r.strand))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for c in "xyz":
+        near = {}
+        for a, b, s, _ in links:
+            if a != b and a[0] == c:
+                near.setdefault(a, {}).setdefault(b, s)
+                near.setdefault(b, {}).setdefault(a, s)
+        length, first = {x: n for x, n, _ in reads}, min((o, x) for x, _, o in reads if x[0] == c)[1]
+        strand, met, order = {first: "+"}, [], [first]
+        while True:
+            for x, s in near[order[-1]].items():
+                if x not in strand:
+                    strand[x] = "+" if strand[order[-1]] == s else "-"
+                    met.append(x)
+            if not met:
+                break
+            order.append(max(met, key=lambda x: length[x]))
+            met.remove(order[-1])
+        assert got[c] == [(x, strand[x]) for x in order]
