@@ -3,10 +3,11 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from lumenseq import queries
-from lumenseq.operators import graph
+from lumenseq.operators import graph, mapping
 
 SF = "/root/testdata/sf0.001"
 
@@ -82,3 +83,37 @@ def test_visiting_order_takes_numbers_to_its_task(spark):
             order.append(max(met, key=lambda x: length[x]))
             met.remove(order[-1])
         assert got[c] == [(x, strand[x]) for x in order]
+
+
+def first_leasts(x, w):
+    return sorted({s + int(x[s : s + w].argmin()) for s in range(len(x) - w + 1)})
+
+
+def test_least_places_equal_a_window_by_window_search():
+    rng = np.random.default_rng(1)
+    for k in range(400):
+        x = rng.integers(0, rng.choice([2, 4, 50, 2**62]), rng.integers(12, 80)).astype(np.uint64)
+        w = int(rng.integers(1, 12))
+        x = np.concatenate([x, np.tile(x[:3], 15)]) if k % 2 else x
+        assert mapping.least_places(x, w).tolist() == first_leasts(x, w)
+
+
+def test_frequent_seeds_are_chosen_without_dealing_out_all(spark, monkeypatch):
+    """Reads of repeats and of none: the same anchors as by counts of all seeds, whose stretches aren't dealt out."""
+    rng = random.Random(3)
+    some = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    common = some(120)
+    rows = [(f"r{k:02}", some(200) + common * (k % 4) + some(90) + "AC" * (20 * (k % 3)) + common) for k in range(30)]
+    reads, settings = spark.createDataFrame(rows, "id string, seq string").repartition(3), mapping.Settings(k=15, w=5, most=20)
+    counts = mapping.seeds(reads, settings).groupBy("hash").count()
+    assert "Window" not in mapping.asked(reads, counts, settings._replace(most=10**6))._jdf.queryExecution().toString()
+    got = sorted(mapping.anchors(reads, reads, settings).collect())
+    monkeypatch.setattr(mapping, "MARKED", 0)
+    assert got == sorted(mapping.anchors(reads, reads, settings).collect()) and got
+
+
+def test_runs_without_places_for_a_chain():
+    p = mapping.Settings(least=3, gap=10)
+    runs = [[0, 5, 9], [0, 0, 5, 5], [0, 5, 30, 35], [9, 0, 40, 5, 41], [7]]
+    at, starts = np.concatenate(runs), np.cumsum([0, *map(len, runs[:-1])])
+    assert mapping.long_enough(at, starts, p).tolist() == [True, False, False, True, False]
