@@ -117,3 +117,40 @@ def test_runs_without_places_for_a_chain():
     runs = [[0, 5, 9], [0, 0, 5, 5], [0, 5, 30, 35], [9, 0, 40, 5, 41], [7]]
     at, starts = np.concatenate(runs), np.cumsum([0, *map(len, runs[:-1])])
     assert mapping.long_enough(at, starts, p).tolist() == [True, False, False, True, False]
+
+
+def named_sequences(spark, rng):
+    some = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    base = some(2600)
+    rows = [(f"r{k}", some(300 * k) + base[100 * k : 100 * k + 1500] + "AC" * 40) for k in range(5)] + [("r", base), ("r1x", some(700)), ("e", "")]
+    return spark.createDataFrame(rows, "id string, seq string").repartition(3)
+
+
+def test_sketches_are_distinct_where_they_are_made(spark):
+    """Against sets of k-mers; the k-mers, their bins and numbers aren't dealt out before they meet."""
+    frame, k, share, size = named_sequences(spark, random.Random(6)), 16, 4, 500
+    found = mapping.sketch_identities(mapping.fragments(frame, size), frame, size, k, share, 0.5)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 6
+    cut = {r.id: r.seq.encode() for r in mapping.fragments(frame, size).collect()}
+    want = {}
+    for q, a in cut.items():
+        own = set(mapping.sampled(a, k, share)[0].tolist())
+        for t, b in ((r.id, r.seq.encode()) for r in frame.collect()):
+            there = [(h, p // size) for h, p in zip(*(x.tolist() for x in mapping.sampled(b, k, share)))]
+            n = max((len(own & {h for h, bin in there if bin in (at, at + 1)}) for at in range(-1, len(b) // size + 1)), default=0)
+            if n and (n / len(own)) ** (1 / k) >= 0.5:
+                want[q, t] = (n / len(own)) ** (1 / k)
+                assert mapping.told_identity(a, b, size) == pytest.approx(want[q, t])
+    got = {(r.qn, r.tn): r.identity for r in found.collect()}
+    assert got.keys() == want.keys() and list(got.values()) == pytest.approx([want[x] for x in got])
+
+
+def test_identities_one_way_only(spark, monkeypatch):
+    """Pairs x < y alone are met, and only those that align are sketched."""
+    frame, settings = named_sequences(spark, random.Random(8)), mapping.Settings(k=15, w=5)
+    rows = lambda pairs: sorted((r.x, r.y, round(r.ani, 9), r.n) for r in pairs.collect() if r.x < r.y)
+    for made in (lambda once: mapping.nucleotide_identity(frame, frame, 500, settings, once=once), lambda once: mapping.sketched_identity(frame, frame, 500, once=once)):
+        one_way = made(True)
+        assert one_way.where("x >= y").count() == 0 and rows(one_way) == rows(made(False)) and rows(one_way)
+    monkeypatch.setattr(mapping, "sketch_identities", lambda *a, **k: pytest.fail("all pairs sketched"))
+    assert mapping.nucleotide_identity(frame, frame, 500, settings).count()
