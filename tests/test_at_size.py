@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from lumenseq import queries
-from lumenseq.operators import graph, mapping
+from lumenseq.operators import clusters, graph, mapping
 
 SF = "/root/testdata/sf0.001"
 
@@ -154,3 +154,16 @@ def test_identities_one_way_only(spark, monkeypatch):
         assert one_way.where("x >= y").count() == 0 and rows(one_way) == rows(made(False)) and rows(one_way)
     monkeypatch.setattr(mapping, "sketch_identities", lambda *a, **k: pytest.fail("all pairs sketched"))
     assert mapping.nucleotide_identity(frame, frame, 500, settings).count()
+
+
+def test_all_reads_are_mapped_once_where_seeds_suffice(spark):
+    """Twenty seeds, each of which covers one more read: one batch finds them."""
+    reads = spark.createDataFrame([(f"r{k:02}", 1000 - k, k + 1, "A") for k in range(40)], "id string, len int, rank long, seq string")
+    calls = []
+
+    def pairs(seeds):
+        calls.append(1)
+        return seeds.where("rank <= 20").selectExpr("concat('r', cast(rank + 19 as string)) qn", "id tn", "500 alnlen")
+
+    members, _ = clusters.seed_clusters(reads, pairs, topk=20, min_seed_len=10)
+    assert {(r.cluster, r.seed, r.member) for r in members.collect()} == {(k, f"r{k:02}", x) for k in range(20) for x in (f"r{k:02}", f"r{k + 20}")} and len(calls) == 1
